@@ -30,6 +30,28 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+@register("op7_ann")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.ann import search
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+@register("op8_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.quality import score_held_out
+
+    return score_held_out(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+@register("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.language_id import predict_held_out
+
+    return predict_held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
