@@ -31,7 +31,7 @@ from sparkloom.llm import vec
 from sparkloom.llm.components import components
 from sparkloom.llm.store import bitmap, cut, in_bitmap, mix, row_slot
 
-GROUPS = 64  # coordinates of a point
+GROUPS = 128  # coordinates of a point
 LEAF = 32  # points in a leaf of the R-tree
 BLOCK = 1024  # members of a meeting that one task compares with as many others
 
@@ -228,24 +228,62 @@ class RTree:
         return self.order[at[fits(self.points[at], self.sizes[at])]]
 
 
-def _between(num: int, den: int):
-    """Pairs between different components inside one meeting (or between two blocks of a large one)."""
+def _blocks(table, first: int, second: int):
+    block = table.column("block").to_numpy()
+    return np.flatnonzero(block == first), np.flatnonzero(block == second)
+
+
+def _partners(num: int, den: int):
+    """Of one meeting (or two blocks of a large one), the members that a tree search gives a partner in
+    another component."""
 
     def run(key, table):
-        first, second = key[1].as_py(), key[2].as_py()
-        k1, comp, block = (table.column(c).to_numpy() for c in ("k1", "comp", "block"))
+        k1, comp = table.column("k1").to_numpy(), table.column("comp").to_numpy()
         points, sizes = _points(table.column("point")), table.column("n").to_numpy()
-        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        a, b = [], []
+        left, right = _blocks(table, key[1].as_py(), key[2].as_py())
+        keep = np.zeros(len(k1), dtype=bool)
         if len(left) and len(right):
             tree = RTree(points[right], sizes[right])
             for i in left.tolist():
                 found = right[tree.search(points[i], int(sizes[i]), num, den)]
                 found = found[comp[found] != comp[i]]
-                if first == second:
-                    found = found[k1[found] > k1[i]]
-                a += [k1[i]] * len(found)
-                b += k1[found].tolist()
+                if len(found):
+                    keep[found] = keep[i] = True
+        return table.filter(pa.array(keep)).select(["sig", "b1", "b2", "block", "k1", "comp"])
+
+    return run
+
+
+def _spanning(num: int, den: int):
+    """Of the members left, verified links that join different components: as many as span them. Pairs
+    already joined aren't verified again, so the links are fewer than the members."""
+
+    def run(key, table):
+        k1, comp = table.column("k1").to_numpy(), table.column("comp").to_numpy().tolist()
+        points, sizes = _points(table.column("point")), table.column("n").to_numpy()
+        sets = table.column("tokens").to_pylist()
+        left, right = _blocks(table, key[1].as_py(), key[2].as_py())
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        a, b = [], []
+        if len(left) and len(right):
+            tree = RTree(points[right], sizes[right])
+            for i in left.tolist():
+                own = np.frombuffer(sets[i], dtype=np.uint64)
+                for j in right[tree.search(points[i], int(sizes[i]), num, den)].tolist():
+                    x, y = root(comp[i]), root(comp[j])
+                    if x == y:
+                        continue
+                    shared = len(np.intersect1d(own, np.frombuffer(sets[j], dtype=np.uint64), assume_unique=True))
+                    if den * shared >= num * (int(sizes[i]) + int(sizes[j]) - shared):
+                        parent[x] = y
+                        a.append(k1[i])
+                        b.append(k1[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -263,11 +301,11 @@ def _check(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, n_links, component_id) of every row of docs.
+    """(doc_id, n_shingles, n_verified_links, component_id) of every row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered; a set holds the distinct k-word shingles, of a
     shorter text the whole word sequence. Two rows link when den * shared >= num * united; rows of the
-    same set link too; n_links counts those verified links of the row's set that the search used
+    same set link too; n_verified_links counts the row's set's links that the search verified
     (a spanning part of all links), component_id is the smallest id that links reach. Null or empty
     texts have no set, link with nothing and are components of their own. Repeated rows are rows.
     A null id takes no part in minima, and is its component's id only if all ids of it are null.
@@ -307,30 +345,35 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         .withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
         .join(nodes.select("k1", "n", "point"), "k1")
     )
+    meeting = ["sig", "b1", "b2"]
     late = (
-        spread.select("sig", "b1", "b2", "block", "k1", "comp", "n", "point")
-        .groupBy("sig", "b1", "b2")
-        .applyInArrow(_between(num, den), "a long, b long")
+        spread.select(*meeting, "block", "k1", "comp", "n", "point")
+        .groupBy(*meeting)
+        .applyInArrow(_partners(num, den), "sig long, b1 int, b2 int, block int, k1 long, comp long")
+        .join(nodes, "k1")
+    )
+    more = cut(
+        late.select(*meeting, "block", "k1", "comp", "n", "point", "tokens")
+        .groupBy(*meeting)
+        .applyInArrow(_spanning(num, den), "a long, b long")
         .distinct()
     )
-    late = late.join(pairs, (F.least(late.a, late.b) == pairs.a) & (F.greatest(late.a, late.b) == pairs.b), "left_anti")
-    more = cut(_check(late, nodes, num, den))
     if not more.isEmpty():
         links = links.unionAll(more)
         roots = components(links)
-    degree = links.select("a").unionAll(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("k1")).agg(F.count("*").alias("n_links"))
+    degree = links.select("a").unionAll(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("k1")).agg(F.count("*").alias("n_verified_links"))
     named = (
         roots.withColumnRenamed("node", "k1")
         .join(reps, "k1")
         .select("k1", F.min("rep").over(Window.partitionBy("root")).alias("least"))
         .join(degree, "k1", "left")
     )
-    sets = reps.join(named, "k1", "left").select("k1", F.coalesce("least", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    sets = reps.join(named, "k1", "left").select("k1", F.coalesce("least", "rep").alias("component"), F.coalesce("n_verified_links", F.lit(0)).alias("n_verified_links"))
     out = classes.join(sets, "k1", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.col("n") > 0, F.col("n_verified_links")).otherwise(0).cast("long").alias("n_verified_links"),
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
