@@ -18,10 +18,9 @@ SPAN, K = 13, 9
 PLACE = 27  # low bits of a fingerprint hold its place
 
 
-def _placed(values: Column, k: int, n: Column) -> Column:
-    """k-gram hashes with their places in the low bits."""
-    high = F.lit(~((1 << PLACE) - 1))
-    return F.transform(runs(values, k, n), lambda h, i: h.bitwiseAND(high).bitwiseOR(i.cast("bigint")))
+def _placed(hashes: Column) -> Column:
+    """Hashes with their places in the low bits."""
+    return F.transform(hashes, lambda h, i: h.bitwiseAND(F.lit(~((1 << PLACE) - 1))).bitwiseOR(i.cast("bigint")))
 
 
 def _winnowed(placed: Column, width: int) -> Column:
@@ -50,17 +49,29 @@ def benchmark_windows(items: DataFrame, span: int = SPAN, k: int = K) -> DataFra
         "item_id", "len", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.slice("w", i + 1, F.col("len")))).alias("win")
     )
     wins = wins.groupBy("len", "win").agg(F.collect_set("item_id").alias("items"))
-    hashes = F.transform("win", lambda x: F.xxhash64(x))
-    best = F.array_min(_placed(hashes, k, F.size("win")))
+    wins = wins.withColumn("h", F.transform("win", lambda x: F.xxhash64(x)))
+    wins = wins.withColumn("best", F.array_min(_placed(runs(F.col("h"), k))))
     full = F.col("len") == span
-    return wins.withColumns(
-        {
-            "fp": F.when(full, _hash_of(best)).otherwise(_hash_of(F.xxhash64(hashes))),
-            "off": F.when(full, _place_of(best)).otherwise(F.lit(0)),
-        }
+    return wins.select(
+        "len", "win", "items",
+        F.when(full, _hash_of(F.col("best"))).otherwise(_hash_of(F.xxhash64("h"))).alias("fp"),
+        F.when(full, _place_of(F.col("best"))).otherwise(F.lit(0)).alias("off"),
     )
 
 
+def _candidates(prints: Column, bits: Column, log2: int, length: int, left: int, right: int) -> Column:
+    """Fingerprints that the bitmap lets pass, each with the words around it that a window may reach."""
+
+    def hit(v: Column) -> Column:
+        begin = F.greatest(_place_of(v) - left, F.lit(0))
+        return F.struct(
+            F.lit(length).alias("len"), _hash_of(v).alias("fp"), _place_of(v).alias("at"), begin.alias("begin"),
+            F.slice("w", begin + 1, _place_of(v) + right - begin).alias("around"),
+        )
+
+    return F.transform(F.filter(prints, lambda v: in_bitmap(bits, _hash_of(v), log2)), hit)
+
+
 def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int = K, parts: int = 20) -> DataFrame:
     """One row for each row of docs(doc_id, text), against items(item_id, text): doc_id, n_words, n_hit
     (words inside an occurrence of an item's window of `span` consecutive words), n_items, items_sha256
@@ -73,24 +84,17 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     lengths = {r["len"]: r["n"] for r in wins.groupBy("len").agg(F.count("*").alias("n")).collect()}
     rows = docs.select("doc_id", words(F.col("text")).alias("w"))
     rows = rows.withColumns({"n": F.size("w"), "h": F.transform("w", lambda x: F.xxhash64(x))})
+    # each array is a column of its own projection, so that it is computed once a row
+    rows = rows.withColumns({f"p{length}": _placed(runs(F.col("h"), k if length == span else length)) for length in lengths})
+    if span in lengths:
+        rows = rows.withColumn(f"p{span}", _winnowed(F.col(f"p{span}"), span - k + 1))
     found = []
     for length in sorted(lengths):
         log2 = log2_size(lengths[length])
         bits = bitmap_literal(wins.where(F.col("len") == length), "fp", log2)
-        if length == span:
-            prints, left, right = _winnowed(_placed(F.col("h"), k, F.col("n")), span - k + 1), span - k, span
-        else:
-            prints, left, right = _placed(F.col("h"), length, F.col("n")), 0, length
-        kept = F.filter(prints, lambda v, bits=bits, log2=log2: in_bitmap(bits, _hash_of(v), log2))
-
-        def hit(v, left=left, right=right, length=length):
-            begin = F.greatest(_place_of(v) - left, F.lit(0))
-            return F.struct(
-                F.lit(length).alias("len"), _hash_of(v).alias("fp"), _place_of(v).alias("at"), begin.alias("begin"),
-                F.slice("w", begin + 1, _place_of(v) + right - begin).alias("around"),
-            )
-
-        found.append(F.transform(kept, hit))
+        left, right = (span - k, span) if length == span else (0, length)
+        prints = F.col(f"p{length}")
+        found.append(_candidates(prints, bits, log2, length, left, right))
     empty = F.array().cast("array<struct<len:int,fp:bigint,at:int,begin:int,around:array<string>>>")
     table = cut(
         rows.select(

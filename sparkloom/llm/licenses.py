@@ -71,13 +71,34 @@ def _constant(j: int) -> int:
     return (0x9E3779B97F4A7C15 * (j + 1) * (2 * j + 3) % 2**64) - 2**63
 
 
+def _order(j: int):
+    return lambda x: x.bitwiseXOR(F.lit(_constant(j)))
+
+
 def _signature(values, count: int):
     """Minima of `count` orders of the hashes, each the order after a constant is xored in."""
-    return F.array(*[F.array_min(F.transform(values, lambda x, j=j: x.bitwiseXOR(F.lit(_constant(j))))) for j in range(count)])
+    return F.array(*[F.array_min(F.transform(values, _order(j))) for j in range(count)])
+
+
+def _windows(bits, log2: int, width: int, step: int):
+    """Numbers of the class's windows that hold a shingle of the bitmap."""
+    places = F.filter(F.transform("s", lambda h, i: F.when(in_bitmap(bits, h, log2), i)), lambda p: p.isNotNull())
+
+    def around(p):
+        return F.sequence(F.greatest(F.lit(0), F.ceil((p - width + 1) / step).cast("int")), F.floor(p / step).cast("int"))
+
+    return F.array_distinct(F.flatten(F.transform(places, around)))
+
+
+def _cut_out(starts, width: int, step: int):
+    return F.transform(
+        starts, lambda b: F.struct(F.lit(width).alias("width"), (b * step).alias("first"), F.slice("s", b * step + 1, F.lit(width)).alias("win"))
+    )
 
 
-def _shingles(w, n):
-    return F.when(n >= SHINGLE, runs(w, SHINGLE, n)).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+def _shingles(w):
+    n = F.size(w)
+    return F.when(n >= SHINGLE, runs(w, SHINGLE)).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT) -> DataFrame:
@@ -92,7 +113,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
     if templates is None:
         templates = template_table(docs.sparkSession)
     t = templates.select("license", words(F.col("text")).alias("w"))
-    t = cut(t.select("license", F.array_distinct(_shingles(F.col("w"), F.size("w"))).alias("ts")).where(F.size("ts") > 0))
+    t = cut(t.select("license", F.array_distinct(_shingles(F.col("w"))).alias("ts")).where(F.size("ts") > 0))
     sizes = [r["n"] for r in t.select(F.size("ts").alias("n")).distinct().collect()]
     classes = sorted({size_class(n)[0] for n in sizes})
     schema = "array<struct<width:int,first:int,win:array<bigint>>>"
@@ -105,7 +126,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
         for width in classes
     ]
     rows = docs.select("doc_id", words(F.col("text")).alias("w"))
-    rows = rows.withColumn("s", _shingles(F.col("w"), F.size("w")))
+    rows = rows.withColumn("s", _shingles(F.col("w")))
     found = []
     if made:
         keys = made[0]
@@ -119,23 +140,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
             log2 = log2_size(minima.count())
             bits = bitmap_literal(minima, "m", log2)
             step = size_class(next(n for n in range(1, width + 1) if size_class(n)[0] == width))[1]
-            places = F.filter(
-                F.transform("s", lambda h, i, bits=bits, log2=log2: F.when(in_bitmap(bits, h, log2), i)), lambda p: p.isNotNull()
-            )
-            # starts, in steps, of the windows that hold the place; windows are cut short at the text's end
-            starts = F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        places,
-                        lambda p, width=width, step=step: F.sequence(
-                            F.greatest(F.lit(0), F.ceil((p - width + 1) / step).cast("int")), F.floor(p / step).cast("int")
-                        ),
-                    )
-                )
-            )
-            found.append(
-                F.transform(starts, lambda b, width=width, step=step: F.struct(F.lit(width).alias("width"), (b * step).alias("first"), F.slice("s", b * step + 1, F.lit(width)).alias("win")))
-            )
+            rows = rows.withColumn(f"b{width}", _windows(bits, log2, width, step))
+            found.append(_cut_out(F.col(f"b{width}"), width, step))
     table = cut(
         rows.select("doc_id", F.monotonically_increasing_id().alias("row"), (F.concat(*found) if found else F.array().cast(schema)).alias("wins")).where(F.size("wins") > 0)
     )
@@ -146,7 +152,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
         signed = probe.select("row", "doc_id", "first", "win", F.posexplode(_signature(F.col("win"), bands(width))).alias("band", "value"))
         hit = signed.join(keys.where(F.col("width") == width), ["band", "value"]).join(t.select("license", "ts"), "license")
         both = F.size(F.array_intersect("ts", "win"))
-        hit = hit.select("row", "doc_id", "license", "first", (both / F.size("ts")).alias("containment"), F.transform(F.filter(F.transform("win", lambda v, i: F.when(F.array_contains("ts", v), i)), lambda i: i.isNotNull()), lambda i: i).alias("at"))
+        hit = hit.select("row", "doc_id", "license", "first", (both / F.size("ts")).alias("containment"), F.filter(F.transform("win", lambda v, i: F.when(F.array_contains("ts", v), i)), lambda i: i.isNotNull()).alias("at"))
         hit = hit.where(F.col("containment") >= containment).select(
             "row", "doc_id", "license", "containment", (F.col("first") + F.array_min("at")).alias("start_word"), (F.col("first") + F.array_max("at") + SHINGLE).alias("end_word")
         )

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +18,12 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(low, _SEPARATORS), ""), F.array().cast("array<string>"))
 
 
-def runs(values: Column, k: int, n: Column) -> Column:
-    """xxhash64 of every k consecutive values of an array of n; none if n < k."""
+def runs(values: Column, k: int) -> Column:
+    """xxhash64 of every k consecutive values of an array column; none if it holds fewer.
+
+    `values` must be a column that a projection below has computed: an expression would be evaluated
+    anew for every place."""
+    n = F.size(values)
     return F.when(
         n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(F.slice(values, i + 1, F.lit(k))))
     ).otherwise(F.array().cast("array<bigint>"))
@@ -37,13 +42,13 @@ def bitmap_literal(values: DataFrame, column: str, log2_bits: int) -> Column:
     bits = [0] * (1 << (log2_bits - 6))
     for r in rows:
         bits[r["word"]] = r["bits"]
-    return F.from_json(F.lit(str(bits)), "array<bigint>")
+    return F.lit(np.array(bits, dtype=np.int64))
 
 
 def in_bitmap(bits: Column, value: Column, log2_bits: int) -> Column:
     slot = value.bitwiseAND(F.lit((1 << log2_bits) - 1))
     word = F.element_at(bits, (F.shiftright(slot, 6) + 1).cast("int"))
-    return F.shiftright(word, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))) != 0
+    return word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63)).cast("int"))) != 0
 
 
 def log2_size(entries: int) -> int:

@@ -99,7 +99,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, penalty: float = 1e-3, seed: int = 7) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, penalty: float = 1e-3, seed: int = 7) -> Model:
     """Non-negative risk by Adam over shuffled mini-batches. When a batch's estimate of the negatives'
     risk falls below 0, the step goes against it instead, so that the model can't overfit by
     driving it lower."""
@@ -107,7 +107,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), float(np.log(prior / (1 - prior))), prior)
     both = np.concatenate((positive, unlabelled))
     mean, scale = both.mean(0), both.std(0) + 0.01
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    p, u = ((x - mean) / scale for x in (positive, unlabelled))
+    p, u = p.astype(np.float32), u.astype(np.float32)
     rng = np.random.default_rng(seed)
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v, step = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
@@ -117,7 +118,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
         pi, ui = rng.permutation(len(p)), rng.permutation(len(u))
         for i in range(batches):
             xp, xu = p[pi[i::batches]] if len(p) >= batches else p, u[ui[i::batches]]
-            zp, zu = xp @ w + b, xu @ w + b
+            short = w.astype(np.float32)
+            zp, zu = (xp @ short + b).astype(np.float64), (xu @ short + b).astype(np.float64)
             negatives = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
             # gradients of the logistic loss with regard to z, for each part of the risk
             gp_plus, gp_minus, gu_minus = -sigmoid(-zp) / len(zp), sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
@@ -125,7 +127,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
                 gp, gu = prior * (gp_plus - gp_minus), gu_minus
             else:
                 gp, gu = prior * gp_minus, -gu_minus
-            g = np.concatenate((xp.T @ gp + xu.T @ gu + penalty * w, [gp.sum() + gu.sum()]))
+            g = np.concatenate((gp.astype(np.float32) @ xp + gu.astype(np.float32) @ xu + penalty * w, [gp.sum() + gu.sum()]))
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             d = 0.005 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

@@ -23,6 +23,27 @@ def register(name: str, sql: str | None = None):
     return put
 
 
+@register("op1_html_extract")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@register("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@register("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.jaccard_join import jaccard_components
