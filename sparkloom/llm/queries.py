@@ -30,6 +30,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@register("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op3_decontaminate")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.decontaminate import contamination
