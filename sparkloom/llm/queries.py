@@ -73,6 +73,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+@register("op9_lm_score")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.lm_score import score_held_out
+
+    return score_held_out(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.language_id import predict_held_out
