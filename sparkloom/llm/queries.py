@@ -51,6 +51,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@register("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @register("op6_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.jaccard_join import jaccard_components
