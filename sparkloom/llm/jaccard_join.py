@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
 from sparkloom.llm.components import components
-from sparkloom.llm.store import bitmap, cut, in_bitmap, mix, row_slot
+from sparkloom.llm.store import ROW, bitmap, cut, in_bitmap, mix, row_slot, unique_ids
 
 GROUPS = 128  # coordinates of a point
 LEAF = 32  # points in a leaf of the R-tree
@@ -392,8 +392,9 @@ def _key_bitmap(wanted: DataFrame) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Near-duplicate removal: of each component the row with the smallest doc_id stays (of repeated
-    rows with that id, one). Texts without words stay. Columns are those of docs."""
-    groups = jaccard_components(docs, k, num, den)
-    chosen = groups.where("doc_id = component_id or n_shingles = 0").select("doc_id").distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Near-duplicate removal: of each component the row with the smallest doc_id stays, of rows with
+    the same id any one. Texts without words stay. Columns are those of docs."""
+    rows, _ = unique_ids(docs)
+    groups = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), k, num, den)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

@@ -219,3 +219,11 @@ def predict_held_out(docs: DataFrame) -> DataFrame:
     profiles = train(docs.where(part != 1))
     rows = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text")
     return identify(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """Rows of docs(doc_id, text, lang, ...) that are given a language by profiles learned from docs
+    itself; only texts without letters go. Columns are those of docs."""
+    profiles = train(docs.where(fold("doc_id", 3) != 1))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
+    return identify(rows, profiles).where("lang_pred <> 'und'").select("row.*")
