@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     import importlib
 
-    for module in ():
+    for module in ("relational", "search"):
         importlib.import_module(f"sparkloom.plans.{module}")
 
 
