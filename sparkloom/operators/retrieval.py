@@ -43,7 +43,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 6, princip
     scores = bm25(chunks, "chunk_id", {"chunk_text": 1.0, "source_id": 0.25, "locator": 0.15, "metadata_text": 0.35}, terms)
     allowed = visible(chunks, principals=principals)
     limit = max(4 * top_k, 20)
-    scores = scores.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+    scores = scores.withColumn("score", F.round("score", 9)).join(allowed.select("chunk_id"), "chunk_id", "left_semi")
     lexical = ranked(scores, ["query_id"], "score", "chunk_id", "rank", positive=True, limit=limit)
     counts = queries.select("query_id", F.explode(whitespace_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     overlap = term_overlap(allowed, "chunk_id", F.concat_ws(" ", "source_id", "locator", "metadata_text"), counts)

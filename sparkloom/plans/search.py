@@ -58,7 +58,7 @@ _FIELDS = {"chunk_text": 1.0, "source_id": 0.25, "locator": 0.15, "metadata_text
     "hybrid_search",
     f"""WITH {CHUNKS_SQL}, {_QTERMS}, {_INDEX},
     vis AS (SELECT * FROM rows_ WHERE len(acl) = 0 OR list_has_any(acl, ['group:a'])),
-    lex AS (SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm SEMI JOIN vis USING (chunk_id) WHERE score > 0) WHERE rank <= 24),
+    lex AS (SELECT * FROM (SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm SEMI JOIN vis USING (chunk_id) WHERE score > 0) WHERE rank <= 24),
     mt AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_terms("source_id || ' ' || locator || ' ' || tenant_id")}) AS term FROM vis) GROUP BY ALL),
     mov AS (SELECT query_id, chunk_id, CAST(sum(least(qtf, tf)) AS BIGINT) AS overlap FROM qcounts JOIN mt USING (term) GROUP BY 1, 2),
     met AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_id) AS rank FROM mov WHERE overlap > 0) WHERE rank <= 24),
