@@ -33,7 +33,7 @@ from sparkloom.llm.store import ROW, bitmap, cut, in_bitmap, mix, row_slot, uniq
 
 GROUPS = 128  # coordinates of a point
 LEAF = 32  # points in a leaf of the R-tree
-BLOCK = 1024  # members of a meeting that one task compares with as many others
+BLOCK, BLOCK_TOKENS = 1024, 1 << 20  # members, and their tokens, that one task compares with as many others
 
 
 def size_edges(num: int, den: int, largest: int) -> list[int]:
@@ -234,54 +234,68 @@ def _blocks(table, first: int, second: int):
 
 
 def _partners(num: int, den: int):
-    """Of one meeting (or two blocks of a large one), the members that a tree search gives a partner in
-    another component."""
+    """Of one meeting (or two blocks of a large one), which members a tree search gives partners in other
+    components: links (a, b) that span the groups of partners, so fewer than the members."""
 
     def run(key, table):
         k1, comp = table.column("k1").to_numpy(), table.column("comp").to_numpy()
         points, sizes = _points(table.column("point")), table.column("n").to_numpy()
         left, right = _blocks(table, key[1].as_py(), key[2].as_py())
-        keep = np.zeros(len(k1), dtype=bool)
+        union = Union()
+        a, b = [], []
         if len(left) and len(right):
             tree = RTree(points[right], sizes[right])
             for i in left.tolist():
                 found = right[tree.search(points[i], int(sizes[i]), num, den)]
-                found = found[comp[found] != comp[i]]
-                if len(found):
-                    keep[found] = keep[i] = True
-        return table.filter(pa.array(keep)).select(["sig", "b1", "b2", "block", "k1", "comp"])
+                for j in found[comp[found] != comp[i]].tolist():
+                    if union.join(int(k1[i]), int(k1[j])):
+                        a.append(k1[i])
+                        b.append(k1[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+class Union:
+    """Disjoint sets of bigints."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.root(a), self.root(b)
+        self.parent[a] = b
+        return a != b
+
+
 def _spanning(num: int, den: int):
-    """Of the members left, verified links that join different components: as many as span them. Pairs
-    already joined aren't verified again, so the links are fewer than the members."""
+    """Of one cluster (or two blocks of a large one), verified links that join different components: as
+    many as span them. Pairs already joined aren't verified, so the links are fewer than the members."""
 
     def run(key, table):
         k1, comp = table.column("k1").to_numpy(), table.column("comp").to_numpy().tolist()
         points, sizes = _points(table.column("point")), table.column("n").to_numpy()
         sets = table.column("tokens").to_pylist()
         left, right = _blocks(table, key[1].as_py(), key[2].as_py())
-        parent: dict[int, int] = {}
-
-        def root(x):
-            while parent.get(x, x) != x:
-                parent[x] = x = parent.get(parent[x], parent[x])
-            return x
-
+        union = Union()
         a, b = [], []
         if len(left) and len(right):
             tree = RTree(points[right], sizes[right])
             for i in left.tolist():
                 own = np.frombuffer(sets[i], dtype=np.uint64)
                 for j in right[tree.search(points[i], int(sizes[i]), num, den)].tolist():
-                    x, y = root(comp[i]), root(comp[j])
-                    if x == y:
+                    if union.root(comp[i]) == union.root(comp[j]):
                         continue
                     shared = len(np.intersect1d(own, np.frombuffer(sets[j], dtype=np.uint64), assume_unique=True))
                     if den * shared >= num * (int(sizes[i]) + int(sizes[j]) - shared):
-                        parent[x] = y
+                        union.join(comp[i], comp[j])
                         a.append(k1[i])
                         b.append(k1[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -289,6 +303,20 @@ def _spanning(num: int, den: int):
     return run
 
 
+def _dealt(members: DataFrame, key: str) -> DataFrame:
+    """members with the pairs of blocks (b1, b2) they take part in; a group of up to BLOCK members and
+    BLOCK_TOKENS tokens is one block."""
+    sizes = members.groupBy(key).agg(F.count("*").alias("m"), F.sum("n").alias("tokens_all"))
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("tokens_all") / BLOCK_TOKENS)).cast("int")
+    return (
+        members.join(sizes.where("m > 1").select(key, blocks.alias("blocks")), key)
+        .withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
+        .drop("other", "blocks")
+    )
+
+
 def _check(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     points = nodes.select("k1", "n", "point")
     near = (
@@ -337,26 +365,18 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     member = live.select("sig", "k1").union(live.select("sig", F.col("mn").alias("k1")).distinct())
     member = member.join(roots.withColumnRenamed("node", "k1"), "k1", "left").select("sig", "k1", F.coalesce("root", "k1").alias("comp"))
     mixed = member.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    spread = (
-        member.join(mixed.select("sig", "m"), "sig")
-        .withColumn("block", F.pmod(F.xxhash64("k1"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumns({"b1": F.least("block", "other"), "b2": F.greatest("block", "other")})
-        .join(nodes.select("k1", "n", "point"), "k1")
-    )
-    meeting = ["sig", "b1", "b2"]
-    late = (
-        spread.select(*meeting, "block", "k1", "comp", "n", "point")
-        .groupBy(*meeting)
-        .applyInArrow(_partners(num, den), "sig long, b1 int, b2 int, block int, k1 long, comp long")
-        .join(nodes, "k1")
-    )
+    small = nodes.select("k1", "n", "point")
+    met = _dealt(member.join(mixed.select("sig"), "sig").join(small.select("k1", "n"), "k1"), "sig").drop("n").join(small, "k1")
+    near = met.select("sig", "b1", "b2", "block", "k1", "comp", "n", "point").groupBy("sig", "b1", "b2").applyInArrow(_partners(num, den), "a long, b long")
+    # each text once, with those that its partners lead to
+    clusters = cut(components(near)).toDF("k1", "cluster")
+    comps = roots.withColumnRenamed("node", "k1").withColumnRenamed("root", "comp")
+    grouped = clusters.join(small.select("k1", "n"), "k1").join(comps, "k1", "left").withColumn("comp", F.coalesce("comp", "k1"))
+    apart = _dealt(grouped, "cluster").drop("n").join(nodes, "k1")
     more = cut(
-        late.select(*meeting, "block", "k1", "comp", "n", "point", "tokens")
-        .groupBy(*meeting)
+        apart.select("cluster", "b1", "b2", "block", "k1", "comp", "n", "point", "tokens")
+        .groupBy("cluster", "b1", "b2")
         .applyInArrow(_spanning(num, den), "a long, b long")
-        .distinct()
     )
     if not more.isEmpty():
         links = links.unionAll(more)
