@@ -15,7 +15,9 @@ of that axis makes full sequences and, at its end, sequences of powers of two, s
 from __future__ import annotations
 
 import os
+import struct
 import zlib
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -27,48 +29,76 @@ from sparkloom.llm.store import cut
 LENGTH, UNIT, SALTS = 4096, 16, 256
 END_ID = 2
 
-#: Characters for which lowering and composing are the same everywhere, and no special token hides.
-_PLAIN = r"[^\t\n\r\x20-\x7e\xa1-įı-ɏ]|<\|"
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters for which lowering, composing and classes are the same everywhere, and no special token hides.
+_ODD = r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\|"
+#: Within those, what the vocabulary's file splits into words.
+_WORDS = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+"
 _STATE: dict = {}
 
 
 class Encoder:
-    """Ids of texts. Words are independent in this vocabulary, so that those met before are looked up;
-    texts with unusual characters are encoded whole."""
+    """Ids of texts. In this vocabulary words are independent, and white space always ends one: ids are
+    looked up by what stands between white space, and for what is new by its words. Texts with unusual
+    characters are encoded whole."""
 
-    LIMIT = 400_000
+    LIMIT = 600_000
 
     def __init__(self, path: str):
         import re
 
-        import regex
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.odd, self.split, self.known = re.compile(_PLAIN), regex.compile(_PIECES), {}
+        self.odd, self.split = re.compile(_ODD), re.compile(_WORDS)
+        self.pieces: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _learn(self, new: set[str]) -> None:
+        """Put pieces into the table, None for those that are unusual."""
+        pieces = [x for x in new if not self.odd.search(x)]
+        self.pieces.update(dict.fromkeys(new))
+        words = [self.split.findall(x) for x in pieces]
+        fresh = [w for w in set().union(*words) if w not in self.words]
+        for at in range(0, len(fresh), 4096):  # as one text: each word ends in an id that marks its end
+            part = fresh[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            data, begin = ids.tobytes(), 0
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            for word, end in zip(part, ends, strict=True):
+                self.words[word] = data[begin:end]
+                begin = end
+        get = self.words.__getitem__
+        for piece, parts in zip(pieces, words, strict=True):
+            self.pieces[piece] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, END_ID last."""
-        plain = [x if x and not self.odd.search(x) else None for x in texts]
-        words = [self.split.findall(x.lower()) if x else () for x in plain]
-        new = set().union(*words) - self.known.keys()
+        # the four separators that Python takes for white space and the vocabulary doesn't
+        plain = [x.lower().split() if x and not ("\x1c" in x or "\x1d" in x or "\x1e" in x or "\x1f" in x) else None for x in texts]
+        known = self.pieces.__contains__
+        new = set(filterfalse(known, chain.from_iterable(filter(None, plain))))
+        if len(self.pieces) + len(new) > self.LIMIT:
+            self.pieces.clear()
+            new = set(chain.from_iterable(filter(None, plain)))
+        if len(self.words) > self.LIMIT:
+            self.words.clear()
         if new:
-            if len(self.known) > self.LIMIT:
-                self.known.clear()
-                new = set().union(*words)
-            new = list(new)
-            for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        get = self.known.__getitem__
-        out = []
-        for x, p, w in zip(texts, plain, words, strict=True):
-            if x and p is None:
+            self._learn(new)
+        end, get, out = struct.pack("<I", END_ID), self.pieces.__getitem__, []
+        for x, pieces in zip(texts, plain, strict=True):
+            if not x:
+                out.append(end)
+                continue
+            ids = None
+            if pieces is not None:
+                found = list(map(get, pieces))
+                ids = None if None in found else b"".join(found)
+            if ids is None:
                 ids = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            else:
-                ids = b"".join(map(get, w))
             out.append(ids + end)
         return out
 
