@@ -41,8 +41,8 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     heads = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
     codes = _letters()[points]
     n = len(offsets) - 1
-    codes = np.insert(codes, np.repeat(heads[:-1], 1), MARK) if n else codes
-    heads = heads + np.arange(n + 1)
+    codes = np.insert(codes, np.concatenate((heads[:-1], heads[1:])), MARK) if n else codes
+    heads = heads + 2 * np.arange(n + 1)
     first = np.zeros(len(codes), dtype=bool)
     first[heads[:-1]] = True
     before = np.empty_like(codes)
