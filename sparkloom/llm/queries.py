@@ -9,6 +9,33 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+_LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(text: str, separators: str) -> str:
+    return f"list_filter(string_split_regex({_LOW.format(text)}, '[{separators}]+'), lambda x: x <> '')"
+
+
+_ALNUM = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+
+CONTAMINATION_SQL = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words("text", _ALNUM)} AS w FROM documents),
+i AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_words("text", _ALNUM)} AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[j : j + n - 1], ' ') AS win FROM i, unnest(range(1, len(w) - n + 2)) AS t(j)),
+dw AS (SELECT r, j, s.n, array_to_string(w[j : j + s.n - 1], ' ') AS win FROM d, (SELECT DISTINCT n FROM win) s, unnest(range(1, len(w) - s.n + 2)) AS t(j)),
+hit AS (SELECT r, j, dw.n, item_id FROM dw JOIN win ON dw.n = win.n AND dw.win = win.win),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(j, j + n)) AS p FROM hit) GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN pos USING (r) LEFT JOIN ids USING (r)"""
+
+COMPONENTS_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, {_words("text", r" \x09-\x0D")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[j : j + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, least(len(w), 1)) + 1)) AS t(j)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+reach AS (SELECT a AS doc_id, b AS other FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1) USING (doc_id)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -37,7 +64,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@register("op3_decontaminate")
+@register("op3_decontaminate", CONTAMINATION_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.decontaminate import contamination
 
@@ -58,11 +85,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@register("op6_jaccard_join")
+@register("op6_jaccard_join", COMPONENTS_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.jaccard_join import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
 @register("op7_ann")
