@@ -80,14 +80,19 @@ def _signature(values, count: int):
     return F.array(*[F.array_min(F.transform(values, _order(j))) for j in range(count)])
 
 
+def _held(bits, log2: int):
+    """Places and hashes of the shingles that may be a minimum of some template in some class."""
+    marked = F.transform("s", lambda h, i: F.when(in_bitmap(bits, h, log2), F.struct(i.alias("i"), h.alias("h"))))
+    return F.filter(marked, lambda p: p.isNotNull())
+
+
 def _windows(bits, log2: int, width: int, step: int):
-    """Numbers of the class's windows that hold a shingle of the bitmap."""
-    places = F.filter(F.transform("s", lambda h, i: F.when(in_bitmap(bits, h, log2), i)), lambda p: p.isNotNull())
+    """Numbers of the class's windows that hold a shingle of the class's bitmap."""
 
     def around(p):
-        return F.sequence(F.greatest(F.lit(0), F.ceil((p - width + 1) / step).cast("int")), F.floor(p / step).cast("int"))
+        return F.sequence(F.greatest(F.lit(0), F.ceil((p["i"] - width + 1) / step).cast("int")), F.floor(p["i"] / step).cast("int"))
 
-    return F.array_distinct(F.flatten(F.transform(places, around)))
+    return F.array_distinct(F.flatten(F.transform(F.filter("held", lambda p: in_bitmap(bits, p["h"], log2)), around)))
 
 
 def _cut_out(starts, width: int, step: int):
@@ -133,12 +138,13 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
         for x in made[1:]:
             keys = keys.unionAll(x)
         keys = cut(keys)
+        # the shingle that is a template's minimum in a band: the band's value with the constant taken out
+        undo = F.array(*[F.col("value").bitwiseXOR(F.lit(_constant(j))) for j in range(max(map(bands, classes)))])
+        minima = cut(keys.select("width", F.element_at(undo, F.col("band") + 1).alias("m")).distinct())
+        log2 = log2_size(minima.count())
+        rows = rows.withColumn("held", _held(bitmap_literal(minima, "m", log2), log2))
         for width in classes:
-            # the shingle that is a template's minimum in a band: the band's value with the constant taken out
-            own = keys.where(F.col("width") == width)
-            minima = own.select(F.element_at(F.array(*[F.col("value").bitwiseXOR(F.lit(_constant(j))) for j in range(bands(width))]), F.col("band") + 1).alias("m")).distinct()
-            log2 = log2_size(minima.count())
-            bits = bitmap_literal(minima, "m", log2)
+            bits = bitmap_literal(minima.where(F.col("width") == width), "m", log2)
             step = size_class(next(n for n in range(1, width + 1) if size_class(n)[0] == width))[1]
             rows = rows.withColumn(f"b{width}", _windows(bits, log2, width, step))
             found.append(_cut_out(F.col(f"b{width}"), width, step))
