@@ -186,6 +186,22 @@ def test_passages_that_repeat_are_found_and_cut_out(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out.values())
 
 
+@pytest.mark.parametrize(("parts", "between"), [((200, 200), 150), ((60, 60), 100), ((300, 60, 200), 150)])
+def test_all_passages_of_a_chain_are_found(spark, parts, between):
+    rng = random.Random(11)
+    shared = [sentence(rng, n, 10**6) for n in parts]
+    texts, at = [], []
+    for _ in range(2):
+        words = []
+        for text in shared:
+            words += sentence(rng, between, 10**6).split(" ")
+            at.append((len(words), len(words) + len(text.split(" "))))
+            words += text.split(" ")
+        texts.append(" ".join(words))
+    found = substring_dedup.repeated_passages(frame(spark, [(0, texts[0]), (1, texts[1])])).collect()
+    assert sorted((r["start_word"], r["end_word"]) for r in found) == at[len(parts) :]
+
+
 def test_odd_rows_have_no_passages(spark):
     rng = random.Random(9)
     text = sentence(rng, 80, 10**6)
