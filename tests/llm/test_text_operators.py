@@ -202,6 +202,20 @@ def test_all_passages_of_a_chain_are_found(spark, parts, between):
     assert sorted((r["start_word"], r["end_word"]) for r in found) == at[len(parts) :]
 
 
+def test_passages_whose_parts_stand_in_earlier_texts_are_found(spark):
+    rng = random.Random(12)
+    words = sentence(rng, 60, 10**6).split(" ")
+
+    def text(part):
+        return f"{sentence(rng, 70, 10**6)} {' '.join(part)} {sentence(rng, 40, 10**6)}"
+
+    for earlier in ([words[:45]], [words[:45], words[15:]]):
+        docs = [(i, text(part)) for i, part in enumerate([*earlier, words, words])]
+        found = substring_dedup.repeated_passages(frame(spark, docs)).collect()
+        last, at = len(docs) - 1, {(r["doc_id"], r["ref_id"]): (r["start_word"], r["end_word"]) for r in found}
+        assert at == {(last, last - 1): (70, 130)}
+
+
 def test_odd_rows_have_no_passages(spark):
     rng = random.Random(9)
     text = sentence(rng, 80, 10**6)
