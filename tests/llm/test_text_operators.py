@@ -216,6 +216,26 @@ def test_passages_whose_parts_stand_in_earlier_texts_are_found(spark):
         assert at == {(last, last - 1): (70, 130)}
 
 
+def test_changed_passages_reach_the_recall_that_is_stated(spark):
+    rng = random.Random(13)
+    docs, asked = [], {}
+    for n in (50, 80):
+        for share in (0.8, 0.85, 0.9, 0.95):
+            for _ in range(15):
+                words = sentence(rng, n, 10**6).split(" ")
+                other = list(words)
+                for i in rng.sample(range(1, n - 1), round(n * (1 - share))):
+                    other[i] = f"m{rng.randrange(10**6)}"
+                pair = len(docs)
+                docs += [(pair + j, f"{sentence(rng, 30, 10**6)} {' '.join(x)} {sentence(rng, 30, 10**6)}") for j, x in enumerate((words, other))]
+                asked[pair + 1] = share
+    found = {r["doc_id"] for r in substring_dedup.repeated_passages(frame(spark, docs)).collect()}
+    assert found <= set(asked)
+    for share in (0.8, 0.85, 0.9, 0.95):
+        of = [d for d, s in asked.items() if s == share]
+        assert sum(d in found for d in of) >= 0.9 * len(of), (share, sum(d in found for d in of), len(of))
+
+
 def test_odd_rows_have_no_passages(spark):
     rng = random.Random(9)
     text = sentence(rng, 80, 10**6)
