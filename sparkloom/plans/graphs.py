@@ -174,15 +174,26 @@ def centroid_by_label(spark, d):
 
 @query("lsh_ann_topk")
 def lsh_ann_topk(spark, d):
-    """Random-hyperplane signatures in 16 bands of 6 bits find candidates, exact cosine ranks them."""
+    """Random-hyperplane signatures in 16 bands of 6 bits find candidates, exact cosine ranks them. Queries
+    also look where one bit of a band differs; those with fewer than 5 candidates are compared with all rows."""
     import numpy as np
 
-    planes = np.random.default_rng(3).standard_normal((96, 64))
     from sparkloom.functions.vector import dot
 
+    planes = np.random.default_rng(3).standard_normal((96, 64)).reshape(16, 6, 64).tolist()
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    bands = F.array(*[F.concat_ws("", F.lit(f"{b}:"), *[(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in planes[b * 6 + i]])) > 0).cast("int").cast("string") for i in range(6)]) for b in range(8)])
-    keyed = e.withColumn("band", F.explode(bands))
-    q = keyed.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "band")
-    pairs = keyed.join(q, "band").where("query_id <> vec_id").dropDuplicates(["query_id", "vec_id"]).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+
+    def key(ps, b):
+        bits = F.transform(ps, lambda p, i: F.when(dot(F.col("embedding"), p) > 0, F.pow(F.lit(2), i).cast("int")).otherwise(0))
+        return b * 64 + F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+
+    signed = e.withColumn("bands", F.transform(F.lit(planes), key))
+    near = F.flatten(F.transform("bands", lambda k: F.array(k, *[k.bitwiseXOR(F.lit(1 << i)) for i in range(6)])))
+    q = signed.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), near.alias("near"))
+    pairs = signed.select("vec_id", "embedding", F.explode("bands").alias("band")).join(q.select("query_id", "q", F.explode("near").alias("band")), "band")
+    pairs = pairs.where("query_id <> vec_id").dropDuplicates(["query_id", "vec_id"]).select("query_id", "vec_id", "q", "embedding")
+    served = pairs.groupBy("query_id").count().where("count >= 5")
+    short = q.select("query_id", "q").join(served, "query_id", "left_anti")
+    rest = e.join(short, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", "q", "embedding")
+    pairs = pairs.join(served, "query_id", "left_semi").unionAll(rest).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
     return top_per_group(pairs, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).select("query_id", "vec_id", "score")

@@ -24,3 +24,16 @@ def test_a_sample_of_queries_equals_their_oracles(spark):
         out = con.sql(catalog.oracle_sql()[name])
         df = catalog.queries()[name](spark, SF).select(*out.columns)
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, out.fetchall())), name
+
+
+def test_lsh_neighbours_reach_the_recall_of_an_index(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        found, exact = ({(r["query_id"], r["vec_id"]) for r in catalog.queries()[n](spark, f"/root/testdata/{sf}").collect()} for n in ("lsh_ann_topk", "cosine_topk"))
+        assert len(found) == len(exact) and len(found & exact) >= 0.9 * len(exact)
+
+
+def test_lsh_neighbours_are_five_even_without_candidates(spark, tmp_path):
+    # all but one vector point the other way
+    rows = [(i, [float((j * 7 + i) % 3 + 1) * (1 if i == 50 else -1) for j in range(64)], 0) for i in range(45, 56)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert catalog.queries()["lsh_ann_topk"](spark, str(tmp_path)).count() == 5
