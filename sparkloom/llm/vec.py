@@ -124,6 +124,14 @@ def _run_hash(hashes: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
     return mix(total)
 
 
+def long_runs(hashes: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each place on, from prefix sums: the work doesn't depend on k."""
+    up, down = _power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return mix((sums[first + k] - sums[first]) * down[first] + np.uint64(k))
+
+
 def distinct_rows(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row, and their number."""
     out, sizes, at = [], np.zeros(len(counts), dtype=np.int64), 0

@@ -167,8 +167,62 @@ def test_alignment_bridges_changes_and_gaps():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 10**6, 80).astype(np.uint32)
     b = np.concatenate((a[:30], [1, 2, 3], a[30:50], a[52:])).astype(np.uint32)
-    start, end, rs, re, same = substring_dedup.align(a, b, 20, 0 if len(a) == len(b) else 0)
-    assert (start, end, rs, re) == (0, 80, 0, 81) and same == 78
+    for links in ([(10, 16, 10)], [(10, 16, 10), (70, 76, 71)], [(60, 66, 61)]):
+        x, y, same, at_start, at_end = substring_dedup._columns(a, b, links)
+        assert substring_dedup.alike(x[:-1], y[:-1], same, 50, 0.8) == [(0, 80, 0, 81, 78)], links
+        assert at_start == [True, True] and at_end == [True, True]
+
+
+def test_bound_by_neighbours_loses_no_passage():
+    rng = np.random.default_rng(3)
+    runs, others, first, rfirst, diagonal, want = [], [], [], [], [], []
+    for _ in range(200):
+        a = rng.integers(0, 40, 150).astype(np.uint32)
+        b = rng.integers(0, 40, 150).astype(np.uint32)
+        if rng.random() < 0.5:
+            b[60:110] = a[60:110]
+            b[60 + rng.choice(50, rng.integers(5, 30), replace=False)] += np.uint32(1000)
+        plain = np.zeros(150, dtype=bool)
+        for d in range(-16, 17):
+            same = np.array([0 <= i + d < 150 and a[i] | 2 == b[i + d] | 2 for i in range(150)])
+            plain[1:] |= same[1:] & same[:-1]
+            plain[:-1] |= same[1:] & same[:-1]
+        want.append(any(plain[i:j].sum() - 0.4 * (j - i) >= -1 - 1e-9 for i in range(101) for j in range(i + 50, 151)))
+        runs.append(a), others.append(b), first.append(150 * len(first)), rfirst.append(150 * len(rfirst)), diagonal.append(0)
+    n = np.full(200, 150)
+    got = substring_dedup.promising(np.concatenate(runs), np.concatenate(others), np.array(first), n, np.array(diagonal), np.array(rfirst), n, 16, 50, 0.8)
+    assert got.tolist() == want and 20 < sum(want) < 180
+
+
+def test_repeats_inside_a_text_and_parts_of_a_passage_in_earlier_texts(spark):
+    rng = random.Random(21)
+    words = sentence(rng, 70, 10**6).split(" ")
+    docs = [(1, " ".join(words[:38])), (2, " ".join(words[-38:])), (5, " ".join(words)), (9, f"{sentence(rng, 30, 10**6)} {' '.join(words)}")]
+    own = sentence(rng, 70, 10**6)
+    docs += [(20, f"{own} {sentence(rng, 20, 10**6)} {own}"), (21, "line of eight words that comes on and " * 100)]
+    found = {(r["doc_id"], r["ref_id"], r["start_word"], r["end_word"]) for r in substring_dedup.repeated_passages(frame(spark, docs)).collect()}
+    assert found == {(9, 5, 30, 100), (20, 20, 90, 160), (21, 21, 8, 800)}
+    left = {r["doc_id"]: alnum_words(r["text"]) for r in substring_dedup.remove_repeats(frame(spark, docs)).collect()}
+    assert len(left[20]) == 90 and len(left[21]) == 8 and len(left[9]) == 30
+
+
+def test_exact_passages_equal_brute_force(spark):
+    """Texts made of shared and own stretches: every word in a run of 53 words that another place has
+    before is reported, and no word that no run of 50 words at 0.8 can hold."""
+    rng = random.Random(22)
+    pool = [sentence(rng, n, 10**6).split(" ") for n in (30, 55, 80, 120, 200)]
+    texts = [sum((rng.choice(pool)[rng.choice([0, 0, 10]) :] if rng.random() < 0.5 else sentence(rng, 25, 10**6).split(" ") for _ in range(6)), []) for _ in range(40)]
+    found = {}
+    for r in substring_dedup.repeated_passages(frame(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+        part, other = texts[r["doc_id"]][r["start_word"] : r["end_word"]], texts[r["ref_id"]][r["ref_start"] : r["ref_end"]]
+        assert len(set(part) & set(other)) >= 0.6 * len(set(part))
+    seen = {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 52):
+            run = tuple(t[at : at + 53])
+            if seen.setdefault(run, (i, at)) != (i, at):
+                assert found.get(i, set()) >= set(range(at, at + 53)), (i, at)
 
 
 def test_passages_that_repeat_are_found_and_cut_out(spark):
