@@ -15,24 +15,28 @@ and of the next larger sizes. Spare groups make it unnecessary to route by group
 
 Work is linear in shared groups: first every meeting is linked to one centre and those links are
 verified and merged to components; then only meetings that still hold several components are searched
-for pairs between different components. Nothing is capped, and copies (equal sets) count once.
+for pairs between different components, one of several meetings of the same texts. Meetings hold keys
+alone; points, which take a quarter byte a token, are joined to distinct pairs and members, and token sets
+are made for the texts that the bound leaves. Nothing is capped, and copies (equal sets) count once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
 from sparkloom.llm.components import components
-from sparkloom.llm.store import ROW, bitmap, cut, in_bitmap, mix, row_slot, unique_ids
+from sparkloom.llm.store import ROW, bitmap, cut, drop, in_bitmap, mix, row_slot, unique_ids
 
-GROUPS = 128  # coordinates of a point
-LEAF = 32  # points in a leaf of the R-tree
+SHARE = 4  # tokens to a coordinate of a point, at least half of that
+LEAF, FAN = 32, 8  # points in a leaf of the R-tree, leaves under a node
 BLOCK, BLOCK_TOKENS = 1024, 1 << 20  # members, and their tokens, that one task compares with as many others
 
 
@@ -74,23 +78,42 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield lo, hi, values, sizes, _digest(values, sizes)
 
 
+def point_of(tokens: np.ndarray) -> np.ndarray:
+    """Counts of the tokens' groups, as bytes. Groups are low bits and their number is a power of two, so
+    that a point of more groups can be folded to one of fewer."""
+    groups = 1 << max(4, (len(tokens) // SHARE).bit_length())
+    while True:
+        counts = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
+
+
 def _class_rows(k: int):
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, _, sizes, keys in _sets(batch, k):
+            for lo, hi, values, sizes, keys in _sets(batch, k):
+                ends = np.cumsum(sizes)
+                points = [point_of(values[e - n : e]).tobytes() if n else b"" for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, hi - lo), pa.array(keys), pa.array(sizes)], ["doc_id", "k1", "n"]
+                    [ids.slice(lo, hi - lo), pa.array(keys), pa.array(sizes), pa.array(points, pa.binary())], ["doc_id", "k1", "n", "point"]
                 )
 
     return run
 
 
-def _route_rows(k: int, num: int, den: int):
+def _first_rows(batch: pa.RecordBatch, rep_bits) -> pa.RecordBatch:
+    """Rows whose id may be the first of its set, and those without id: copies are few among them."""
+    rep = batch.column(1).to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(in_bitmap(rep_bits.value, rep) | np.asarray(batch.column(2))))
+
+
+def _route_rows(k: int, num: int, den: int, rep_bits):
     def run(batches):
         edges, plans = [1], {}
         for batch in batches:
-            for _, _, values, sizes, keys in _sets(batch, k):
+            for _, _, values, sizes, keys in _sets(_first_rows(batch, rep_bits), k):
                 if not len(values):
                     continue
                 if edges[-1] <= sizes.max():
@@ -130,26 +153,31 @@ def _route_rows(k: int, num: int, den: int):
     return run
 
 
-def _node_rows(k: int, key_bits, rep_bits):
+def _meeting_rows(batches):
+    """Of rows (sig, k1) in this order, (sig, mn, k1) of every key but the first (mn) of a signature, once."""
+    last_sig = last_key = least = None
+    for batch in batches:
+        sig, key = (batch.column(i).to_numpy() for i in range(2))
+        if not len(sig):
+            continue
+        new = np.concatenate(([sig[0] != last_sig], sig[1:] != sig[:-1]))
+        again = ~new & (key == np.concatenate(([last_key if last_key is not None else 0], key[:-1])))
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
+        mn = np.where(begin >= 0, key[np.maximum(begin, 0)], 0 if least is None else least)
+        keep = ~new & ~again
+        last_sig, last_key, least = sig[-1], key[-1], mn[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(mn[keep]), pa.array(key[keep])], ["sig", "mn", "k1"])
+
+
+def _token_rows(k: int, key_bits, rep_bits):
     def run(batches):
         for batch in batches:
-            rep = batch.column(1).to_numpy(zero_copy_only=False)
-            wanted = in_bitmap(rep_bits.value, rep) | np.asarray(batch.column(2))
-            batch = batch.filter(pa.array(wanted))
-            for _, _, values, sizes, keys in _sets(batch, k):
-                rows = []
+            for _, _, values, sizes, keys in _sets(_first_rows(batch, rep_bits), k):
                 ends = np.cumsum(sizes)
-                seen = in_bitmap(key_bits.value, _jvm_slot(keys))
-                for i in np.flatnonzero(seen & (sizes > 0)).tolist():
-                    part = values[ends[i] - sizes[i] : ends[i]]
-                    point = np.bincount((part & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-                    rows.append((int(keys[i]), int(sizes[i]), point.astype(np.int32).tobytes(), part.tobytes()))
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-                        ["k1", "n", "point", "tokens"],
-                    )
+                seen = np.flatnonzero(in_bitmap(key_bits.value, _jvm_slot(keys)) & (sizes > 0))
+                if len(seen):
+                    sets = [values[ends[i] - sizes[i] : ends[i]].tobytes() for i in seen.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[seen]), pa.array(sets, pa.binary())], ["k1", "tokens"])
 
     return run
 
@@ -159,12 +187,11 @@ def _jvm_slot(keys: np.ndarray) -> np.ndarray:
     return keys & np.int64((1 << 24) - 1)
 
 
-def _points(column: pa.Array) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    if not len(column):
-        return np.zeros((0, GROUPS), np.int32)
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+def _points(column: pa.Array, groups: int = 0) -> np.ndarray:
+    """Points folded to the groups that the one of fewest has, or to so many."""
+    rows = [np.frombuffer(x, dtype=np.uint8) for x in column.to_pylist()]
+    groups = groups or min(map(len, rows), default=1)
+    return np.array([x if len(x) == groups else x.reshape(-1, groups).sum(0) for x in rows], dtype=np.int32).reshape(len(rows), groups)
 
 
 def _bounded(num: int, den: int):
@@ -172,12 +199,18 @@ def _bounded(num: int, den: int):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.slice(at, 4096)
-                shared = np.minimum(_points(part.column("pa")), _points(part.column("pb"))).sum(1)
-                total = part.column("na").to_numpy() + part.column("nb").to_numpy()
-                part = part.filter(pa.array(den * shared >= num * (total - shared)))
-                yield part.select(["a", "b"])
+            fewer = pc.min_element_wise(pc.binary_length(batch.column("pa")), pc.binary_length(batch.column("pb"))).to_numpy()
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = np.zeros(len(batch), dtype=bool)
+            for groups in np.unique(fewer).tolist():
+                rows = np.flatnonzero(fewer == groups)
+                step = max(1, (1 << 20) // groups)
+                for at in range(0, len(rows), step):
+                    some = rows[at : at + step]
+                    left, right = (_points(batch.column(c).take(pa.array(some)), groups) for c in ("pa", "pb"))
+                    shared = np.minimum(left, right).sum(1)
+                    keep[some] = den * shared >= num * (total[some] - shared)
+            yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     return run
 
@@ -196,36 +229,46 @@ def _verified(num: int, den: int):
     return run
 
 
+def minima(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Summed coordinate minima of each two points: min(a, b) is the number of t up to a and b."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for t in range(1, int(min(left.max(initial=0), right.max(initial=0))) + 1):
+        out += (left >= t).astype(np.float32) @ (right >= t).astype(np.float32).T
+    return out.astype(np.int64)
+
+
 class RTree:
     """STR-packed R-tree over count points: for each node the largest count of every group and the
     smallest set size, two levels above the points."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((points[:, 0], points[:, : GROUPS // 2].sum(1) // 4, sizes // 8))
+        order = np.lexsort((points[:, 0], points[:, : points.shape[1] // 2].sum(1) // 4, sizes // 8))
         self.order, self.points, self.sizes = order, points[order], sizes[order]
-        starts = np.arange(0, len(order), LEAF)
-        self.starts = starts
-        self.upper = np.maximum.reduceat(self.points, starts, axis=0)
-        self.least = np.minimum.reduceat(self.sizes, starts)
-        top = np.arange(0, len(starts), LEAF)
-        self.top, self.top_upper, self.top_least = top, np.maximum.reduceat(self.upper, top, axis=0), np.minimum.reduceat(self.least, top)
-
-    def search(self, point: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """Places of the points whose bound reaches the similarity."""
-
-        def fits(upper, least):
-            shared = np.minimum(upper, point).sum(1)
-            return den * shared >= num * (size + least - shared)
-
-        inner = [i for t in np.flatnonzero(fits(self.top_upper, self.top_least)) for i in range(self.top[t], min(self.top[t] + LEAF, len(self.starts)))]
-        if not inner:
-            return np.zeros(0, dtype=np.int64)
-        inner = np.array(inner)
-        inner = inner[fits(self.upper[inner], self.least[inner])]
-        at = np.array([j for i in inner for j in range(self.starts[i], min(self.starts[i] + LEAF, len(self.order)))], dtype=np.int64)
-        if not len(at):
-            return at
-        return self.order[at[fits(self.points[at], self.sizes[at])]]
+        self.starts = np.arange(0, len(order), LEAF)
+        self.upper = np.maximum.reduceat(self.points, self.starts, axis=0)
+        self.least = np.minimum.reduceat(self.sizes, self.starts)
+        self.top = np.arange(0, len(self.starts), FAN)
+        self.top_upper, self.top_least = np.maximum.reduceat(self.upper, self.top, axis=0), np.minimum.reduceat(self.least, self.top)
+
+    def join(self, other: RTree, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Places of the points of other whose bound with one of these reaches the similarity, point by
+        point; of a tree joined to itself every pair comes in one order at least. Node by node, only the
+        leaves whose bound does so are compared."""
+        for t, (upper, least) in enumerate(zip(self.top_upper, self.top_least, strict=True)):
+            shared = np.minimum(other.upper, upper).sum(1)
+            fits = den * shared >= num * (least + other.least - shared)
+            if self is other:
+                fits[: t * FAN] = False  # met from the other side
+            leaves = np.flatnonzero(fits)
+            if not len(leaves):
+                continue
+            at = (other.starts[leaves][:, None] + np.arange(LEAF)).ravel()
+            at = at[at < len(other.order)]
+            rows = np.arange(t * FAN * LEAF, min((t + 1) * FAN * LEAF, len(self.order)))
+            shared = minima(self.points[rows], other.points[at])
+            near = den * shared >= num * (self.sizes[rows][:, None] + other.sizes[at] - shared)
+            for i in np.flatnonzero(near.any(1)).tolist():
+                yield int(self.order[rows[i]]), other.order[at[near[i]]]
 
 
 def _blocks(table, first: int, second: int):
@@ -233,25 +276,46 @@ def _blocks(table, first: int, second: int):
     return np.flatnonzero(block == first), np.flatnonzero(block == second)
 
 
+def _near_pairs(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int):
+    """Pairs (one of left, those of right) whose bound reaches the similarity."""
+    if len(left) and len(right):
+        tree = RTree(points[left], sizes[left])
+        same = len(left) == len(right) and left[0] == right[0]
+        for i, found in tree.join(tree if same else RTree(points[right], sizes[right]), num, den):
+            yield int(left[i]), right[found]
+
+
 def _partners(num: int, den: int):
-    """Of one meeting (or two blocks of a large one), which members a tree search gives partners in other
-    components: links (a, b) that span the groups of partners, so fewer than the members."""
+    """Of meetings (or two blocks of a large one, in rows that follow each other), which members a tree
+    search gives partners in other components: links (a, b) that span the groups of partners of a
+    meeting, so fewer than the members."""
 
-    def run(key, table):
+    def links(table):
         k1, comp = table.column("k1").to_numpy(), table.column("comp").to_numpy()
-        points, sizes = _points(table.column("point")), table.column("n").to_numpy()
-        left, right = _blocks(table, key[1].as_py(), key[2].as_py())
-        union = Union()
-        a, b = [], []
-        if len(left) and len(right):
-            tree = RTree(points[right], sizes[right])
-            for i in left.tolist():
-                found = right[tree.search(points[i], int(sizes[i]), num, den)]
-                for j in found[comp[found] != comp[i]].tolist():
-                    if union.join(int(k1[i]), int(k1[j])):
-                        a.append(k1[i])
-                        b.append(k1[j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        sizes = table.column("n").to_numpy()
+        left, right = _blocks(table, table.column("b1")[0].as_py(), table.column("b2")[0].as_py())
+        union, points = Union(), _points(table.column("point"))
+        for i, found in _near_pairs(points, sizes, left, right, num, den):
+            for j in found[comp[found] != comp[i]].tolist():
+                if union.join(int(k1[i]), int(k1[j])):
+                    yield int(k1[i]), int(k1[j])
+
+    def run(batches):
+        held = None
+        for batch in chain(batches, (None,)):
+            table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if table is None or not len(table):
+                continue
+            ids = np.stack([table.column(c).to_numpy() for c in ("sig", "b1", "b2")])
+            begins = np.concatenate(([0], np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1, [len(table)])).tolist()
+            if batch is None:
+                held = None
+            else:
+                held = table.slice(begins[-2])
+                begins.pop()
+            out = [x for lo, hi in zip(begins, begins[1:], strict=False) for x in links(table.slice(lo, hi - lo).combine_chunks())]
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -286,18 +350,16 @@ def _spanning(num: int, den: int):
         left, right = _blocks(table, key[1].as_py(), key[2].as_py())
         union = Union()
         a, b = [], []
-        if len(left) and len(right):
-            tree = RTree(points[right], sizes[right])
-            for i in left.tolist():
-                own = np.frombuffer(sets[i], dtype=np.uint64)
-                for j in right[tree.search(points[i], int(sizes[i]), num, den)].tolist():
-                    if union.root(comp[i]) == union.root(comp[j]):
-                        continue
-                    shared = len(np.intersect1d(own, np.frombuffer(sets[j], dtype=np.uint64), assume_unique=True))
-                    if den * shared >= num * (int(sizes[i]) + int(sizes[j]) - shared):
-                        union.join(comp[i], comp[j])
-                        a.append(k1[i])
-                        b.append(k1[j])
+        for i, found in _near_pairs(points, sizes, left, right, num, den):
+            own = np.frombuffer(sets[i], dtype=np.uint64)
+            for j in found.tolist():
+                if union.root(comp[i]) == union.root(comp[j]):
+                    continue
+                shared = len(np.intersect1d(own, np.frombuffer(sets[j], dtype=np.uint64), assume_unique=True))
+                if den * shared >= num * (int(sizes[i]) + int(sizes[j]) - shared):
+                    union.join(comp[i], comp[j])
+                    a.append(k1[i])
+                    b.append(k1[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -317,17 +379,6 @@ def _dealt(members: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _check(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    points = nodes.select("k1", "n", "point")
-    near = (
-        pairs.join(points.toDF("a", "na", "pa"), "a")
-        .join(points.toDF("b", "nb", "pb"), "b")
-        .mapInArrow(_bounded(num, den), "a long, b long")
-    )
-    sets = nodes.select("k1", "tokens")
-    return near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").mapInArrow(_verified(num, den), "a long, b long")
-
-
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, n_verified_links, component_id) of every row of docs.
 
@@ -340,47 +391,60 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     Columns beyond the two named ones are ignored. An empty table gives an empty result."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    classes = cut(docs.mapInArrow(_class_rows(k), "doc_id long, k1 long, n long"))
-    reps = classes.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep"))
-
-    routes = docs.select("text").mapInArrow(_route_rows(k, num, den), "sig long, k1 long")
-    live = cut(
-        routes.withColumn("mn", F.min("k1").over(Window.partitionBy("sig"))).where("k1 <> mn").distinct()
-    )
-    pairs = live.select(F.col("mn").alias("a"), F.col("k1").alias("b")).distinct()
-    wanted = live.select("k1").union(live.select("mn")).distinct()
-    wanted = cut(wanted.join(reps, "k1"))
-    key_bits = spark.sparkContext.broadcast(_key_bitmap(wanted))
-    rep_bits = spark.sparkContext.broadcast(bitmap(wanted.where("rep is not null"), "rep"))
-    nodes = cut(
-        docs.select("text", F.coalesce(row_slot("doc_id"), F.lit(0)).alias("slot"), F.col("doc_id").isNull().alias("nameless"))
-        .mapInArrow(_node_rows(k, key_bits, rep_bits), "k1 long, n long, point binary, tokens binary")
-        .join(wanted.select("k1"), "k1", "left_semi")
-        .dropDuplicates(["k1"])
+    classes = cut(docs.mapInArrow(_class_rows(k), "doc_id long, k1 long, n long, point binary"))
+    nodes = cut(classes.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("point").alias("point")))
+    rep_bits = spark.sparkContext.broadcast(bitmap(nodes.where("rep is not null"), "rep"))
+    texts = docs.select("text", F.coalesce(row_slot("doc_id"), F.lit(0)).alias("slot"), F.col("doc_id").isNull().alias("nameless"))
+
+    def tokens(keys):
+        """(k1, tokens) of these keys, and of some more."""
+        key_bits = spark.sparkContext.broadcast(_key_bitmap(keys))
+        return texts.mapInArrow(_token_rows(k, key_bits, rep_bits), "k1 long, tokens binary").join(keys, "k1", "left_semi").dropDuplicates(["k1"])
+
+    routes = texts.mapInArrow(_route_rows(k, num, den, rep_bits), "sig long, k1 long")
+    live = cut(routes.repartition("sig").sortWithinPartitions("sig", "k1").mapInArrow(_meeting_rows, "sig long, mn long, k1 long"))
+    drop()
+    points = nodes.select("k1", "n", "point")
+    near = cut(
+        live.select(F.col("mn").alias("a"), F.col("k1").alias("b")).distinct()
+        .join(points.toDF("a", "na", "pa"), "a")
+        .join(points.toDF("b", "nb", "pb"), "b")
+        .mapInArrow(_bounded(num, den), "a long, b long")
     )
-    links = cut(_check(pairs, nodes, num, den))
-    roots = cut(components(links))
+    sets = tokens(near.select(F.col("a").alias("k1")).union(near.select("b")).distinct())
+    links = cut(near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").mapInArrow(_verified(num, den), "a long, b long"))
+    drop(near)
+    roots = components(links)
 
-    # meetings that hold several components still
-    member = live.select("sig", "k1").union(live.select("sig", F.col("mn").alias("k1")).distinct())
+    # meetings that hold several components still, one of those of the same texts
+    member = live.select("sig", "k1").unionAll(live.select("sig", F.col("mn").alias("k1")).distinct())
     member = member.join(roots.withColumnRenamed("node", "k1"), "k1", "left").select("sig", "k1", F.coalesce("root", "k1").alias("comp"))
-    mixed = member.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi and m > 2")
-    small = nodes.select("k1", "n", "point")
-    met = _dealt(member.join(mixed.select("sig"), "sig").join(small.select("k1", "n"), "k1"), "sig").drop("n").join(small, "k1")
-    near = met.select("sig", "b1", "b2", "block", "k1", "comp", "n", "point").groupBy("sig", "b1", "b2").applyInArrow(_partners(num, den), "a long, b long")
-    # each text once, with those that its partners lead to
-    clusters = cut(components(near)).toDF("k1", "cluster")
-    comps = roots.withColumnRenamed("node", "k1").withColumnRenamed("root", "comp")
-    grouped = clusters.join(small.select("k1", "n"), "k1").join(comps, "k1", "left").withColumn("comp", F.coalesce("comp", "k1"))
-    apart = _dealt(grouped, "cluster").drop("n").join(nodes, "k1")
-    more = cut(
-        apart.select("cluster", "b1", "b2", "block", "k1", "comp", "n", "point", "tokens")
-        .groupBy("cluster", "b1", "b2")
-        .applyInArrow(_spanning(num, den), "a long, b long")
+    mixed = member.groupBy("sig").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor("k1").alias("x"), F.bit_xor(F.xxhash64("k1")).alias("y")
+    )
+    mixed = mixed.where("lo < hi and m > 2").groupBy("x", "y", "m").agg(F.min("sig").alias("sig"))
+    met = _dealt(cut(member.join(mixed.select("sig"), "sig").join(points.select("k1", "n"), "k1")), "sig").join(points.select("k1", "point"), "k1")
+    closer = cut(
+        met.select("sig", "b1", "b2", "block", "k1", "comp", "n", "point")
+        .repartition("sig", "b1", "b2")
+        .sortWithinPartitions("sig", "b1", "b2")
+        .mapInArrow(_partners(num, den), "a long, b long")
     )
-    if not more.isEmpty():
+    drop(live)
+    if not closer.isEmpty():
+        # each text once, with those that its partners lead to
+        clusters = components(closer).toDF("k1", "cluster")
+        comps = roots.withColumnRenamed("node", "k1").withColumnRenamed("root", "comp")
+        grouped = cut(clusters.join(points, "k1").join(comps, "k1", "left").withColumn("comp", F.coalesce("comp", "k1")))
+        apart = _dealt(grouped, "cluster").join(tokens(grouped.select("k1")), "k1")
+        more = cut(
+            apart.select("cluster", "b1", "b2", "block", "k1", "comp", "n", "point", "tokens")
+            .groupBy("cluster", "b1", "b2")
+            .applyInArrow(_spanning(num, den), "a long, b long")
+        )
         links = links.unionAll(more)
         roots = components(links)
+    reps = nodes.select("k1", "rep")
     degree = links.select("a").unionAll(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("k1")).agg(F.count("*").alias("n_verified_links"))
     named = (
         roots.withColumnRenamed("node", "k1")

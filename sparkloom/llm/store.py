@@ -42,11 +42,11 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables that cut() wrote and nothing reads any more. The collection lets Spark's cleaner
     delete the shuffle files of jobs that have ended, too."""
+    spark = SparkSession.active()
     for table in tables:
-        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written)
-        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

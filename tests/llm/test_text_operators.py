@@ -74,13 +74,25 @@ def test_late_links_of_a_large_group_are_found(spark):
 
 def test_tree_search_never_loses_a_pair_that_the_bound_allows():
     rng = np.random.default_rng(4)
-    points = rng.poisson(0.8, (700, jaccard_join.GROUPS)).astype(np.int32)
+    points = rng.poisson(0.8, (700, 128)).astype(np.int32)
     points[1::2] = np.maximum(points[::2] + rng.integers(-1, 2, points[::2].shape) * (rng.random(points[::2].shape) < 0.1), 0)
     sizes = points.sum(1).astype(np.int64)
-    tree = jaccard_join.RTree(points, sizes)
-    for i in range(0, 700, 35):
-        shared = np.minimum(points, points[i]).sum(1)
-        assert sorted(tree.search(points[i], int(sizes[i]), 80, 100)) == np.flatnonzero(100 * shared >= 80 * (sizes + sizes[i] - shared)).tolist()
+    shared = np.minimum(points[:, None], points[None]).sum(2)
+    want = 100 * shared >= 80 * (sizes[:, None] + sizes - shared)
+    tree, part = jaccard_join.RTree(points, sizes), jaccard_join.RTree(points[:90], sizes[:90])
+    own = {(min(i, j), max(i, j)) for i, found in tree.join(tree, 80, 100) for j in found.tolist()}
+    assert own == {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(want)), strict=True) if i <= j}
+    assert {(i, j) for i, found in part.join(tree, 80, 100) for j in found.tolist()} == {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(want[:90])), strict=True)}
+
+
+def test_points_fold_to_fewer_groups_and_bound_what_is_shared():
+    rng = np.random.default_rng(5)
+    for n, m in ((3, 5), (40, 47), (700, 880), (5000, 6000)):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: n // 2], rng.integers(0, 2**63, m - n // 2, dtype=np.uint64))))
+        points = jaccard_join._points(pa.array([jaccard_join.point_of(x).tobytes() for x in (a, b)]))
+        assert points.sum(1).tolist() == [len(a), len(b)]
+        assert np.minimum(*points).sum() >= len(np.intersect1d(a, b))
 
 
 def test_near_copies_leave_one(spark):
