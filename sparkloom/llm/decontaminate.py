@@ -41,14 +41,15 @@ def _place_of(value: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
-    """(len, fp, off, win, items): the distinct windows of all items; fp is the window's fingerprint
-    and off its place in it; of windows shorter than span, fp is the hash of the whole."""
+    """(len, fp, off, win, items): the distinct windows of all items, each with the sorted ids of those that
+    hold it; fp is the window's fingerprint and off its place in it; of windows shorter than span, fp is
+    the hash of the whole."""
     w = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w"))
     w = w.where(F.size("w") > 0).withColumn("len", F.least(F.size("w"), F.lit(span)))
     wins = w.select(
         "item_id", "len", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: F.slice("w", i + 1, F.col("len")))).alias("win")
     )
-    wins = wins.groupBy("len", "win").agg(F.collect_set("item_id").alias("items"))
+    wins = wins.groupBy("len", "win").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     wins = wins.withColumn("h", F.transform("win", lambda x: F.xxhash64(x)))
     wins = wins.withColumn("best", F.array_min(_placed(runs(F.col("h"), k))))
     full = F.col("len") == span
@@ -78,9 +79,12 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     (of the sorted item ids, comma-joined) and contaminated (n_hit > 0 and parts * n_hit >= n_words).
 
     An item of fewer words than span is one window; one without words, or without id, is none. A null
-    or empty text has no words. Repeated rows give a row each; other columns are ignored. Texts of up
-    to 2**27 words are handled. Items equal in text share their windows."""
-    wins = cut(benchmark_windows(items, span, k))
+    or empty text has no words. Repeated rows give a row each; other columns are ignored. Items equal
+    in text share their windows. A text's words are an array, which the JVM holds to 2**31 - 1 elements
+    and a row to 2 GB: texts come nowhere near the 2**27 words that places have room for."""
+    wins = benchmark_windows(items, span, k)
+    sets = cut(wins.select("items").distinct().withColumn("set", F.monotonically_increasing_id()))
+    wins = cut(wins.join(sets, "items").drop("items"))
     lengths = {r["len"]: r["n"] for r in wins.groupBy("len").agg(F.count("*").alias("n")).collect()}
     rows = docs.select("doc_id", words(F.col("text")).alias("w"))
     rows = rows.withColumns({"n": F.size("w"), "h": F.transform("w", lambda x: F.xxhash64(x))})
@@ -109,15 +113,20 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
     places = match.select("row", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
     past = F.coalesce(F.max("end").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     n_hit = places.select("row", F.greatest(F.lit(0), F.col("end") - F.greatest("start", past)).alias("new")).groupBy("row").agg(F.sum("new").alias("n_hit"))
-    ids = match.select("row", F.explode("items").alias("item")).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("ids"))
-    out = table.select("row", "doc_id", "n_words").join(n_hit.join(ids, "row"), "row", "left")
+    # windows of one passage have the same items: rows hold sets of items, and items are listed once for
+    # all rows that hold the same sets
+    combos = match.select("row", "set").distinct().groupBy("row").agg(F.sort_array(F.collect_set("set")).alias("sets"))
+    ids = combos.select("sets").distinct().select("sets", F.explode("sets").alias("set")).join(sets, "set")
+    ids = ids.select("sets", F.explode("items").alias("item")).groupBy("sets").agg(F.sort_array(F.collect_set("item")).alias("ids"))
+    ids = ids.select("sets", F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"))
+    out = table.select("row", "doc_id", "n_words").join(n_hit.join(combos, "row").join(ids, "sets"), "row", "left")
     hit_words = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         "doc_id",
         "n_words",
         hit_words.alias("n_hit"),
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "ids"), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((hit_words > 0) & (parts * hit_words >= F.col("n_words"))).alias("contaminated"),
     )
 
