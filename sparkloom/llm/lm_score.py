@@ -1,38 +1,43 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised to levels, level q standing for counts of BASE**(q-1) to
-BASE**q. An n-gram of level q is put into a Bloom filter q times, once with each level from 1 to q, and
-its count is read back by probing level after level until one is missing. The filter is broadcast and
-every text is scored from probes alone:
+Counts of words, word pairs and triples are quantised to levels, level q standing for counts of
+BASE**(q-1) to BASE**q. An n-gram of level q is put into a Bloom filter q times, once with each level from
+1 to q, and its count is read back by probing level after level until one is missing. Texts are scored
+from probes alone:
 
-    p(w | v) = a(v) c(v w) / c(v) + (1 - a(v)) (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w | u v) = a(u v) c(u v w) / c(u v) + (1 - a(u v)) p(w | v)
+    p(w | v)   = a(v) c(v w) / c(v) + (1 - a(v)) (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-where a(v) = min(0.7, 0.3 + 0.1 log10 c(v)), and 0 for words v never seen. A pair found more often than
-its words is a false positive and counts as unseen.
+where a(x) = min(0.7, 0.3 + 0.1 log10 c(x)), and 0 for contexts never seen. An n-gram found more often
+than its parts is a false positive and counts as unseen.
 
-All training text is counted. The filter takes MAX_MB at most, so that it may be broadcast: the lowest
-count that pairs need to enter is the smallest with which it fits, which the counts of one pair in
-SLICE tell. Words always enter.
+All n-grams of the training text enter the filter, which grows with them and is made and written in
+shards of some hundred thousand n-grams. While all shards together take MAX_MB at most they are broadcast
+to the workers; beyond that, what the texts ask is shuffled to the shards and back. Either way the
+same probes are made in the same bits, so scores don't depend on the way.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.llm import vec
 from sparkloom.llm.language_id import fold
-from sparkloom.llm.store import cut, mix
+from sparkloom.llm.store import cut, drop, mix
 
-BASE, PROBES, BITS_PER_KEY = 1.5, 5, 8
-MAX_MB, SLICE = 96, 64
+BASE, BITS_PER_KEY = 1.5, 8
+MAX_MB = 96  # of the filter where it is broadcast
 FREQUENT = 100_000  # words whose exact counts are broadcast for the base score; the rest are joined
-SHARD = 400_000  # training tokens to a shard of the filter
+SHARD = 2_400_000  # bytes of training text to a shard of the filter
 BEGIN, END = np.uint64(2), np.uint64(1)
 
 
@@ -52,46 +57,45 @@ def _pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(3) + token + np.uint64(1 << 40))
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]):
-    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+def _triples(pairs: np.ndarray, token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The triples that end at each token but the first of a row, and which tokens these are."""
+    at = np.ones(len(token), dtype=bool)
+    at[np.cumsum(sizes) - sizes] = False
+    at = np.flatnonzero(at)
+    return mix(pairs[at - 1] * np.uint64(5) + token[at] + np.uint64(1 << 41)), at
 
 
-def _counts(pairs: bool):
-    """(kind, gram, n) summed over some megabytes of text. Kind 0: words, kind 1: pairs; all pairs, or
-    with pairs=False words and one pair in SLICE."""
+def _chunks(batch: pa.RecordBatch, column: int):
+    data, offsets = vec.text_bytes(batch.column(column))
+    for lo, hi in vec.chunks(offsets):
+        yield lo, hi, *_tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+
+def _counts(kinds: tuple[int, ...], shards: int):
+    """(shard, grams, n): packed n-grams of a shard and their counts in some megabytes of text, of words
+    (kind 0), pairs (1) or triples (2). Each kind has so many shards of its own, numbered on."""
 
     def run(batches):
-        held: dict[int, list] = {0: [], 1: []}
+        held: dict[int, list[np.ndarray]] = {kind: [] for kind in kinds}
 
         def flush(limit):
             for kind, parts in held.items():
-                if sum(len(k) for k, _ in parts) > limit:
-                    keys, n = _merged(parts)
-                    if limit and len(keys) < limit // 2:
-                        held[kind] = [(keys, n)]
-                        continue
-                    held[kind] = []
-                    for at in range(0, len(keys), 1 << 17):
-                        part = keys[at : at + (1 << 17)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(part), kind, np.int32)), pa.array(part.view(np.int64)), pa.array(n[at : at + (1 << 17)])], ["kind", "gram", "n"]
-                        )
+                if sum(map(len, parts)) > limit:
+                    grams, n = np.unique(np.concatenate(parts), return_counts=True)
+                    parts.clear()
+                    shard = (grams % np.uint64(shards)).astype(np.int32)
+                    order = np.argsort(shard, kind="stable")
+                    grams, n, shard = grams[order], n[order].astype(np.uint32), shard[order]
+                    begins = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else shard
+                    ends = [*begins[1:].tolist(), len(shard)]
+                    packed = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(begins.tolist(), ends, strict=False)], pa.binary()) for x in (grams, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[begins] + np.int32(kind * shards)), *packed], ["shard", "grams", "n"])
 
         for batch in batches:
-            data, offsets = vec.text_bytes(batch.column(0))
-            for lo, hi in vec.chunks(offsets):
-                token, before, _ = _tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                grams = _pair(before, token)
-                if not pairs:
-                    keys, n = np.unique(token, return_counts=True)
-                    held[0].append((keys, n))
-                    grams = grams[grams % np.uint64(SLICE) == 0]
-                keys, n = np.unique(grams, return_counts=True)
-                held[1].append((keys, n))
+            for _, _, token, before, sizes in _chunks(batch, 0):
+                pairs = _pair(before, token)
+                for kind in kinds:
+                    held[kind].append((token, pairs)[kind] if kind < 2 else _triples(pairs, token, sizes)[0])
                 yield from flush(1_500_000)
         yield from flush(0)
 
@@ -106,147 +110,256 @@ def level(counts: np.ndarray) -> np.ndarray:
 _VALUES = np.array([0, 1, 2, 3, *(BASE ** (q - 0.5) for q in range(4, 200))])
 
 
-def _slots(grams: np.ndarray, q: np.ndarray, width: np.ndarray) -> list[np.ndarray]:
-    """Bit places of the probes for level q of each n-gram, in a shard of so many bits."""
-    one = mix(grams + q.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    two = mix(one + np.uint64(1)) | np.uint64(1)
-    return [((one + np.uint64(i) * two) >> np.uint64(16)) % width for i in range(PROBES)]
+def _places(grams: np.ndarray, q: int, width) -> tuple[np.ndarray, np.ndarray]:
+    """For level q of each n-gram the word, of so many 64-bit words of its shard, and its four bits there."""
+    h = mix(grams + np.uint64(q * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    one, low = np.uint64(1), np.uint64(63)
+    bits = one << (h & low)
+    for by in (6, 12, 18):
+        bits |= one << ((h >> np.uint64(by)) & low)
+    return (((h >> np.uint64(32)) * width) >> np.uint64(32)).astype(np.int64), bits
+
 
+def _filled(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Filter words of a shard that holds these n-grams so often."""
+    q = level(n)
+    bits = np.zeros(max(1, -(-int(q.sum()) * BITS_PER_KEY // 64)), dtype=np.uint64)
+    for j in range(1, int(q.max(initial=0)) + 1):
+        np.bitwise_or.at(bits, *_places(grams[q >= j], j, np.uint64(len(bits))))
+    return bits
 
-def _build(shards: int, least: int):
+
+def _build(shards: int):
     def run(key, table):
-        grams, n, kind = (table.column(c).to_numpy() for c in ("gram", "n", "kind"))
-        keep = (n >= least) | (kind == 0)
-        grams, q = grams[keep].view(np.uint64), level(n[keep])
-        width = np.uint64(max(64, -(-int(q.sum()) * BITS_PER_KEY // 64) * 64))
-        bits = np.zeros(int(width) // 8, dtype=np.uint8)
-        for j in range(1, int(q.max(initial=0)) + 1):
-            part = grams[q >= j]
-            for slot in _slots(part, np.full(len(part), j), width):
-                np.bitwise_or.at(bits, (slot >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8)))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+        """One shard from its rows (shard, grams, n): its bits, and the counts of words."""
+        grams, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=t) for c, t in (("grams", np.uint64), ("n", np.uint32)))
+        order = np.argsort(grams)
+        grams, n = grams[order], n[order]
+        at = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+        grams, n = grams[at], np.add.reduceat(n.astype(np.int64), at)
+        words = key[0].as_py() < shards
+        listed = [pa.array([x.tolist() if words else []], pa.list_(pa.int64())) for x in (grams.view(np.int64), n)]
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([_filled(grams, n).tobytes()], pa.binary()), "grams": listed[0], "n": listed[1]})
 
     return run
 
 
 class Filter:
-    """Shards laid one after the other in one array."""
+    """Shards of the three kinds, some of which may be missing, laid one after the other in one array."""
 
-    def __init__(self, parts: dict[int, bytes], shards: int, tokens: int, distinct: int):
-        self.shards, self.tokens, self.distinct = shards, tokens, distinct
-        sizes = np.array([len(parts.get(i, b"")) for i in range(shards)], dtype=np.int64)
-        self.first = np.cumsum(sizes) - sizes
-        self.width = sizes.astype(np.uint64) * np.uint64(8)
-        self.bits = np.frombuffer(b"".join(parts.get(i, b"") for i in range(shards)), dtype=np.uint8)
+    def __init__(self, parts: dict[int, bytes], shards: int):
+        self.shards = shards
+        laid = [parts.get(i, b"") for i in range(3 * shards)]
+        sizes = np.array([len(x) // 8 for x in laid], dtype=np.int64)
+        self.first, self.width = np.cumsum(sizes) - sizes, sizes.astype(np.uint64)
+        self.bits = np.frombuffer(b"".join(laid), dtype=np.uint64)
 
-    def counts(self, grams: np.ndarray) -> np.ndarray:
+    def levels(self, grams: np.ndarray, kind: int) -> np.ndarray:
         """Levels found by probing, 0 for n-grams that are not there."""
         q = np.zeros(len(grams), dtype=np.int64)
-        shard = (grams % np.uint64(self.shards)).astype(np.int64)
-        alive = np.flatnonzero(self.width[shard] > 0)
+        shard = (grams % np.uint64(self.shards)).astype(np.int64) + kind * self.shards
+        first, width = self.first[shard], self.width[shard]
+        alive = np.flatnonzero(width > 0)
+        grams, first, width = grams[alive], first[alive], width[alive]
+        level = 1
         while len(alive):
-            part, s = grams[alive], shard[alive]
-            there = np.ones(len(alive), dtype=bool)
-            for slot in _slots(part, q[alive] + 1, self.width[s]):
-                byte = self.bits[self.first[s] + (slot >> np.uint64(3)).astype(np.int64)]
-                there &= ((byte >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            alive = alive[there]
-            q[alive] += 1
+            at, bits = _places(grams, level, width)
+            there = (self.bits[first + at] & bits) == bits
+            alive, grams, first, width = alive[there], grams[there], first[there], width[there]
+            q[alive] = level
+            level += 1
         return q
 
-    def log_probabilities(self, token: np.ndarray, before: np.ndarray) -> np.ndarray:
-        words, at = np.unique(token, return_inverse=True)
-        q_word = self.counts(words)[at]
-        contexts, at = np.unique(np.where(before == BEGIN, END, before), return_inverse=True)
-        q_before = self.counts(contexts)[at]
-        pairs, at = np.unique(_pair(before, token), return_inverse=True)
-        q_pair = self.counts(pairs)[at]
-        q_pair[q_pair > np.minimum(q_word, q_before)] = 0
-        c_word, c_before, c_pair = _VALUES[q_word], _VALUES[q_before], _VALUES[q_pair]
-        unigram = (c_word + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
-        a = np.where(q_before > 0, np.minimum(0.7, 0.3 + 0.1 * np.log10(np.maximum(c_before, 1))), 0.0)
-        return np.log10(a * np.minimum(1.0, c_pair / np.maximum(c_before, 1)) + (1 - a) * unigram)
-
-
-def train(docs: DataFrame, max_mb: int = MAX_MB) -> tuple[Filter, DataFrame]:
-    """The filter of docs(text), and the exact counts (gram, n) of words. Null texts count as empty."""
+
+def log_probabilities(at, words, token, before, sizes, levels, tokens: int, distinct: int) -> np.ndarray:
+    """log10 of each token's probability; levels(grams, kind) tells counts' levels, words are the distinct
+    tokens and at says which of them each is."""
+    q_words = levels(words, 0)
+    q_word = q_words[at]
+    first, last = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
+    q_before = np.empty_like(q_word)
+    q_before[1:] = q_word[:-1]
+    q_before[first] = q_word[last]  # a text begins where another has ended
+    pairs = _pair(before, token)
+    q_pair = levels(pairs, 1)
+    q_pair[q_pair > np.minimum(q_word, q_before)] = 0
+    triples, later = _triples(pairs, token, sizes)
+    q_triple, q_context = np.zeros_like(q_pair), np.zeros_like(q_pair)
+    q_context[later] = q_pair[later - 1]
+    seen = (q_pair[later] > 0) & (q_context[later] > 0)  # parts of what is there are there
+    q_triple[later[seen]] = levels(triples[seen], 2)
+    q_triple[q_triple > np.minimum(q_pair, q_context)] = 0
+    p = (_VALUES[q_word] + 0.5) / (tokens + 0.5 * (distinct + 1))
+    for q, q_from in ((q_pair, q_before), (q_triple, q_context)):
+        c = np.maximum(_VALUES[q_from], 1)
+        a = np.where(q_from > 0, np.minimum(0.7, 0.3 + 0.1 * np.log10(c)), 0.0)
+        p = a * np.minimum(1.0, _VALUES[q] / c) + (1 - a) * p
+    return np.log10(p)
+
+
+class Model(NamedTuple):
+    """What training leaves: a written table of shards (shard, bits) of three kinds, the exact counts (gram,
+    n) of words, the tokens and distinct tokens of the training text, and the filter where it is broadcast."""
+
+    shards: int
+    table: DataFrame
+    words: DataFrame
+    tokens: int
+    distinct: int
+    held: Filter | None
+
+
+def train(docs: DataFrame, max_mb: float = MAX_MB) -> Model:
+    """The model of docs(text). Null texts count as empty."""
     text = docs.select("text")
-    first = cut(text.mapInArrow(_counts(False), "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")))
-    words = first.where("kind = 0").select("gram", "n")
+    size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(16, size // SHARD)
+    parts = []
+    for kinds in ((0, 1), (2,)):
+        rows = text.mapInArrow(_counts(kinds, shards), "shard int, grams binary, n binary")
+        parts.append(cut(rows.groupBy("shard").applyInArrow(_build(shards), "shard int, bits binary, grams array<long>, n array<long>")))
+        drop()
+    table = parts[0].unionAll(parts[1]).select("shard", "bits")
+    words = parts[0].select(F.explode(F.arrays_zip("grams", "n")).alias("w")).select("w.grams", "w.n").toDF("gram", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-    # keys that pairs of each count would add, from the slice; and those of the words
-    q = (F.floor(F.log(F.col("n").cast("double")) / math.log(BASE) + 1e-9) + 1).cast("long")
-    rows = first.groupBy("kind", F.least("n", F.lit(1000)).alias("n")).agg(F.sum(q).alias("keys")).collect()
-    room = max_mb * 8e6 / BITS_PER_KEY - sum(r["keys"] for r in rows if r["kind"] == 0)
-    by_count = sorted(((r["n"], r["keys"] * SLICE) for r in rows if r["kind"] == 1), reverse=True)
-    least, used = 1001, 0.0
-    for n, keys in by_count:
-        used += keys
-        if used > room:
-            break
-        least = n
-    least = 1 if by_count and used <= room else least
-    shards = max(16, total["tokens"] // SHARD)
-    grams = text.mapInArrow(_counts(True), "kind int, gram long, n long").unionAll(words.select(F.lit(0).alias("kind"), "gram", "n"))
-    parts = (
-        grams.withColumn("shard", _unsigned_mod("gram", shards))
-        .repartition(shards, "shard")
-        .groupBy("shard", "gram", "kind")
-        .agg(F.sum("n").alias("n"))
-        .groupBy("shard")
-        .applyInArrow(_build(shards, least), "shard int, bits binary")
-        .toArrow()
-    )
-    filled = dict(zip(parts.column("shard").to_pylist(), parts.column("bits").to_pylist(), strict=True))
-    return Filter(filled, shards, total["tokens"], total["distinct"]), words
+    held = None
+    if (table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= max_mb * 1e6:
+        rows = table.toArrow()
+        held = Filter(dict(zip(rows.column("shard").to_pylist(), rows.column("bits").to_pylist(), strict=True)), shards)
+    return Model(shards, table, words, total["tokens"], total["distinct"], held)
+
+
+def _numbered(batches):
+    """Rows with the number of their chunk, of about a megabyte of text, in a first column."""
+    from pyspark import TaskContext
+
+    chunk = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        _, offsets = vec.text_bytes(batch.column(2))
+        ends = [hi for _, hi in vec.chunks(offsets)]
+        numbers = np.repeat(chunk + np.arange(len(ends)), np.diff([0, *ends]))
+        chunk += len(ends)
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *batch.columns], ["chunk", *batch.schema.names])
+
 
+def _asked(shards: int):
+    """(chunk, shard, gram): what scoring the texts of rows (chunk, text) asks, once or a few times a chunk."""
+
+    def run(batches):
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            begins = np.concatenate(([0], np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, [len(numbers)])) if len(numbers) else [0]
+            for lo, hi in zip(begins[:-1], begins[1:], strict=True):
+                for _, _, token, before, sizes in _chunks(batch.slice(lo, hi - lo), 1):
+                    pairs = _pair(before, token)
+                    for kind, grams in enumerate((token, pairs, _triples(pairs, token, sizes)[0])):
+                        grams = pd.unique(grams)
+                        shard = (grams % np.uint64(shards)).astype(np.int32) + np.int32(kind * shards)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), numbers[lo])), pa.array(shard), pa.array(grams.view(np.int64))], ["chunk", "shard", "gram"])
+
+    return run
 
-def _unsigned_mod(column: str, n: int):
-    """Remainder of a bigint read as unsigned: from its two halves."""
-    high = F.shiftrightunsigned(F.col(column), 32)
-    low = F.col(column).bitwiseAND(F.lit(0xFFFFFFFF))
-    return (((high % n) * ((1 << 32) % n) + low % n) % n).cast("int")
 
+def _answered(shards: int):
+    """(chunk, kind, gram, q) of what is asked of one shard, less what isn't there."""
 
-def score_texts(docs: DataFrame, model: Filter, words: DataFrame) -> DataFrame:
+    def run(asked, shard):
+        if not len(asked) or not len(shard):
+            return pa.table({c: pa.array([], t) for c, t in (("chunk", pa.int64()), ("kind", pa.int32()), ("gram", pa.int64()), ("q", pa.int64()))})
+        number = shard.column("shard")[0].as_py()
+        grams = asked.column("gram").to_numpy().view(np.uint64)
+        q = Filter({number: shard.column("bits")[0].as_py()}, shards).levels(grams, number // shards)
+        there = q > 0
+        return pa.table(
+            {"chunk": asked.column("chunk").filter(pa.array(there)), "kind": pa.array(np.full(there.sum(), number // shards, np.int32)), "gram": pa.array(grams[there].view(np.int64)), "q": pa.array(q[there])}
+        )
+
+    return run
+
+
+def _lookup(table: pa.Table):
+    """levels() from answers (kind, gram, q)."""
+    kind, gram, q = table.column("kind").to_numpy(), table.column("gram").to_numpy().view(np.uint64), table.column("q").to_numpy()
+    held = {}
+    for k in range(3):
+        mine = np.flatnonzero(kind == k)
+        mine = mine[np.argsort(gram[mine])]
+        held[k] = gram[mine], q[mine]
+
+    def levels(grams, kind):
+        known, values = held[kind]
+        if not len(known):
+            return np.zeros(len(grams), dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        return np.where(known[at] == grams, values[at], 0)
+
+    return levels
+
+
+_SCORED = ["doc_id", "held_out", "n_tokens", "n_hit", "base", "score", "rest"]
+
+
+def _scores(batch: pa.RecordBatch, levels, known, logs, tokens: int, distinct: int):
+    """Scored rows of a batch (doc_id, held_out, text): those words' share of the base score that are among
+    the known, and the other words' hashes."""
+    for lo, hi, token, before, sizes in _chunks(batch, 2):
+        n = hi - lo
+        rows = np.repeat(np.arange(n), sizes)
+        at, words = pd.factorize(token)
+        score = np.bincount(rows, weights=log_probabilities(at, words, token, before, sizes, levels, tokens, distinct), minlength=n)
+        place = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+        known_word = known[place] == words if len(known) else np.zeros(len(words), bool)
+        hit, place = known_word[at], place[at]
+        base = np.bincount(rows[hit], weights=logs[place[hit]], minlength=n) if len(known) else np.zeros(n)
+        n_hit = np.bincount(rows[hit], minlength=n)
+        ends = np.concatenate(([0], np.cumsum(sizes - n_hit))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(sizes.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
+                pa.array(base.astype(np.float64)), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[~hit].view(np.int64))),
+            ],
+            _SCORED,
+        )
+
+
+def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, held_out, text)."""
     spark = docs.sparkSession
-    frequent = words.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
+    frequent = model.words.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
     order = np.argsort(frequent["gram"].to_numpy(np.int64).view(np.uint64))
     known = frequent["gram"].to_numpy(np.int64).view(np.uint64)[order]
-    whole = model.tokens + 0.5 * (model.distinct + 1)
+    tokens, distinct = model.tokens, model.distinct
+    whole = tokens + 0.5 * (distinct + 1)
     logs = np.log10((frequent["n"].to_numpy(np.float64)[order] + 0.5) / whole)
-    shared = spark.sparkContext.broadcast((model, known, logs))
+    shared = spark.sparkContext.broadcast((model.held, known, logs))
 
     def run(batches):
-        model, known, logs = shared.value
+        held, known, logs = shared.value
         for batch in batches:
-            data, offsets = vec.text_bytes(batch.column(2))
-            for lo, hi in vec.chunks(offsets):
-                token, before, sizes = _tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                n = hi - lo
-                rows = np.repeat(np.arange(n), sizes)
-                score = np.bincount(rows, weights=model.log_probabilities(token, before), minlength=n)
-                place = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
-                hit = known[place] == token if len(known) else np.zeros(len(token), bool)
-                base = np.bincount(rows[hit], weights=logs[place[hit]], minlength=n) if len(known) else np.zeros(n)
-                n_hit = np.bincount(rows[hit], minlength=n)
-                rest = token[~hit].view(np.int64)
-                ends = np.concatenate(([0], np.cumsum(sizes - n_hit))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(sizes.astype(np.int64)), pa.array(n_hit.astype(np.int64)),
-                        pa.array(base.astype(np.float64)), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest)),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_hit", "base", "score", "rest"],
-                )
+            yield from _scores(batch, held.levels, known, logs, tokens, distinct)
+
+    def run_chunk(texts, answers):
+        _, known, logs = shared.value
+        levels, out = _lookup(answers), []
+        for batch in texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches():
+            out += _scores(batch, levels, known, logs, tokens, distinct)
+        return pa.Table.from_batches(out, schema=pa.schema([(n, t) for n, t in zip(_SCORED, kinds, strict=True)]) if not out else None)
 
+    docs = docs.select("doc_id", "held_out", "text")
     schema = docs.select("doc_id", "held_out").schema
     for name, kind in (("n_tokens", "long"), ("n_hit", "long"), ("base", "double"), ("score", "double"), ("rest", T.ArrayType(T.LongType()))):
         schema = schema.add(name, kind)
-    table = cut(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    if model.held is not None:
+        scored = docs.mapInArrow(run, schema)
+    else:
+        kinds = [to_arrow_type(f.dataType) for f in schema]
+        texts = cut(docs.mapInArrow(_numbered, T.StructType([T.StructField("chunk", T.LongType()), *docs.schema])))
+        asked = texts.select("chunk", "text").mapInArrow(_asked(model.shards), "chunk long, shard int, gram long")
+        answers = cut(asked.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(_answered(model.shards), "chunk long, kind int, gram long, q long"))
+        scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run_chunk, schema)
+    table = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = table.select("row", F.explode("rest").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("times"))
-    rare = rare.join(words, "gram", "left")
+    rare = rare.join(model.words, "gram", "left")
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("found"),
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(whole))).alias("more"),
@@ -254,17 +367,18 @@ def score_texts(docs: DataFrame, model: Filter, words: DataFrame) -> DataFrame:
     return table.drop("rest").join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_hit") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
         "score",
     )
 
 
-def score_held_out(docs: DataFrame) -> DataFrame:
+def score_held_out(docs: DataFrame, max_mb: float = MAX_MB) -> DataFrame:
     """Learn from four folds of five of docs(doc_id, text), score all rows. Words are
     `[^\\x20\\x09-\\x0D]+` with A-Z lowered; every text ends in an end token. Null texts are empty ones:
     just the end. Rows with a null id are scored, never learned from, and not held out. Repeated rows
-    count each; an empty table gives an empty result."""
+    count each; texts may be of any length, and equal texts get equal scores; an empty table gives an
+    empty result. Columns beyond the two are ignored."""
     part = fold("doc_id", 5)
-    model, words = train(docs.where(part != 1))
-    return score_texts(docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text"), model, words)
+    model = train(docs.where(part != 1), max_mb)
+    return score_texts(docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text"), model)

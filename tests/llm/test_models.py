@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from brute import lower_ascii, spaced_words
 
 from sparkloom.llm import ann, html_extract, language_id, lm_score, packing, quality, vec
@@ -149,12 +150,55 @@ def test_filter_returns_levels_of_all_it_holds():
     parts = {}
     for s in range(16):
         at = shard == s
-        t = pa.table({"gram": pa.array(grams[at].view(np.int64)), "n": pa.array(counts[at]), "kind": pa.array(np.ones(at.sum(), np.int32))})
-        parts[s] = lm_score._build(16, 1)((pa.scalar(s, pa.int32()),), t).column("bits")[0].as_py()
-    f = lm_score.Filter(parts, 16, 100, 10)
-    found, level = f.counts(grams), lm_score.level(counts)
-    assert (found >= level).all() and (found == level).mean() > 0.95
-    assert (f.counts(rng.integers(1, 2**63, 3000, dtype=np.uint64)) > 0).mean() < 0.06
+        t = pa.table({"grams": pa.array([grams[at].tobytes()]), "n": pa.array([counts[at].astype(np.uint32).tobytes()])})
+        parts[16 + s] = lm_score._build(16)((pa.scalar(16 + s, pa.int32()),), t).column("bits")[0].as_py()
+    f = lm_score.Filter(parts, 16)
+    found, level = f.levels(grams, 1), lm_score.level(counts)
+    assert (found >= level).all() and (found == level).mean() > 0.92
+    assert (f.levels(rng.integers(1, 2**63, 3000, dtype=np.uint64), 1) > 0).mean() < 0.06
+    assert not f.levels(grams, 0).any() and not f.levels(grams, 2).any()
+
+
+def test_scores_are_those_of_a_plain_model_and_the_same_from_shards(spark):
+    rows = [(i, t) for i, t, _ in corpus()] + [(i, t) for i, t, _ in ODD] + [(90, "word " * 70_000), (91, "The Weather and THE NEWS"), (92, "neu " * 3)]
+    df = frame(spark, [(i, t, None) for i, t in rows])
+    held = sorted(map(tuple, lm_score.score_held_out(df).collect()), key=str)
+    sharded = sorted(map(tuple, lm_score.score_held_out(df, max_mb=0).collect()), key=str)
+    assert held == sharded
+    counts = {}
+    split = [["<s>", *spaced_words(t), "</s>"] for _, t in rows]
+    for (i, _), w in zip(rows, split, strict=True):
+        if i is not None and fold(i, 5) != 1:
+            for n in (1, 2, 3):
+                for j in range(0 if n > 1 else 1, len(w) - n + 1):
+                    counts[tuple(w[j : j + n])] = counts.get(tuple(w[j : j + n]), 0) + 1
+    total = sum(v for k, v in counts.items() if len(k) == 1)
+    distinct = sum(len(k) == 1 for k in counts)
+
+    def value(gram):
+        gram = ("</s>",) if gram == ("<s>",) else gram
+        return float(lm_score._VALUES[lm_score.level(np.array([counts[gram]]))[0]]) if gram in counts else 0.0
+
+    def score(w):
+        out = 0.0
+        for j in range(1, len(w)):
+            p = (value((w[j],)) + 0.5) / (total + 0.5 * (distinct + 1))
+            for n in (1, 2):
+                if j >= n:
+                    context = value(tuple(w[j - n : j]))
+                    a = min(0.7, 0.3 + 0.1 * math.log10(context)) if context else 0.0
+                    p = a * min(1.0, value(tuple(w[j - n : j + 1])) / max(context, 1)) + (1 - a) * p
+            out += math.log10(p)
+        return out
+
+    got = {r[0]: r[-1] for r in held if r[0] is not None}
+    want = {i: score(w) for (i, _), w in zip(rows, split, strict=True) if i is not None}
+    assert got.keys() == want.keys()
+    # false positives, some of a hundred n-grams, change the rest
+    assert sum(abs(got[i] - want[i]) <= 1e-6 * abs(want[i]) for i in want) >= 0.3 * len(want)
+    off = sorted((got[i] - want[i]) / abs(want[i]) for i in want)
+    assert -0.2 < off[len(off) // 10] <= off[len(off) // 2] <= off[-len(off) // 10] < 0.2, off
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.02)
 
 
 # nearest neighbours

@@ -125,7 +125,7 @@ def test_one_passage_in_all_items_and_texts(spark):
     rng = random.Random(16)
     passage = sentence(rng, 30, 3000)
     items = [(i, f"{passage} {sentence(rng, 5, 3000)}") for i in range(60)]
-    docs = [(i, f"{sentence(rng, 20, 3000)} {passage} {sentence(rng, i % 3, 3000)}") for i in range(80)] + [(100, items[7][1])]
+    docs = [(i, f"{sentence(rng, 20, 3000)} {passage} {sentence(rng, i % 3, 10**6)}x") for i in range(80)] + [(100, items[7][1])]
     got = decontaminate.contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     every = hashlib.sha256(",".join(sorted(str(i) for i, _ in items)).encode()).hexdigest()
     assert {r["doc_id"] for r in got if r["n_items"] == 60 and r["items_sha256"] == every and r["contaminated"]} == {d for d, _ in docs}
