@@ -1,20 +1,19 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words, word pairs and triples are quantised to levels, level q standing for counts of
-BASE**(q-1) to BASE**q. An n-gram of level q is put into a Bloom filter q times, once with each level from
-1 to q, and its count is read back by probing level after level until one is missing. Texts are scored
-from probes alone:
+Counts of words and word pairs are quantised to levels, level q standing for counts of BASE**(q-1) to
+BASE**q. An n-gram of level q is put into a Bloom filter q times, once with each level from 1 to q, and
+its count is read back by probing level after level until one is missing. Texts are scored from
+probes alone:
 
-    p(w | u v) = a(u v) c(u v w) / c(u v) + (1 - a(u v)) p(w | v)
-    p(w | v)   = a(v) c(v w) / c(v) + (1 - a(v)) (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w | v) = a(v) c(v w) / c(v) + (1 - a(v)) (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-where a(x) = min(0.7, 0.3 + 0.1 log10 c(x)), and 0 for contexts never seen. An n-gram found more often
-than its parts is a false positive and counts as unseen.
+where a(v) = min(0.7, 0.3 + 0.1 log10 c(v)), and 0 for words v never seen. A pair found more often than
+its words is a false positive and counts as unseen.
 
 All n-grams of the training text enter the filter, which grows with them and is made and written in
-shards of some hundred thousand n-grams. While all shards together take MAX_MB at most they are broadcast
-to the workers; beyond that, what the texts ask is shuffled to the shards and back. Either way the
-same probes are made in the same bits, so scores don't depend on the way.
+shards of some million n-grams. While all shards together take MAX_MB at most they are broadcast to the
+workers; beyond that, what the texts ask is shuffled to the shards and back. Either way the same probes are
+made in the same bits, so scores don't depend on the way.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.llm import vec
 from sparkloom.llm.language_id import fold
@@ -37,7 +35,7 @@ from sparkloom.llm.store import cut, drop, mix
 BASE, BITS_PER_KEY = 1.5, 8
 MAX_MB = 96  # of the filter where it is broadcast
 FREQUENT = 100_000  # words whose exact counts are broadcast for the base score; the rest are joined
-SHARD = 2_400_000  # bytes of training text to a shard of the filter
+SHARD = 16_000_000  # bytes of training text to a shard of the filter
 BEGIN, END = np.uint64(2), np.uint64(1)
 
 
@@ -57,45 +55,40 @@ def _pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(3) + token + np.uint64(1 << 40))
 
 
-def _triples(pairs: np.ndarray, token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The triples that end at each token but the first of a row, and which tokens these are."""
-    at = np.ones(len(token), dtype=bool)
-    at[np.cumsum(sizes) - sizes] = False
-    at = np.flatnonzero(at)
-    return mix(pairs[at - 1] * np.uint64(5) + token[at] + np.uint64(1 << 41)), at
-
-
 def _chunks(batch: pa.RecordBatch, column: int):
     data, offsets = vec.text_bytes(batch.column(column))
     for lo, hi in vec.chunks(offsets):
         yield lo, hi, *_tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
 
 
-def _counts(kinds: tuple[int, ...], shards: int):
-    """(shard, grams, n): packed n-grams of a shard and their counts in some megabytes of text, of words
-    (kind 0), pairs (1) or triples (2). Each kind has so many shards of its own, numbered on."""
+def _placed(grams: np.ndarray, kind: int, shards: int):
+    """N-grams in the order of their shards, the shards (those of words first, then those of pairs) and
+    where each begins and ends."""
+    shard = (grams % np.uint64(shards)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    begins = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    return order, shard[order[begins]] + np.int32(kind * shards), list(zip(begins.tolist(), [*begins[1:].tolist(), len(shard)], strict=False))
+
+
+def _counts(shards: int):
+    """(shard, grams, n): packed n-grams of a shard and their counts in some megabytes of text."""
 
     def run(batches):
-        held: dict[int, list[np.ndarray]] = {kind: [] for kind in kinds}
+        held: list[list[np.ndarray]] = [[], []]
 
         def flush(limit):
-            for kind, parts in held.items():
+            for kind, parts in enumerate(held):
                 if sum(map(len, parts)) > limit:
                     grams, n = np.unique(np.concatenate(parts), return_counts=True)
                     parts.clear()
-                    shard = (grams % np.uint64(shards)).astype(np.int32)
-                    order = np.argsort(shard, kind="stable")
-                    grams, n, shard = grams[order], n[order].astype(np.uint32), shard[order]
-                    begins = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else shard
-                    ends = [*begins[1:].tolist(), len(shard)]
-                    packed = [pa.array([x[lo:hi].tobytes() for lo, hi in zip(begins.tolist(), ends, strict=False)], pa.binary()) for x in (grams, n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(shard[begins] + np.int32(kind * shards)), *packed], ["shard", "grams", "n"])
+                    order, names, ends = _placed(grams, kind, shards)
+                    packed = [pa.array([x[lo:hi].tobytes() for lo, hi in ends], pa.binary()) for x in (grams[order], n[order].astype(np.uint32))]
+                    yield pa.RecordBatch.from_arrays([pa.array(names), *packed], ["shard", "grams", "n"])
 
         for batch in batches:
-            for _, _, token, before, sizes in _chunks(batch, 0):
-                pairs = _pair(before, token)
-                for kind in kinds:
-                    held[kind].append((token, pairs)[kind] if kind < 2 else _triples(pairs, token, sizes)[0])
+            for _, _, token, before, _ in _chunks(batch, 0):
+                held[0].append(token)
+                held[1].append(_pair(before, token))
                 yield from flush(1_500_000)
         yield from flush(0)
 
@@ -110,9 +103,15 @@ def level(counts: np.ndarray) -> np.ndarray:
 _VALUES = np.array([0, 1, 2, 3, *(BASE ** (q - 0.5) for q in range(4, 200))])
 
 
-def _places(grams: np.ndarray, q: int, width) -> tuple[np.ndarray, np.ndarray]:
-    """For level q of each n-gram the word, of so many 64-bit words of its shard, and its four bits there."""
-    h = mix(grams + np.uint64(q * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+def _keys(grams: np.ndarray) -> np.ndarray:
+    """What the filter holds of n-grams within a shard. 32 bits add less than a thousandth of false
+    positives to a shard of some million."""
+    return (grams >> np.uint64(32)).astype(np.uint32)
+
+
+def _places(keys: np.ndarray, q: int, width) -> tuple[np.ndarray, np.ndarray]:
+    """For level q of each key the word, of so many 64-bit words of its shard, and its four bits there."""
+    h = mix(keys.astype(np.uint64) + np.uint64(q * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     one, low = np.uint64(1), np.uint64(63)
     bits = one << (h & low)
     for by in (6, 12, 18):
@@ -122,13 +121,28 @@ def _places(grams: np.ndarray, q: int, width) -> tuple[np.ndarray, np.ndarray]:
 
 def _filled(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Filter words of a shard that holds these n-grams so often."""
-    q = level(n)
+    q, keys = level(n), _keys(grams)
     bits = np.zeros(max(1, -(-int(q.sum()) * BITS_PER_KEY // 64)), dtype=np.uint64)
     for j in range(1, int(q.max(initial=0)) + 1):
-        np.bitwise_or.at(bits, *_places(grams[q >= j], j, np.uint64(len(bits))))
+        np.bitwise_or.at(bits, *_places(keys[q >= j], j, np.uint64(len(bits))))
     return bits
 
 
+def _probed(keys: np.ndarray, bits: np.ndarray, first, width) -> np.ndarray:
+    """Levels found by probing, 0 for keys that are not there; first and width are those of each key's shard."""
+    q = np.zeros(len(keys), dtype=np.uint8)
+    alive = np.flatnonzero(width > 0)
+    keys, first, width = keys[alive], first[alive], width[alive]
+    level = 1
+    while len(alive):
+        at, mask = _places(keys, level, width)
+        there = (bits[first + at] & mask) == mask
+        alive, keys, first, width = alive[there], keys[there], first[there], width[there]
+        q[alive] = level
+        level += 1
+    return q
+
+
 def _build(shards: int):
     def run(key, table):
         """One shard from its rows (shard, grams, n): its bits, and the counts of words."""
@@ -145,30 +159,19 @@ def _build(shards: int):
 
 
 class Filter:
-    """Shards of the three kinds, some of which may be missing, laid one after the other in one array."""
+    """Shards of words and pairs, some of which may be missing, laid one after the other in one array."""
 
     def __init__(self, parts: dict[int, bytes], shards: int):
         self.shards = shards
-        laid = [parts.get(i, b"") for i in range(3 * shards)]
+        laid = [parts.get(i, b"") for i in range(2 * shards)]
         sizes = np.array([len(x) // 8 for x in laid], dtype=np.int64)
         self.first, self.width = np.cumsum(sizes) - sizes, sizes.astype(np.uint64)
         self.bits = np.frombuffer(b"".join(laid), dtype=np.uint64)
 
     def levels(self, grams: np.ndarray, kind: int) -> np.ndarray:
-        """Levels found by probing, 0 for n-grams that are not there."""
-        q = np.zeros(len(grams), dtype=np.int64)
+        """Levels of words (kind 0) or pairs (1)."""
         shard = (grams % np.uint64(self.shards)).astype(np.int64) + kind * self.shards
-        first, width = self.first[shard], self.width[shard]
-        alive = np.flatnonzero(width > 0)
-        grams, first, width = grams[alive], first[alive], width[alive]
-        level = 1
-        while len(alive):
-            at, bits = _places(grams, level, width)
-            there = (self.bits[first + at] & bits) == bits
-            alive, grams, first, width = alive[there], grams[there], first[there], width[there]
-            q[alive] = level
-            level += 1
-        return q
+        return _probed(_keys(grams), self.bits, self.first[shard], self.width[shard])
 
 
 def log_probabilities(at, words, token, before, sizes, levels, tokens: int, distinct: int) -> np.ndarray:
@@ -183,22 +186,14 @@ def log_probabilities(at, words, token, before, sizes, levels, tokens: int, dist
     pairs = _pair(before, token)
     q_pair = levels(pairs, 1)
     q_pair[q_pair > np.minimum(q_word, q_before)] = 0
-    triples, later = _triples(pairs, token, sizes)
-    q_triple, q_context = np.zeros_like(q_pair), np.zeros_like(q_pair)
-    q_context[later] = q_pair[later - 1]
-    seen = (q_pair[later] > 0) & (q_context[later] > 0)  # parts of what is there are there
-    q_triple[later[seen]] = levels(triples[seen], 2)
-    q_triple[q_triple > np.minimum(q_pair, q_context)] = 0
+    c = np.maximum(_VALUES[q_before], 1)
+    a = np.where(q_before > 0, np.minimum(0.7, 0.3 + 0.1 * np.log10(c)), 0.0)
     p = (_VALUES[q_word] + 0.5) / (tokens + 0.5 * (distinct + 1))
-    for q, q_from in ((q_pair, q_before), (q_triple, q_context)):
-        c = np.maximum(_VALUES[q_from], 1)
-        a = np.where(q_from > 0, np.minimum(0.7, 0.3 + 0.1 * np.log10(c)), 0.0)
-        p = a * np.minimum(1.0, _VALUES[q] / c) + (1 - a) * p
-    return np.log10(p)
+    return np.log10(a * np.minimum(1.0, _VALUES[q_pair] / c) + (1 - a) * p)
 
 
 class Model(NamedTuple):
-    """What training leaves: a written table of shards (shard, bits) of three kinds, the exact counts (gram,
+    """What training leaves: a written table of shards (shard, bits), the exact counts (gram,
     n) of words, the tokens and distinct tokens of the training text, and the filter where it is broadcast."""
 
     shards: int
@@ -214,13 +209,11 @@ def train(docs: DataFrame, max_mb: float = MAX_MB) -> Model:
     text = docs.select("text")
     size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(16, size // SHARD)
-    parts = []
-    for kinds in ((0, 1), (2,)):
-        rows = text.mapInArrow(_counts(kinds, shards), "shard int, grams binary, n binary")
-        parts.append(cut(rows.groupBy("shard").applyInArrow(_build(shards), "shard int, bits binary, grams array<long>, n array<long>")))
-        drop()
-    table = parts[0].unionAll(parts[1]).select("shard", "bits")
-    words = parts[0].select(F.explode(F.arrays_zip("grams", "n")).alias("w")).select("w.grams", "w.n").toDF("gram", "n")
+    rows = text.mapInArrow(_counts(shards), "shard int, grams binary, n binary")
+    built = cut(rows.groupBy("shard").applyInArrow(_build(shards), "shard int, bits binary, grams array<long>, n array<long>"))
+    drop()
+    table = built.select("shard", "bits")
+    words = built.select(F.explode(F.arrays_zip("grams", "n")).alias("w")).select("w.grams", "w.n").toDF("gram", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     held = None
     if (table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= max_mb * 1e6:
@@ -243,55 +236,67 @@ def _numbered(batches):
 
 
 def _asked(shards: int):
-    """(chunk, shard, gram): what scoring the texts of rows (chunk, text) asks, once or a few times a chunk."""
+    """(chunk, shard, keys): packed keys that scoring the texts of rows (chunk, text) asks of a shard, in
+    the order of their n-grams."""
 
     def run(batches):
-        for batch in batches:
-            numbers = batch.column(0).to_numpy()
-            begins = np.concatenate(([0], np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, [len(numbers)])) if len(numbers) else [0]
-            for lo, hi in zip(begins[:-1], begins[1:], strict=True):
-                for _, _, token, before, sizes in _chunks(batch.slice(lo, hi - lo), 1):
-                    pairs = _pair(before, token)
-                    for kind, grams in enumerate((token, pairs, _triples(pairs, token, sizes)[0])):
-                        grams = pd.unique(grams)
-                        shard = (grams % np.uint64(shards)).astype(np.int32) + np.int32(kind * shards)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), numbers[lo])), pa.array(shard), pa.array(grams.view(np.int64))], ["chunk", "shard", "gram"])
+        for number, (token, before, _) in _whole_chunks(batches):
+            for kind, grams in enumerate(_distinct(token, before)):
+                order, names, ends = _placed(grams, kind, shards)
+                keys = _keys(grams[order])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), number)), pa.array(names), pa.array([keys[lo:hi].tobytes() for lo, hi in ends], pa.binary())], ["chunk", "shard", "keys"])
 
     return run
 
 
-def _answered(shards: int):
-    """(chunk, kind, gram, q) of what is asked of one shard, less what isn't there."""
-
-    def run(asked, shard):
-        if not len(asked) or not len(shard):
-            return pa.table({c: pa.array([], t) for c, t in (("chunk", pa.int64()), ("kind", pa.int32()), ("gram", pa.int64()), ("q", pa.int64()))})
-        number = shard.column("shard")[0].as_py()
-        grams = asked.column("gram").to_numpy().view(np.uint64)
-        q = Filter({number: shard.column("bits")[0].as_py()}, shards).levels(grams, number // shards)
-        there = q > 0
-        return pa.table(
-            {"chunk": asked.column("chunk").filter(pa.array(there)), "kind": pa.array(np.full(there.sum(), number // shards, np.int32)), "gram": pa.array(grams[there].view(np.int64)), "q": pa.array(q[there])}
-        )
-
-    return run
+def _distinct(token, before) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(token), np.unique(_pair(before, token))
 
 
-def _lookup(table: pa.Table):
-    """levels() from answers (kind, gram, q)."""
-    kind, gram, q = table.column("kind").to_numpy(), table.column("gram").to_numpy().view(np.uint64), table.column("q").to_numpy()
-    held = {}
-    for k in range(3):
-        mine = np.flatnonzero(kind == k)
-        mine = mine[np.argsort(gram[mine])]
-        held[k] = gram[mine], q[mine]
+def _whole_chunks(batches):
+    """(number, (tokens, tokens before, sizes)) of every chunk of rows (chunk, text) that follow each other."""
+    held, last = [], None
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        begins = [*np.flatnonzero(np.diff(numbers, prepend=numbers[:1] - 1)).tolist(), len(numbers)] if len(numbers) else [0]
+        for lo, hi in zip(begins, begins[1:], strict=False):
+            if held and numbers[lo] != last:
+                yield last, _joined(held)
+                held = []
+            last = numbers[lo]
+            held.append(batch.column(1).slice(lo, hi - lo))
+    if held:
+        yield last, _joined(held)
+
+
+def _joined(columns):
+    return _tokens(*vec.text_bytes(pa.chunked_array(columns)))
+
+
+def _answered(asked, shard):
+    """(chunk, shard, q): the levels, a byte each, of what is asked of one shard."""
+    chunk, keys = asked.column("chunk"), [np.frombuffer(x, dtype=np.uint32) for x in asked.column("keys").to_pylist()]
+    name, out = pa.array([], pa.int32()), [np.zeros(len(x), np.uint8) for x in keys]
+    if len(asked):
+        name = asked.column("shard")
+        if len(shard):
+            bits = np.frombuffer(shard.column("bits")[0].as_py(), dtype=np.uint64)
+            for i, x in enumerate(keys):
+                out[i] = _probed(x, bits, np.zeros(len(x), np.int64), np.full(len(x), len(bits), np.uint64))
+    return pa.table({"chunk": chunk, "shard": name, "q": pa.array([x.tobytes() for x in out], pa.binary())})
+
+
+def _lookup(answers: pa.Table, distinct: tuple[np.ndarray, np.ndarray], shards: int):
+    """levels() from answers (shard, q) to what _asked() asked for these words and pairs."""
+    given, held = dict(zip(answers.column("shard").to_pylist(), answers.column("q").to_pylist(), strict=True)), []
+    for kind, grams in enumerate(distinct):
+        order, names, _ = _placed(grams, kind, shards)
+        q = np.zeros(len(grams), dtype=np.uint8)
+        q[order] = np.frombuffer(b"".join(given[x] for x in names.tolist()), dtype=np.uint8)
+        held.append(q)
 
     def levels(grams, kind):
-        known, values = held[kind]
-        if not len(known):
-            return np.zeros(len(grams), dtype=np.int64)
-        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-        return np.where(known[at] == grams, values[at], 0)
+        return held[kind][np.searchsorted(distinct[kind], grams)]
 
     return levels
 
@@ -328,7 +333,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     frequent = model.words.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
     order = np.argsort(frequent["gram"].to_numpy(np.int64).view(np.uint64))
     known = frequent["gram"].to_numpy(np.int64).view(np.uint64)[order]
-    tokens, distinct = model.tokens, model.distinct
+    shards, tokens, distinct = model.shards, model.tokens, model.distinct
     whole = tokens + 0.5 * (distinct + 1)
     logs = np.log10((frequent["n"].to_numpy(np.float64)[order] + 0.5) / whole)
     shared = spark.sparkContext.broadcast((model.held, known, logs))
@@ -340,10 +345,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     def run_chunk(texts, answers):
         _, known, logs = shared.value
-        levels, out = _lookup(answers), []
-        for batch in texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches():
-            out += _scores(batch, levels, known, logs, tokens, distinct)
-        return pa.Table.from_batches(out, schema=pa.schema([(n, t) for n, t in zip(_SCORED, kinds, strict=True)]) if not out else None)
+        (batch,) = texts.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()
+        token, before, _ = _joined([batch.column(2)])
+        levels = _lookup(answers, _distinct(token, before), shards)
+        return pa.Table.from_batches(list(_scores(batch, levels, known, logs, tokens, distinct)))
 
     docs = docs.select("doc_id", "held_out", "text")
     schema = docs.select("doc_id", "held_out").schema
@@ -352,10 +357,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     if model.held is not None:
         scored = docs.mapInArrow(run, schema)
     else:
-        kinds = [to_arrow_type(f.dataType) for f in schema]
         texts = cut(docs.mapInArrow(_numbered, T.StructType([T.StructField("chunk", T.LongType()), *docs.schema])))
-        asked = texts.select("chunk", "text").mapInArrow(_asked(model.shards), "chunk long, shard int, gram long")
-        answers = cut(asked.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(_answered(model.shards), "chunk long, kind int, gram long, q long"))
+        asked = texts.select("chunk", "text").mapInArrow(_asked(shards), "chunk long, shard int, keys binary")
+        answers = cut(asked.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(_answered, "chunk long, shard int, q binary"))
+        drop()
         scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run_chunk, schema)
     table = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = table.select("row", F.explode("rest").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("times"))
