@@ -15,15 +15,15 @@ of that axis makes full sequences and, at its end, sequences of powers of two, s
 from __future__ import annotations
 
 import os
-import struct
 import zlib
-from itertools import chain, filterfalse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm import vec
 from sparkloom.llm.store import cut
 
 LENGTH, UNIT, SALTS = 4096, 16, 256
@@ -38,10 +38,11 @@ _STATE: dict = {}
 
 class Encoder:
     """Ids of texts. In this vocabulary words are independent, and white space always ends one: ids are
-    looked up by what stands between white space, and for what is new by its words. Texts with unusual
-    characters are encoded whole."""
+    looked up by the hash of what stands between white space (equal hashes of different pieces are as
+    unlikely as 2**-64 a pair), and for what is new by its words. Texts with unusual characters are
+    encoded whole."""
 
-    LIMIT = 600_000
+    LIMIT, NEAR = 1_200_000, 22
 
     def __init__(self, path: str):
         import re
@@ -51,17 +52,23 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.odd, self.split = re.compile(_ODD), re.compile(_WORDS)
-        self.pieces: dict[str, bytes | None] = {}
-        self.words: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._clear()
 
-    def _learn(self, new: set[str]) -> None:
-        """Put pieces into the table, None for those that are unusual."""
-        pieces = [x for x in new if not self.odd.search(x)]
-        self.pieces.update(dict.fromkeys(new))
-        words = [self.split.findall(x) for x in pieces]
+    def _clear(self) -> None:
+        self.words: dict[str, bytes] = {}
+        self.near = np.zeros(1 << self.NEAR, dtype=np.uint64), np.zeros(1 << self.NEAR, dtype=np.int32)  # the latest of equal low bits
+        self.slots: dict[int, int] = {}  # of a piece's hash; the ids of slot i are ids[first[i] : first[i] + size[i]]
+        self.ids, self.n_ids = np.zeros(1 << 16, dtype=np.uint32), 1
+        self.first, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)  # size -1: unusual
+        self.ids[0], self.size[0] = END_ID, 1
+
+    def _learn(self, new: list[str]) -> None:
+        """Put pieces into the next slots."""
+        unusual = [self.odd.search(x) is not None for x in new]
+        words = [[] if u else self.split.findall(x) for x, u in zip(new, unusual, strict=True)]
         fresh = [w for w in set().union(*words) if w not in self.words]
         for at in range(0, len(fresh), 4096):  # as one text: each word ends in an id that marks its end
             part = fresh[at : at + 4096]
@@ -72,35 +79,55 @@ class Encoder:
                 self.words[word] = data[begin:end]
                 begin = end
         get = self.words.__getitem__
-        for piece, parts in zip(pieces, words, strict=True):
-            self.pieces[piece] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, END_ID last."""
-        # the four separators that Python takes for white space and the vocabulary doesn't
-        plain = [x.lower().split() if x and not ("\x1c" in x or "\x1d" in x or "\x1e" in x or "\x1f" in x) else None for x in texts]
-        known = self.pieces.__contains__
-        new = set(filterfalse(known, chain.from_iterable(filter(None, plain))))
-        if len(self.pieces) + len(new) > self.LIMIT:
-            self.pieces.clear()
-            new = set(chain.from_iterable(filter(None, plain)))
-        if len(self.words) > self.LIMIT:
-            self.words.clear()
-        if new:
-            self._learn(new)
-        end, get, out = struct.pack("<I", END_ID), self.pieces.__getitem__, []
-        for x, pieces in zip(texts, plain, strict=True):
-            if not x:
-                out.append(end)
-                continue
-            ids = None
-            if pieces is not None:
-                found = list(map(get, pieces))
-                ids = None if None in found else b"".join(found)
-            if ids is None:
-                ids = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            out.append(ids + end)
-        return out
+        found = [b"".join(map(get, parts)) for parts in words]
+        ids = np.frombuffer(b"".join(found), dtype="<u4")
+        at, count = len(self.slots) + 1, len(new)
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        while at + count > len(self.first):
+            self.first, self.size = np.append(self.first, np.zeros_like(self.first)), np.append(self.size, np.zeros_like(self.size))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=count) // 4
+        self.first[at : at + count] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size[at : at + count] = np.where(unusual, -1, sizes)
+        self.n_ids += len(ids)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a column, END_ID last in each, row after row, and the number of each text's."""
+        data, offsets = vec.text_bytes(column)
+        starts, ends, counts = vec.words(data, offsets, vec.SPACED)
+        place, distinct = pd.factorize(vec.word_hashes(data, starts, ends))
+        if len(self.slots) + len(distinct) > self.LIMIT:
+            self._clear()
+        cell = (distinct & np.uint64((1 << self.NEAR) - 1)).astype(np.int64)
+        slots = np.where(self.near[0][cell] == distinct, self.near[1][cell], 0).astype(np.int64)
+        new = np.flatnonzero(slots == 0)
+        slots[new] = [self.slots.get(h, 0) for h in distinct[new].tolist()]
+        new = new[slots[new] == 0]
+        if len(new):
+            where = np.zeros(len(distinct), dtype=np.int64)
+            where[place[::-1]] = np.arange(len(place))[::-1]
+            raw = data.tobytes()
+            at = len(self.slots) + 1
+            self._learn([raw[x:y].decode("utf-8", "replace").lower() for x, y in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+            self.slots.update(zip(distinct[new].tolist(), range(at, at + len(new)), strict=True))
+            slots[new] = np.arange(at, at + len(new))
+        self.near[0][cell], self.near[1][cell] = distinct, slots
+        row = np.repeat(np.arange(len(counts)), counts)
+        slot = slots[place]
+        whole = np.unique(row[self.size[slot] < 0])
+        slot = np.insert(slot, np.cumsum(counts), 0)
+        row = np.insert(row, np.cumsum(counts), np.arange(len(counts)))
+        n = np.maximum(self.size[slot], 0).astype(np.int64)
+        ids = self.ids[np.repeat(self.first[slot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        lengths = np.bincount(row, weights=n, minlength=len(counts)).astype(np.int64)
+        if len(whole):
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            for i in whole.tolist():
+                parts[i] = np.array([*self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, END_ID], dtype=np.uint32)
+                lengths[i] = len(parts[i])
+            ids = np.concatenate(parts)
+        return ids, lengths
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -115,20 +142,15 @@ def _token_rows(path: str):
             _STATE[path] = Encoder(path)
         encoder = _STATE[path]
         for batch in batches:
-            texts = batch.column(1)
-            at = 0
-            while at < len(batch):
-                take, size = at, 0
-                while take < len(batch) and (size < 1 << 20 or take == at):
-                    size += len(texts[take].as_py() or "")
-                    take += 1
-                ids = encoder.encode(texts.slice(at, take - at).to_pylist())
-                n = [len(x) // 4 for x in ids]
-                short = [np.frombuffer(x, dtype="<u4") for x in ids]
-                # 2 bytes an id where they hold it
-                packed = [s.astype("<u2").tobytes() if s.max() < 1 << 16 else b"\0" + x for s, x in zip(short, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, take - at), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "ids"])
-                at = take
+            _, offsets = vec.text_bytes(batch.column(1))
+            for lo, hi in vec.chunks(offsets):
+                ids, n = encoder.encode(batch.column(1).slice(lo, hi - lo))
+                if ids.max() < 1 << 16:  # 2 bytes an id where they hold it
+                    ends = np.concatenate(([0], np.cumsum(2 * n))).astype(np.int32)
+                    packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(ids.astype("<u2").tobytes())])
+                else:
+                    packed = pa.array([b"\0" + x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(n)[:-1])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), packed], ["doc_id", "n", "ids"])
 
     return run
 
