@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -67,19 +68,21 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Put pieces into the next slots."""
-        unusual = [self.odd.search(x) is not None for x in new]
-        words = [[] if u else self.split.findall(x) for x, u in zip(new, unusual, strict=True)]
-        fresh = [w for w in set().union(*words) if w not in self.words]
+        odd, split = self.odd.search, self.split.findall
+        words = list(map(split, new))
+        if odd("\n".join(new)):
+            words = [[] if odd(x) else parts for x, parts in zip(new, words, strict=True)]
+        fresh = list(set(chain.from_iterable(words)).difference(self.words))
         for at in range(0, len(fresh), 4096):  # as one text: each word ends in an id that marks its end
             part = fresh[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             data, begin = ids.tobytes(), 0
             ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
             for word, end in zip(part, ends, strict=True):
                 self.words[word] = data[begin:end]
                 begin = end
         get = self.words.__getitem__
-        found = [b"".join(map(get, parts)) for parts in words]
+        found = [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in words]
         ids = np.frombuffer(b"".join(found), dtype="<u4")
         at, count = len(self.slots) + 1, len(new)
         while self.n_ids + len(ids) > len(self.ids):
@@ -89,7 +92,7 @@ class Encoder:
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=count) // 4
         self.first[at : at + count] = self.n_ids + np.cumsum(sizes) - sizes
-        self.size[at : at + count] = np.where(unusual, -1, sizes)
+        self.size[at : at + count] = np.where(sizes, sizes, -1)  # no other piece is without ids
         self.n_ids += len(ids)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
