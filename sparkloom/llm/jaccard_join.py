@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
 from sparkloom.llm.components import components
-from sparkloom.llm.store import ROW, bitmap, cut, drop, in_bitmap, mix, row_slot, unique_ids
+from sparkloom.llm.store import ROW, arrow_map, bitmap, cut, drop, in_bitmap, mix, row_slot, unique_ids
 
 SHARE = 4  # tokens to a coordinate of a point, at least half of that
 LEAF, FAN = 32, 8  # points in a leaf of the R-tree, leaves under a node
@@ -391,7 +391,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     Columns beyond the two named ones are ignored. An empty table gives an empty result."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    classes = cut(docs.mapInArrow(_class_rows(k), "doc_id long, k1 long, n long, point binary"))
+    classes = cut(docs.transform(arrow_map, _class_rows(k), "doc_id long, k1 long, n long, point binary"))
     nodes = cut(classes.where("n > 0").groupBy("k1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("point").alias("point")))
     rep_bits = spark.sparkContext.broadcast(bitmap(nodes.where("rep is not null"), "rep"))
     texts = docs.select("text", F.coalesce(row_slot("doc_id"), F.lit(0)).alias("slot"), F.col("doc_id").isNull().alias("nameless"))
@@ -399,20 +399,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     def tokens(keys):
         """(k1, tokens) of these keys, and of some more."""
         key_bits = spark.sparkContext.broadcast(_key_bitmap(keys))
-        return texts.mapInArrow(_token_rows(k, key_bits, rep_bits), "k1 long, tokens binary").join(keys, "k1", "left_semi").dropDuplicates(["k1"])
+        return texts.transform(arrow_map, _token_rows(k, key_bits, rep_bits), "k1 long, tokens binary").join(keys, "k1", "left_semi").dropDuplicates(["k1"])
 
-    routes = texts.mapInArrow(_route_rows(k, num, den, rep_bits), "sig long, k1 long")
-    live = cut(routes.repartition("sig").sortWithinPartitions("sig", "k1").mapInArrow(_meeting_rows, "sig long, mn long, k1 long"))
+    routes = texts.transform(arrow_map, _route_rows(k, num, den, rep_bits), "sig long, k1 long")
+    live = cut(routes.repartition("sig").sortWithinPartitions("sig", "k1").transform(arrow_map, _meeting_rows, "sig long, mn long, k1 long"))
     drop()
     points = nodes.select("k1", "n", "point")
     near = cut(
         live.select(F.col("mn").alias("a"), F.col("k1").alias("b")).distinct()
         .join(points.toDF("a", "na", "pa"), "a")
         .join(points.toDF("b", "nb", "pb"), "b")
-        .mapInArrow(_bounded(num, den), "a long, b long")
+        .transform(arrow_map, _bounded(num, den), "a long, b long")
     )
     sets = tokens(near.select(F.col("a").alias("k1")).union(near.select("b")).distinct())
-    links = cut(near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").mapInArrow(_verified(num, den), "a long, b long"))
+    links = cut(near.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").transform(arrow_map, _verified(num, den), "a long, b long"))
     drop(near)
     roots = components(links)
 
@@ -428,7 +428,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         met.select("sig", "b1", "b2", "block", "k1", "comp", "n", "point")
         .repartition("sig", "b1", "b2")
         .sortWithinPartitions("sig", "b1", "b2")
-        .mapInArrow(_partners(num, den), "a long, b long")
+        .transform(arrow_map, _partners(num, den), "a long, b long")
     )
     drop(live)
     if not closer.isEmpty():

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
-from sparkloom.llm.store import mix
+from sparkloom.llm.store import arrow_map, mix
 
 RANKS = 400  # n-grams of a profile and of a text
 MARK = 1
@@ -164,7 +164,7 @@ def train(docs: DataFrame, size: int = RANKS) -> Profiles:
     counts = (
         docs.where("text is not null and lang is not null")
         .select("text", "lang")
-        .mapInArrow(_training_rows, "lang string, gram long, n long")
+        .transform(arrow_map, _training_rows, "lang string, gram long, n long")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], [*kept, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(arrow_map, run, schema)
 
 
 def fold(id_col: str, folds: int):

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from sparkloom.llm import vec
 from sparkloom.llm.language_id import fold
-from sparkloom.llm.store import cut, drop, mix
+from sparkloom.llm.store import arrow_map, cut, drop, mix
 
 BASE, BITS_PER_KEY = 1.5, 8
 MAX_MB = 96  # of the filter where it is broadcast
@@ -209,7 +209,7 @@ def train(docs: DataFrame, max_mb: float = MAX_MB) -> Model:
     text = docs.select("text")
     size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(16, size // SHARD)
-    rows = text.mapInArrow(_counts(shards), "shard int, grams binary, n binary")
+    rows = text.transform(arrow_map, _counts(shards), "shard int, grams binary, n binary")
     built = cut(rows.groupBy("shard").applyInArrow(_build(shards), "shard int, bits binary, grams array<long>, n array<long>"))
     drop()
     table = built.select("shard", "bits")
@@ -355,10 +355,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     for name, kind in (("n_tokens", "long"), ("n_hit", "long"), ("base", "double"), ("score", "double"), ("rest", T.ArrayType(T.LongType()))):
         schema = schema.add(name, kind)
     if model.held is not None:
-        scored = docs.mapInArrow(run, schema)
+        scored = docs.transform(arrow_map, run, schema)
     else:
-        texts = cut(docs.mapInArrow(_numbered, T.StructType([T.StructField("chunk", T.LongType()), *docs.schema])))
-        asked = texts.select("chunk", "text").mapInArrow(_asked(shards), "chunk long, shard int, keys binary")
+        texts = cut(docs.transform(arrow_map, _numbered, T.StructType([T.StructField("chunk", T.LongType()), *docs.schema])))
+        asked = texts.select("chunk", "text").transform(arrow_map, _asked(shards), "chunk long, shard int, keys binary")
         answers = cut(asked.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(_answered, "chunk long, shard int, q binary"))
         drop()
         scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run_chunk, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
-from sparkloom.llm.store import cut
+from sparkloom.llm.store import arrow_map, cut
 
 LENGTH, UNIT, SALTS = 4096, 16, 256
 END_ID = 2
@@ -43,7 +43,7 @@ class Encoder:
     unlikely as 2**-64 a pair), and for what is new by its words. Texts with unusual characters are
     encoded whole."""
 
-    LIMIT, NEAR = 1_200_000, 22
+    LIMIT, WORDS, CELLS = 1_000_000, 400_000, 1 << 21  # some 50 MB of pieces, 80 of words
 
     def __init__(self, path: str):
         import re
@@ -60,8 +60,9 @@ class Encoder:
 
     def _clear(self) -> None:
         self.words: dict[str, bytes] = {}
-        self.near = np.zeros(1 << self.NEAR, dtype=np.uint64), np.zeros(1 << self.NEAR, dtype=np.int32)  # the latest of equal low bits
-        self.slots: dict[int, int] = {}  # of a piece's hash; the ids of slot i are ids[first[i] : first[i] + size[i]]
+        # hashes and slots of pieces, the latest of those with equal low bits; the ids of slot i are
+        # ids[first[i] : first[i] + size[i]]
+        self.known, self.slots, self.n_slots = np.zeros(self.CELLS, dtype=np.uint64), np.zeros(self.CELLS, dtype=np.int32), 1
         self.ids, self.n_ids = np.zeros(1 << 16, dtype=np.uint32), 1
         self.first, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)  # size -1: unusual
         self.ids[0], self.size[0] = END_ID, 1
@@ -84,7 +85,7 @@ class Encoder:
         get = self.words.__getitem__
         found = [get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts)) for parts in words]
         ids = np.frombuffer(b"".join(found), dtype="<u4")
-        at, count = len(self.slots) + 1, len(new)
+        at, count = self.n_slots, len(new)
         while self.n_ids + len(ids) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))
         while at + count > len(self.first):
@@ -94,28 +95,27 @@ class Encoder:
         self.first[at : at + count] = self.n_ids + np.cumsum(sizes) - sizes
         self.size[at : at + count] = np.where(sizes, sizes, -1)  # no other piece is without ids
         self.n_ids += len(ids)
+        self.n_slots += count
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts of a column, END_ID last in each, row after row, and the number of each text's."""
         data, offsets = vec.text_bytes(column)
         starts, ends, counts = vec.words(data, offsets, vec.SPACED)
         place, distinct = pd.factorize(vec.word_hashes(data, starts, ends))
-        if len(self.slots) + len(distinct) > self.LIMIT:
+        if self.n_slots > self.LIMIT:
             self._clear()
-        cell = (distinct & np.uint64((1 << self.NEAR) - 1)).astype(np.int64)
-        slots = np.where(self.near[0][cell] == distinct, self.near[1][cell], 0).astype(np.int64)
+        if len(self.words) > self.WORDS:
+            self.words.clear()
+        cell = (distinct & np.uint64(self.CELLS - 1)).astype(np.int64)
+        slots = np.where(self.known[cell] == distinct, self.slots[cell], 0).astype(np.int64)
         new = np.flatnonzero(slots == 0)
-        slots[new] = [self.slots.get(h, 0) for h in distinct[new].tolist()]
-        new = new[slots[new] == 0]
         if len(new):
             where = np.zeros(len(distinct), dtype=np.int64)
             where[place[::-1]] = np.arange(len(place))[::-1]
             raw = data.tobytes()
-            at = len(self.slots) + 1
+            slots[new] = np.arange(self.n_slots, self.n_slots + len(new))
             self._learn([raw[x:y].decode("utf-8", "replace").lower() for x, y in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-            self.slots.update(zip(distinct[new].tolist(), range(at, at + len(new)), strict=True))
-            slots[new] = np.arange(at, at + len(new))
-        self.near[0][cell], self.near[1][cell] = distinct, slots
+            self.known[cell[new]], self.slots[cell[new]] = distinct[new], slots[new]
         row = np.repeat(np.arange(len(counts)), counts)
         slot = slots[place]
         whole = np.unique(row[self.size[slot] < 0])
@@ -266,7 +266,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     spark = docs.sparkSession
     text = docs.select("doc_id", "text")
     schema = text.select("doc_id").schema.add("n", "long").add("ids", "binary")
-    tokens = cut(text.mapInArrow(_token_rows(path or tokenizer_path()), schema).withColumn("row", F.monotonically_increasing_id()))
+    tokens = cut(text.transform(arrow_map, _token_rows(path or tokenizer_path()), schema).withColumn("row", F.monotonically_increasing_id()))
     rows = tokens.select("row", F.floor(F.col("n") / length).alias("full"), (F.col("n") % length).alias("r"))
     rows = rows.withColumn("class", F.ceil(F.col("r") / UNIT).cast("int"))
     counts = rows.where("r > 0").groupBy("class").count().orderBy("class").collect()
@@ -358,4 +358,4 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     schema = text.select("doc_id").schema
     for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
         schema = schema.add(name, "long")
-    return out.mapInArrow(_cut_pieces, schema)
+    return out.transform(arrow_map, _cut_pieces, schema)

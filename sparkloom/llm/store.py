@@ -49,6 +49,31 @@ def drop(*tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), after which the worker gives the memory it freed back to the system:
+    workers are used again, and what they keep adds up over the operators of a job."""
+
+    def rows(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(rows, schema)
+
+
+def _release() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
