@@ -183,7 +183,7 @@ def _token_rows(k: int, key_bits, rep_bits):
 
 
 def _jvm_slot(keys: np.ndarray) -> np.ndarray:
-    """Slot of bigint keys in a bitmap made with key_slot(): plain low bits, as keys are hashes."""
+    """Slot of bigint keys in a bitmap of hashes: plain low bits."""
     return keys & np.int64((1 << 24) - 1)
 
 
@@ -239,24 +239,26 @@ def minima(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 class RTree:
     """STR-packed R-tree over count points: for each node the largest count of every group and the
-    smallest set size, two levels above the points."""
+    smallest and largest set size, two levels above the points."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         order = np.lexsort((points[:, 0], points[:, : points.shape[1] // 2].sum(1) // 4, sizes // 8))
         self.order, self.points, self.sizes = order, points[order], sizes[order]
         self.starts = np.arange(0, len(order), LEAF)
         self.upper = np.maximum.reduceat(self.points, self.starts, axis=0)
-        self.least = np.minimum.reduceat(self.sizes, self.starts)
+        self.least, self.most = np.minimum.reduceat(self.sizes, self.starts), np.maximum.reduceat(self.sizes, self.starts)
         self.top = np.arange(0, len(self.starts), FAN)
-        self.top_upper, self.top_least = np.maximum.reduceat(self.upper, self.top, axis=0), np.minimum.reduceat(self.least, self.top)
+        self.top_upper = np.maximum.reduceat(self.upper, self.top, axis=0)
+        self.top_least, self.top_most = np.minimum.reduceat(self.least, self.top), np.maximum.reduceat(self.most, self.top)
 
     def join(self, other: RTree, num: int, den: int) -> Iterator[tuple[int, np.ndarray]]:
         """Places of the points of other whose bound with one of these reaches the similarity, point by
         point; of a tree joined to itself every pair comes in one order at least. Node by node, only the
         leaves whose bound does so are compared."""
-        for t, (upper, least) in enumerate(zip(self.top_upper, self.top_least, strict=True)):
-            shared = np.minimum(other.upper, upper).sum(1)
+        for t, (upper, least, most) in enumerate(zip(self.top_upper, self.top_least, self.top_most, strict=True)):
+            shared = np.minimum(np.minimum(other.upper, upper).sum(1), np.minimum(other.most, most))
             fits = den * shared >= num * (least + other.least - shared)
+            fits &= (den * most >= num * other.least) & (den * other.most >= num * least)
             if self is other:
                 fits[: t * FAN] = False  # met from the other side
             leaves = np.flatnonzero(fits)
@@ -398,7 +400,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
     def tokens(keys):
         """(k1, tokens) of these keys, and of some more."""
-        key_bits = spark.sparkContext.broadcast(_key_bitmap(keys))
+        key_bits = spark.sparkContext.broadcast(bitmap(keys, "k1", hashed=True))
         return texts.transform(arrow_map, _token_rows(k, key_bits, rep_bits), "k1 long, tokens binary").join(keys, "k1", "left_semi").dropDuplicates(["k1"])
 
     routes = texts.transform(arrow_map, _route_rows(k, num, den, rep_bits), "sig long, k1 long")
@@ -462,19 +464,6 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     )
 
 
-def _key_bitmap(wanted: DataFrame) -> np.ndarray:
-    slot = F.col("k1").bitwiseAND(F.lit((1 << 24) - 1))
-    rows = (
-        wanted.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-        .toPandas()
-    )
-    out = np.zeros(1 << 18, dtype=np.int64)
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
-    return out
-
-
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Near-duplicate removal: of each component the row with the smallest doc_id stays, of rows with
     the same id any one. Texts without words stay. Columns are those of docs."""

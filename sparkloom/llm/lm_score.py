@@ -330,12 +330,13 @@ def _scores(batch: pa.RecordBatch, levels, known, logs, tokens: int, distinct: i
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of docs(doc_id, held_out, text)."""
     spark = docs.sparkSession
-    frequent = model.words.orderBy(F.desc("n"), "gram").limit(FREQUENT).toPandas()
-    order = np.argsort(frequent["gram"].to_numpy(np.int64).view(np.uint64))
-    known = frequent["gram"].to_numpy(np.int64).view(np.uint64)[order]
+    frequent = model.words.orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
+    known, times = frequent.column("gram").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
+    order = np.argsort(known)
+    known = known[order]
     shards, tokens, distinct = model.shards, model.tokens, model.distinct
     whole = tokens + 0.5 * (distinct + 1)
-    logs = np.log10((frequent["n"].to_numpy(np.float64)[order] + 0.5) / whole)
+    logs = np.log10((times[order] + 0.5) / whole)
     shared = spark.sparkContext.broadcast((model.held, known, logs))
 
     def run(batches):

@@ -47,6 +47,7 @@ def drop(*tables: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(table._written)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     spark._jvm.System.gc()
+    _release()
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
@@ -88,18 +89,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def bitmap(df: DataFrame, column: str, log2_bits: int = 24) -> np.ndarray:
+def bitmap(df: DataFrame, column: str, log2_bits: int = 24, hashed: bool = False) -> np.ndarray:
     """One-hash membership bitmap of a bigint column: 2**log2_bits bits whatever the input, so it may
-    be broadcast. It only ever lets too much through; callers join exactly afterwards."""
-    slot = F.xxhash64(F.col(column)).bitwiseAND(F.lit((1 << log2_bits) - 1))
+    be broadcast. It only ever lets too much through; callers join exactly afterwards. Values that are
+    hashes already give their low bits."""
+    slot = (F.col(column) if hashed else F.xxhash64(F.col(column))).bitwiseAND(F.lit((1 << log2_bits) - 1))
     words = (
         df.select(slot.alias("slot"))
         .groupBy(F.shiftright("slot", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(1 << (log2_bits - 6), dtype=np.int64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return out
 
 
