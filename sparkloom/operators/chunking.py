@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,39 +12,53 @@ from pyspark.sql import DataFrame
 _WORD, _MARK = re.compile(r"[A-Za-z0-9_]+|[^\x00-\x7F]"), re.compile(r"[^\w\s]")
 
 
+class Tokens:
+    """Running sums of words and marks over consecutive pieces of text, from which the token estimate of any
+    stretch of them follows: a word each, and a quarter of the marks, one at least."""
+
+    def __init__(self, pieces: list[str]):
+        self.words = [0, *accumulate(len(_WORD.findall(p)) for p in pieces)]
+        self.marks = [0, *accumulate(len(_MARK.findall(p)) for p in pieces)]
+
+    def between(self, lo: int, hi: int, more: tuple[int, int] = (0, 0)) -> int:
+        return max(1, self.words[hi] - self.words[lo] + more[0] + (self.marks[hi] - self.marks[lo] + more[1]) // 4)
+
+    def reach(self, lo: int, least: int, most: int, more: tuple[int, int] = (0, 0)) -> int:
+        """The last end, `least` or later, to which the stretch from lo keeps to `most`."""
+        ends = range(least, len(self.words))
+        return least + max(bisect_right(ends, most, key=lambda hi: self.between(lo, hi, more)) - 1, 0)
+
+
 def count_tokens(text: str) -> int:
-    return max(1, len(_WORD.findall(text)) + len(_MARK.findall(text)) // 4)
+    return Tokens([text]).between(0, 1)
 
 
 def split_hard(text: str, most: int, overlap: int) -> list[str]:
-    """Parts of at most `most` tokens, each but the first opening with about `overlap` of the last one's."""
-    units, parts, held, size = re.findall(r"\S+\s*", text), [], [], 0
-    for unit in units:
-        n = count_tokens(unit)
-        if held and size + n > most:
-            parts.append("".join(held).strip())
-            tail, kept = [], 0
-            for u in reversed(held):
-                if kept + count_tokens(u) > overlap:
-                    break
-                tail.insert(0, u)
-                kept += count_tokens(u)
-            held, size = tail, kept
-        held.append(unit)
-        size += n
-    return [*parts, "".join(held).strip()] if held else parts
+    """Stretches of at most `most` tokens, cut after white space. Each but the first opens with as much of the
+    one before as `overlap` allows, and has at least one piece of its own."""
+    spans = [m.span() for m in re.finditer(r"\S+\s*", text)]
+    tokens, out, start, end = Tokens([text[a:b] for a, b in spans]), [], 0, 0
+    while end < len(spans):
+        end = tokens.reach(start, end + 1, most)
+        out.append(text[spans[start][0] : spans[end - 1][1]].strip())
+        # token sums fall as the start moves on
+        start = bisect_left(range(start, end), -overlap, key=lambda lo, end=end: -tokens.between(lo, end)) + start
+    return out
 
 
 def split_table(text: str, most: int) -> list[str]:
-    """Runs of rows within the budget, the first line repeated on top of each."""
-    head, *rows = text.split("\n")
-    out, held = [], []
-    for row in rows:
-        if held and count_tokens("\n".join([head, *held, row])) > most:
-            out.append("\n".join([head, *held]))
-            held = []
-        held.append(row)
-    return [*out, "\n".join([head, *held])] if held or not out else out
+    """Runs of rows within the budget, the first row repeated on top of each; blank rows are left out. A table
+    of one row below its head stays as it is."""
+    rows = [row for row in text.splitlines() if row.strip()]
+    if len(rows) <= 2:
+        return [text]
+    tokens, out, at = Tokens(rows), [], 1
+    head = tokens.words[1], tokens.marks[1]
+    while at < len(rows):
+        end = tokens.reach(at, at + 1, most, head)
+        out.append("\n".join([rows[0], *rows[at:end]]))
+        at = end
+    return out
 
 
 def parent_child(rows: list[tuple[str, str]], target: int, most: int, overlap: int) -> list[tuple[int, str, str]]:

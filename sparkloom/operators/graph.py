@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,26 +29,62 @@ def graph_score(hops: Column, overlap: Column) -> Column:
     return F.least(F.lit(0.95), F.pow(F.lit(0.72), hops) * (0.7 + 0.3 * overlap))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written once, its lineage cut: to spark.checkpoint.dir, which every executor of a cluster shares;
+    where none is named, on a local master only, to a folder of this machine."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
+    return df.checkpoint()
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) of an acyclic plan calls(call_id, depends_on): 0 without dependencies, else one
-    more than the highest of them; cycles leave their members out."""
-    spark = calls.sparkSession
-    deps = calls.select("call_id", F.explode_outer("depends_on").alias("dep"))
-    deps.createOrReplaceTempView("_plan_deps")
-    return spark.sql(
-        """WITH RECURSIVE walk(call_id, level, path) AS (
-          SELECT call_id, 0, array(call_id) FROM _plan_deps GROUP BY call_id HAVING count(dep) = 0
-          UNION ALL SELECT d.call_id, w.level + 1, array_append(w.path, d.call_id) FROM walk w JOIN _plan_deps d ON d.dep = w.call_id WHERE NOT array_contains(w.path, d.call_id))
-        SELECT call_id, CAST(max(level) AS BIGINT) AS level FROM walk GROUP BY call_id"""
-    )
+    """(call_id, level) of a plan calls(call_id, depends_on): 0 without dependencies, else one more than the
+    highest of them. Calls on a cycle or behind one, and those that wait for a call that is not there, get
+    none. One round a level: dependencies that are met are taken away, and who waits for none is next, so
+    the work is that of the edges, whatever the number of paths."""
+    calls = settled(calls.select("call_id", "depends_on").where("call_id IS NOT NULL"))
+    open_ = settled(calls.select("call_id", F.explode("depends_on").alias("dep")).where("dep IS NOT NULL").distinct())
+    waiting = calls.select("call_id").distinct()
+    done, level = None, 0
+    while True:
+        ready = settled(waiting.join(open_, "call_id", "left_anti").select("call_id", F.lit(level).cast("long").alias("level")))
+        done = ready if done is None else done.unionAll(ready)
+        if ready.isEmpty():
+            return done
+        waiting = settled(waiting.join(ready, "call_id", "left_anti"))
+        open_ = settled(open_.join(ready.select(F.col("call_id").alias("dep")), "dep", "left_anti"))
+        level += 1
 
 
 def reachable(calls: DataFrame) -> DataFrame:
-    """(ancestor, call_id): which calls depend on which, directly or not."""
-    spark = calls.sparkSession
-    calls.select("call_id", F.explode("depends_on").alias("dep")).createOrReplaceTempView("_plan_edges")
-    return spark.sql(
-        """WITH RECURSIVE r(ancestor, call_id, depth) AS (SELECT dep, call_id, 1 FROM _plan_edges
-        UNION ALL SELECT r.ancestor, e.call_id, r.depth + 1 FROM r JOIN _plan_edges e ON e.dep = r.call_id WHERE r.depth < 16)
-        SELECT DISTINCT ancestor, call_id FROM r"""
+    """(ancestor, call_id): which calls depend on which, directly or not, at any depth. Each round takes the
+    pairs that are new one edge on, until none are."""
+    edges = settled(calls.select("call_id", F.explode("depends_on").alias("dep")).where("dep IS NOT NULL AND call_id IS NOT NULL").distinct())
+    found = frontier = edges.select(F.col("dep").alias("ancestor"), "call_id")
+    while True:
+        step = frontier.select("ancestor", F.col("call_id").alias("dep")).join(edges, "dep").select("ancestor", "call_id").distinct()
+        frontier = settled(step.join(found, ["ancestor", "call_id"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = settled(found.unionAll(frontier))
+
+
+def faults(calls: DataFrame) -> DataFrame:
+    """(call_id, fault) of what makes a plan invalid: `duplicate` ids, a `missing` dependency, a `cycle` that
+    a call is on."""
+    ids = calls.groupBy("call_id").agg(F.count("*").alias("n"))
+    missing = calls.select("call_id", F.explode("depends_on").alias("dep")).join(ids.select(F.col("call_id").alias("dep")), "dep", "left_anti")
+    # whoever gets a level is on no cycle, which leaves few calls to follow
+    stuck = calls.join(levels(calls).select("call_id"), "call_id", "left_anti")
+    cyclic = reachable(stuck).where("ancestor = call_id")
+    return (
+        ids.where("n > 1").select("call_id", F.lit("duplicate").alias("fault"))
+        .unionAll(missing.select("call_id", F.lit("missing")))
+        .unionAll(cyclic.select("call_id", F.lit("cycle")))
+        .distinct()
     )

@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as tx
 
 
-def split_parts(text: str | None) -> list[str]:
-    """Parts between ? ; and line ends (and their wide forms) that stand outside double quotes."""
-    parts, held, quoted = [], [], False
-    for c in text or "":
-        if c in '"“”':
-            quoted = not quoted if c == '"' else c == "“"
-        if not quoted and c in "?？;；\r\n":
-            parts.append("".join(held))
-            held = []
-        else:
-            held.append(c)
-    parts.append("".join(held))
-    out = [" ".join(p.split()).rstrip("?？;；。.!！ ") for p in parts]
-    return [p for p in out if sum(c.isalnum() for c in p) >= 2]
+# What ends a part (with line ends) and what pairs of quotes protect.
+_ENDS = "?？;；"
+_PART = rf'(?:[^{_ENDS}\r\n"“]++|"[^"]*+(?:"|\z)|“[^”]*+(?:”|\z))++'
 
 
-def explicit_parts():
-    """The one Python step of planning: quotes that pair up are beyond regular expressions."""
-
-    @F.pandas_udf("array<string>")
-    def run(text: pd.Series) -> pd.Series:
-        return text.map(split_parts)
-
-    return run
+def split_parts(text: Column) -> Column:
+    """Parts between ? ; and line ends (and their wide forms) that stand outside quotes, each of which its
+    own kind closes; white space is collapsed, and parts of fewer than two letters or digits are left out."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_PART), F.lit(0))
+    trimmed = F.transform(found, lambda p: tx.collapse_whitespace(F.regexp_replace(tx.collapse_whitespace(p), rf"^[{_ENDS}]+|[{_ENDS}]+$", "")))
+    return F.filter(trimmed, lambda p: F.length(F.regexp_replace(p, r"(?U)[\W_]+", "")) >= 2)
 
 
 # Markers of questions that take two hops.
@@ -44,7 +30,7 @@ def plan_variants(queries: DataFrame, most: int = 3) -> DataFrame:
     text): the original, explicit sub-questions and a normalised form, in that order, `most` at most; a
     normal form that loses an anchor is left out."""
     original = tx.collapse_whitespace(F.col("text"))
-    q = queries.select("query_id", original.alias("original"), explicit_parts()("text").alias("parts")).where("original <> ''")
+    q = queries.select("query_id", original.alias("original"), split_parts(F.col("text")).alias("parts")).where("original <> ''")
     q = q.withColumns({"anchors": tx.protected_anchors(F.col("original")), "normal": tx.lexical_query(F.col("original"))})
     q = q.withColumn("subs", F.when(F.size("parts") > 1, F.filter(F.array_distinct("parts"), lambda p: F.lower(p) != F.lower("original"))).otherwise(F.array().cast("array<string>")))
 

@@ -130,17 +130,9 @@ def lexical_normalise(spark, d):
     return table(spark, d, "benchmark").select("item_id", tx.lexical_query(F.col("text")).alias("q"))
 
 
-@query(
-    "protected_anchors",
-    r"""WITH t AS (SELECT doc_id, list_concat(regexp_extract_all(text, '["“]([^"”]{1,160})["”]', 1), regexp_extract_all(text, '\b[A-Z][A-Z0-9_-]{1,20}\b'), regexp_extract_all(text, '\b[vV]?\d+(?:\.\d+){1,4}\b')) AS a FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*') AND NOT contains(text, '-') AND NOT regexp_matches(text, '\d\s*(?i:ms|s|min|h|kb|mb|gb|tb|%|hz|khz|mhz|ghz|v|a|w)([^\w]|$)')),
-    n AS (SELECT t.doc_id, list_concat(list_filter(list_transform(a, lambda x: trim(x)), lambda x: x <> ''), list_filter(['must not', 'do not', 'does not', 'not', 'without', 'exclude'], lambda m: contains(lower(text), m))) AS a FROM t JOIN documents USING (doc_id))
-    SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), '¦') AS anchors FROM n""",
-)
+@query("protected_anchors")
 def protected_anchors(spark, d):
-    docs = table(spark, d, "documents").where(
-        F.col("text").rlike(r"^[\x00-\x7F]*$") & ~F.contains("text", F.lit("-")) & ~F.col("text").rlike(r"\d\s*(?i:ms|s|min|h|kb|mb|gb|tb|%|hz|khz|mhz|ghz|v|a|w)([^\w]|$)")
-    )
-    return docs.select("doc_id", F.array_join(tx.protected_anchors(F.col("text")), "¦").alias("anchors"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(tx.protected_anchors(F.col("text")), "¦").alias("anchors"))
 
 
 @query("ws_collapse", f"SELECT doc_id, {_NORM.format('text')} AS t FROM documents")
@@ -245,12 +237,12 @@ def manifest_verify(spark, d):
 
 @query(
     "neighbours_per_seed",
-    f"""WITH {CHUNKS_SQL}, s AS (SELECT * FROM chunks WHERE idx = 1 AND doc_id % 25 = 0), c AS (SELECT s.chunk_id AS seed, c.chunk_id, 0 AS relation_rank, abs(c.idx - s.idx) AS distance FROM s JOIN chunks c ON c.doc_id = s.doc_id AND c.chunk_id <> s.chunk_id)
+    f"""WITH {CHUNKS_SQL}, s AS (SELECT * FROM chunks WHERE idx = 1 AND doc_id % 20 = 0), c AS (SELECT s.chunk_id AS seed, c.chunk_id, 0 AS relation_rank, abs(c.idx - s.idx) AS distance FROM s JOIN chunks c ON c.doc_id = s.doc_id AND c.chunk_id <> s.chunk_id)
     SELECT seed, chunk_id, CAST(distance AS BIGINT) AS distance, round(1.0 / (1 + distance), 6) AS score FROM c QUALIFY row_number() OVER (PARTITION BY seed ORDER BY relation_rank, distance, chunk_id) <= 2""",
 )
 def neighbours_per_seed(spark, d):
     c = chunks(spark, d).select("doc_id", "idx", "chunk_id")
-    seeds = c.where("idx = 1 AND doc_id % 25 = 0").select("doc_id", F.col("idx").alias("seed_idx"), F.col("chunk_id").alias("seed"))
+    seeds = c.where("idx = 1 AND doc_id % 20 = 0").select("doc_id", F.col("idx").alias("seed_idx"), F.col("chunk_id").alias("seed"))
     near = c.join(seeds, "doc_id").where("chunk_id <> seed").withColumn("distance", F.abs(F.col("idx") - F.col("seed_idx")).cast("long"))
     return top_per_group(near, ["seed"], [F.asc("distance"), F.asc("chunk_id")], 2).select("seed", "chunk_id", "distance", F.round(1.0 / (1 + F.col("distance")), 6).alias("score"))
 

@@ -13,7 +13,7 @@ from sparkloom.plans.overlay import table
 
 _ENT = """ent AS (SELECT 'customer:' || CAST(c_custkey AS VARCHAR) AS entity_id, 'customer' AS kind, lower(c_name) AS name FROM customer
 UNION ALL SELECT 'supplier:' || CAST(s_suppkey AS VARCHAR), 'supplier', lower(s_name) FROM supplier UNION ALL SELECT 'nation:' || CAST(n_nationkey AS VARCHAR), 'nation', lower(n_name) FROM nation)"""
-_REL = """rel AS (SELECT DISTINCT 'customer:' || CAST(o_custkey AS VARCHAR) AS src, 'supplier:' || CAST(l_suppkey AS VARCHAR) AS dst, 'ORDERED_FROM' AS kind, CAST(o_custkey % 3 AS BIGINT) AS acl_class FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 0
+_REL = """rel AS (SELECT DISTINCT 'customer:' || CAST(o_custkey AS VARCHAR) AS src, 'supplier:' || CAST(l_suppkey AS VARCHAR) AS dst, 'ORDERED_FROM' AS kind, CAST(o_custkey % 3 AS BIGINT) AS acl_class FROM orders JOIN lineitem ON o_orderkey = l_orderkey
 UNION ALL SELECT 'supplier:' || CAST(s_suppkey AS VARCHAR), 'nation:' || CAST(s_nationkey AS VARCHAR), 'LOCATED_IN', CAST(s_suppkey % 3 AS BIGINT) FROM supplier)"""
 
 
@@ -32,7 +32,7 @@ def _entities(spark, d):
 
 def _relations(spark, d):
     o, li, s = (table(spark, d, t) for t in ("orders", "lineitem", "supplier"))
-    bought = o.where("o_custkey % 10 = 0").join(li, o.o_orderkey == li.l_orderkey).select("o_custkey", "l_suppkey").distinct()
+    bought = o.join(li, o.o_orderkey == li.l_orderkey).select("o_custkey", "l_suppkey").distinct()
     bought = bought.select(_id("customer", "o_custkey").alias("src"), _id("supplier", "l_suppkey").alias("dst"), F.lit("ORDERED_FROM").alias("kind"), (F.col("o_custkey") % 3).alias("acl_class"))
     return bought.unionAll(s.select(_id("supplier", "s_suppkey"), _id("nation", "s_nationkey"), F.lit("LOCATED_IN"), F.col("s_suppkey") % 3))
 
@@ -42,9 +42,9 @@ def kg_entities(spark, d):
     return _entities(spark, d).select("entity_id", "kind", "name", F.substring(F.sha2(F.concat_ws("\x1f", "kind", "name"), 256), 1, 24).alias("key"))
 
 
-@query("kg_mentions", "SELECT 'order:' || CAST(l_orderkey AS VARCHAR) AS chunk_id, 'supplier:' || CAST(l_suppkey AS VARCHAR) AS entity_id, count(*) AS n FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY 1, 2")
+@query("kg_mentions", "SELECT 'order:' || CAST(l_orderkey AS VARCHAR) AS chunk_id, 'supplier:' || CAST(l_suppkey AS VARCHAR) AS entity_id, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def kg_mentions(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 20 = 0")
+    li = table(spark, d, "lineitem")
     return li.groupBy(_id("order", "l_orderkey").alias("chunk_id"), _id("supplier", "l_suppkey").alias("entity_id")).agg(F.count("*").alias("n"))
 
 
@@ -61,16 +61,16 @@ found AS (SELECT seed, node, CAST(0 AS BIGINT) AS hop, CAST(NULL AS VARCHAR) AS
 
 
 def _expanded(spark, d, edges):
-    seeds = table(spark, d, "nation").where("n_nationkey % 5 = 0").select(_id("nation", "n_nationkey").alias("seed"))
+    seeds = table(spark, d, "nation").select(_id("nation", "n_nationkey").alias("seed"))
     return graph.expand(seeds, edges, 2).select("seed", "node", F.col("hop").cast("long").alias("hop"), "parent")
 
 
-@query("kg_expand_two_hops", f"WITH {_REL}, e AS (SELECT src, dst FROM rel), seeds AS (SELECT 'nation:' || CAST(n_nationkey AS VARCHAR) AS seed FROM nation WHERE n_nationkey % 5 = 0), {_HOPS} SELECT seed, node, hop, parent, round(least(0.95, pow(0.72, hop) * 0.7), 6) AS score FROM found")
+@query("kg_expand_two_hops", f"WITH {_REL}, e AS (SELECT src, dst FROM rel), seeds AS (SELECT 'nation:' || CAST(n_nationkey AS VARCHAR) AS seed FROM nation), {_HOPS} SELECT seed, node, hop, parent, round(least(0.95, pow(0.72, hop) * 0.7), 6) AS score FROM found")
 def kg_expand_two_hops(spark, d):
     return _expanded(spark, d, _relations(spark, d)).withColumn("score", F.round(graph.graph_score(F.col("hop"), F.lit(0.0)), 6))
 
 
-@query("kg_expand_acl", f"WITH {_REL}, e AS (SELECT src, dst FROM rel WHERE acl_class <> 2), seeds AS (SELECT 'nation:' || CAST(n_nationkey AS VARCHAR) AS seed FROM nation WHERE n_nationkey % 5 = 0), {_HOPS} SELECT seed, node, hop, parent FROM found")
+@query("kg_expand_acl", f"WITH {_REL}, e AS (SELECT src, dst FROM rel WHERE acl_class <> 2), seeds AS (SELECT 'nation:' || CAST(n_nationkey AS VARCHAR) AS seed FROM nation), {_HOPS} SELECT seed, node, hop, parent FROM found")
 def kg_expand_acl(spark, d):
     """Edges whose evidence the caller may not see are gone before anything is traversed."""
     return _expanded(spark, d, _relations(spark, d).where("acl_class <> 2"))
@@ -89,9 +89,48 @@ def dag_levels(spark, d):
     return graph.levels(_plan(spark))
 
 
+_DAY = "CAST(epoch(date_trunc('day', ts)) AS BIGINT)"
+
+
+def _event_plan(spark, d):
+    """Every user's events of a day as a plan: each call waits for the one before."""
+    e = table(spark, d, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "ts")
+    before = F.lag("event_id").over(Window.partitionBy("user_id", "day").orderBy("ts", "event_id"))
+    return e.select(F.col("event_id").alias("call_id"), F.when(before.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(before.cast("bigint"))).alias("depends_on"))
+
+
+@query("dag_event_levels", f"SELECT event_id AS call_id, row_number() OVER (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id) - 1 AS level FROM events")
+def dag_event_levels(spark, d):
+    return graph.levels(_event_plan(spark, d)).select("call_id", "level")
+
+
+@query(
+    "dag_event_descendants",
+    f"WITH c AS (SELECT user_id, {_DAY} AS day, row_number() OVER (PARTITION BY user_id, {_DAY} ORDER BY ts, event_id) AS place, count(*) OVER (PARTITION BY user_id, {_DAY}) AS n, event_id FROM events) SELECT event_id AS call_id, n - place AS n_after FROM c WHERE n > place",
+)
+def dag_event_descendants(spark, d):
+    """How many calls of its day wait for each, directly or not."""
+    return graph.reachable(_event_plan(spark, d)).groupBy(F.col("ancestor").alias("call_id")).agg(F.count("*").alias("n_after"))
+
+
+@query("dag_faults", f"SELECT event_id AS call_id, 'cycle' AS fault FROM events WHERE (user_id, {_DAY}) IN (SELECT user_id, {_DAY} FROM events GROUP BY ALL HAVING count(*) > 2) UNION ALL SELECT event_id, 'missing' FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, {_DAY}) AS n FROM events) WHERE n = 2")
+def dag_faults(spark, d):
+    """Plans of a day made invalid: the first of three or more calls waits for the last, and of two each waits
+    for a call that is not there."""
+    plan = _event_plan(spark, d)
+    e = table(spark, d, "events").select(F.col("event_id").alias("call_id"), "user_id", F.to_date("ts").alias("day"), "ts")
+    w = Window.partitionBy("user_id", "day")
+    e = e.select("call_id", F.count("*").over(w).alias("n"), F.last("call_id").over(w.orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("end"))
+    bad = plan.join(e, "call_id").select(
+        "call_id",
+        F.when(F.col("n") == 2, F.array(F.lit(-1).cast("bigint"))).when((F.col("n") > 2) & (F.size("depends_on") == 0), F.array(F.col("end").cast("bigint"))).otherwise(F.col("depends_on")).alias("depends_on"),
+    )
+    return graph.faults(bad)
+
+
 @query(
     "dag_cycle_check",
-    "WITH RECURSIVE p(call_id, dep) AS (VALUES ('a', 'b'), ('b', 'a'), ('c', 'a'), ('x', 'x'), ('y', 'c')), r(anc, call_id, depth) AS (SELECT dep, call_id, 1 FROM p UNION ALL SELECT r.anc, p.call_id, depth + 1 FROM r JOIN p ON p.dep = r.call_id WHERE depth < 16) SELECT DISTINCT call_id FROM r WHERE anc = call_id",
+    "WITH RECURSIVE p(call_id, dep) AS (VALUES ('a', 'b'), ('b', 'a'), ('c', 'a'), ('x', 'x'), ('y', 'c')), r(anc, call_id) AS (SELECT dep, call_id FROM p UNION SELECT r.anc, p.call_id FROM r JOIN p ON p.dep = r.call_id) SELECT DISTINCT call_id FROM r WHERE anc = call_id",
 )
 def dag_cycle_check(spark, d):
     plan = _plan(spark, [("a", ["b"]), ("b", ["a"]), ("c", ["a"]), ("x", ["x"]), ("y", ["c"])])
@@ -137,18 +176,18 @@ _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embed
 def _pairs(spark, d):
     """Stated queries (every fiftieth vector) against all rows, the queries broadcast."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return e.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
 
 
-@query("cosine_topk", f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 5")
+@query("cosine_topk", f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 5")
 def cosine_topk(spark, d):
     return top_per_group(_pairs(spark, d), ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).select("query_id", "vec_id", "score")
 
 
 @query(
     "dense_rerank",
-    f"""WITH t AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, CAST(a.label = b.label AS INTEGER) AS overlap FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 15)
+    f"""WITH t AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score, CAST(a.label = b.label AS INTEGER) AS overlap FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 15)
     SELECT query_id, vec_id, round(0.8 * score + 0.2 * least(1, overlap), 6) AS rerank FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.8 * score + 0.2 * least(1, overlap), 6) DESC, vec_id) <= 5""",
 )
 def dense_rerank(spark, d):
@@ -189,7 +228,7 @@ def lsh_ann_topk(spark, d):
 
     signed = e.withColumn("bands", F.transform(F.lit(planes), key))
     near = F.flatten(F.transform("bands", lambda k: F.array(k, *[k.bitwiseXOR(F.lit(1 << i)) for i in range(6)])))
-    q = signed.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), near.alias("near"))
+    q = signed.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), near.alias("near"))
     pairs = signed.select("vec_id", "embedding", F.explode("bands").alias("band")).join(q.select("query_id", "q", F.explode("near").alias("band")), "band")
     pairs = pairs.where("query_id <> vec_id").dropDuplicates(["query_id", "vec_id"]).select("query_id", "vec_id", "q", "embedding")
     served = pairs.groupBy("query_id").count().where("count >= 5")

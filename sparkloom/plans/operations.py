@@ -141,7 +141,8 @@ def alert_error_ratio_5m(spark, d):
 
 @query("alert_hold", "WITH b AS (SELECT DISTINCT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS s FROM events WHERE event_type = 'error'), g AS (SELECT s, s - 3600 * row_number() OVER (ORDER BY s) AS island FROM b) SELECT min(s) AS from_s, max(s) AS to_s, count(*) AS hours FROM g GROUP BY island HAVING count(*) >= 3")
 def alert_hold(spark, d):
-    """Stretches of at least three consecutive hours with errors; per day, so no task orders all hours."""
+    """Stretches of at least three consecutive hours with errors. One task puts them in order: hours are 8,784
+    a year at most, however many events there are."""
     b = _events(spark, d).where("event_type = 'error'").select(F.unix_timestamp(F.date_trunc("hour", "ts")).alias("s")).distinct()
     start = b.join(b.select((F.col("s") + 3600).alias("s"), F.lit(1).alias("_p")), "s", "left").where("_p IS NULL").select(F.col("s").alias("from_s"))
     ends = b.join(b.select((F.col("s") - 3600).alias("s"), F.lit(1).alias("_n")), "s", "left").where("_n IS NULL").select(F.col("s").alias("to_s"))

@@ -108,14 +108,14 @@ def join_asof(spark, d):
 @query(
     "edge_or_join_union",
     """WITH e AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-    f AS (SELECT DISTINCT c_custkey AS node FROM customer WHERE c_custkey % 50 = 0)
+    f AS (SELECT DISTINCT c_custkey AS node FROM customer WHERE c_custkey % 20 = 0)
     SELECT node, count(*) AS n_edges, count(DISTINCT CASE WHEN src = node THEN dst ELSE src END) AS n_neighbours FROM (
       SELECT f.node, e.src, e.dst FROM f JOIN e ON e.src = f.node UNION ALL SELECT f.node, e.src, e.dst FROM f JOIN e ON e.dst = f.node) GROUP BY node""",
 )
 def edge_or_join_union(spark, d):
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     edges = o.join(li, o.o_orderkey == li.l_orderkey).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
-    frontier = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node"))
+    frontier = table(spark, d, "customer").where("c_custkey % 20 = 0").select(F.col("c_custkey").alias("node"))
     j = either_end(edges, "src", "dst").join(frontier, "node")
     return j.groupBy("node").agg(F.count("*").alias("n_edges"), F.countDistinct("other").alias("n_neighbours"))
 

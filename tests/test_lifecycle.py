@@ -41,6 +41,8 @@ def test_tables_repeat_their_header_and_texts_keep_to_the_budget():
     got = chunking.parent_child([("heading", "Head"), ("table", table), ("paragraph", "w " * 100), ("paragraph", "tail words")], 20, 24, 4)
     assert all(c.startswith("Head\nname | value") for _, k, c in got if k == "table") and sum(k == "table" for _, k, _ in got) > 1
     assert all(chunking.count_tokens(c) <= 30 for _, k, c in got if k == "text") and {s for s, *_ in got} == {1}
+    assert chunking.split_hard("one two three four five six seven", 3, 1) == ["one two three", "three four five", "five six seven"]
+    assert chunking.split_table("h\na b\n\nc d\ne", 3) == ["h\na b", "h\nc d", "h\ne"] and chunking.split_table("h\na", 1) == ["h\na"]
     assert chunking.split_hard("", 5, 1) == [] and chunking.split_hard("a b c", 1, 0) == ["a", "b", "c"]
 
 

@@ -1,5 +1,7 @@
 import datetime as dt
+import re
 import sqlite3
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,11 +112,35 @@ def test_artifacts_need_three_pages(spark):
     assert {(r["key"], r["kind"]) for r in blocks.repeating_artifacts(df, ["doc"], "page", "line").collect()} == {("running head", "running_line"), ("page 1", "page_number")}
 
 
-def test_chunks_carry_their_tail(spark):
-    rows = [(1, i, ("word " * 40).strip(), "paragraph") for i in range(6)] + [(1, 6, "y" * 500, "paragraph")]
+def test_chunks_end_at_headings_and_the_target(spark):
+    rows = [(1, 0, "# One", "heading"), (1, 1, "alpha beta", "paragraph"), (1, 2, "gamma delta epsilon", "paragraph"), (1, 3, "  ", "paragraph"), (1, 4, "## Two", "heading"), (1, 5, "x" * 25, "paragraph"), (1, 6, "end", "paragraph"), (2, 0, None, "paragraph")]
     df = spark.createDataFrame(rows, "doc_id long, pos int, line string, kind string")
-    got = [r["chunk"] for r in blocks.semantic_chunks(df, "doc_id", "pos", "line", "kind", target=200, most=450, overlap=30).orderBy("idx").collect()]
-    assert all(len(c) <= 500 for c in got) and any(c.startswith("word word") for c in got[1:]) and "y" * 450 in got
+    got = [r["chunk"] for r in blocks.semantic_chunks(df, "doc_id", "pos", "line", "kind", target=20, most=24, overlap=6).orderBy("doc_id", "idx").collect()]
+    # sizes: 5 + 10 pass with 19 the target; tails are of 6 characters, from their first space on if there is one
+    assert got == ["# One\n\nalpha beta", "beta\n\ngamma delta epsilon", "psilon\n\n## Two", "x" * 24, "x" * 7, "Two\n\nend"]
+
+
+def test_anchors_are_those_of_plain_patterns(spark):
+    docs = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] if Path("/root/testdata/sf0.001").exists() else []
+    texts = [*docs, 'keep “the quote” and "this one" v1.2.3 not', "RFC-2616 uses 20 ms and 5GB, without AB_C9x", "über-42 naïve-x1 ÄÖ-7", ""]
+    want = []
+    for t in texts:
+        found = [m.group(1 if p is tx.QUOTED else 0).strip() for p in (tx.QUOTED, tx.ACRONYM, tx.VERSION, tx.IDENTIFIER, tx.NUMBER_UNIT) for m in re.finditer(p, t)]
+        want.append(list(dict.fromkeys([x for x in found if x] + [n for n in tx.NEGATIONS if n in t.lower()])))
+    got = values(spark, tx.protected_anchors, *texts)
+    assert [i for i, (g, w) in enumerate(zip(got, want, strict=True)) if g != w] == []
+
+
+def test_plans_of_any_depth(spark):
+    chain = [(i, [i - 1] if i else []) for i in range(20)]
+    df = spark.createDataFrame(chain, "call_id long, depends_on array<bigint>")
+    assert {r["call_id"]: r["level"] for r in graph.levels(df).collect()} == {i: i for i in range(20)}
+    assert graph.reachable(df).where("ancestor = 0").count() == 19
+    ring = spark.createDataFrame([(i, [(i + 1) % 20]) for i in range(20)] + [(30, [3]), (40, []), (40, []), (50, [99])], "call_id long, depends_on array<bigint>")
+    assert {(r["call_id"], r["fault"]) for r in graph.faults(ring).collect()} == {(i, "cycle") for i in range(20)} | {(40, "duplicate"), (50, "missing")}
+    assert [tuple(r) for r in graph.levels(ring).collect()] == [(40, 0)]
+    diamonds = spark.createDataFrame([(0, [])] + [(3 * i + j, [3 * i] if j < 3 else [3 * i + 1, 3 * i + 2]) for i in range(8) for j in (1, 2, 3)], "call_id long, depends_on array<bigint>")
+    assert {r["call_id"]: r["level"] for r in graph.levels(diamonds).collect()}[24] == 16
 
 
 def test_memories_are_superseded_and_expire(spark):
@@ -146,8 +172,10 @@ def test_asof_takes_the_last_value_before(spark):
 
 
 def test_plans_split_outside_quotes(spark):
-    assert planning.split_parts("alpha beta? gamma; delta one\nlast") == ["alpha beta", "gamma", "delta one", "last"]
-    assert planning.split_parts('"alpha? beta"; gamma') == ['"alpha? beta"', "gamma"]
+    texts = ["alpha beta? gamma; delta one\nlast", '"alpha? beta"; gamma', "“one; two” three； four.", 'say “a " b; c” d? x', 'open "quote? to the end; ', None]
+    assert values(spark, planning.split_parts, *texts) == [
+        ["alpha beta", "gamma", "delta one", "last"], ['"alpha? beta"', "gamma"], ["“one; two” three", "four."], ["say “a \" b; c” d"], ['open "quote? to the end'], [],
+    ]
     df = spark.createDataFrame([(1, "why alpha? beta; gamma"), (2, "plain words")], "query_id int, text string")
     got = {}
     for r in planning.plan_variants(df).orderBy("query_id", "variant_no").collect():
