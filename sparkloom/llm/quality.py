@@ -85,9 +85,8 @@ def _feature_rows(batches):
         data, offsets = vec.text_bytes(batch.column(1))
         for lo, hi in vec.chunks(offsets):
             x = features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "x"]
-            )
+            kept = [batch.column(i).slice(lo, hi - lo) for i in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([r.tobytes() for r in x], pa.binary())], ["positive", "place", "x"])
 
 
 class Model:
@@ -105,10 +104,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     driving it lower."""
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), float(np.log(prior / (1 - prior))), prior)
-    both = np.concatenate((positive, unlabelled))
-    mean, scale = both.mean(0), both.std(0) + 0.01
-    p, u = ((x - mean) / scale for x in (positive, unlabelled))
-    p, u = p.astype(np.float32), u.astype(np.float32)
+    n = len(positive) + len(unlabelled)
+    mean = sum(x.sum(0, dtype=np.float64) for x in (positive, unlabelled)) / n
+    square = sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in (positive, unlabelled)) / n
+    scale = (np.sqrt(np.maximum(square - mean**2, 0)) + 0.01).astype(np.float32)
+    mean = mean.astype(np.float32)
+    p, u = positive - mean, unlabelled - mean
+    p /= scale
+    u /= scale
     rng = np.random.default_rng(seed)
     w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v, step = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
@@ -135,22 +138,49 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return Model(mean, scale, w, b, prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """docs(doc_id, text) and labels(doc_id, quality): positives are the rows with quality 1, drawn (as
-    are the unlabelled ones, from all docs) by the hash of their id up to the two bounds. The prior is
-    the share of 1 among all labels given, with one row added to either side."""
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, trust: float = 0.1) -> float:
+    """Share of positives in the unlabelled from scores of both that the model was not fitted on. Above any
+    threshold the unlabelled hold at least that share of what the positives hold there. The least such bound
+    is sought, where bound and sampling error together are least; as it errs upwards, and a risk with too large
+    a prior takes negatives for positives, its lower confidence limit is returned."""
+    if not len(positive) or not len(unlabelled):
+        return 0.5
+    positive, unlabelled = np.sort(positive), np.sort(unlabelled)
+    cuts = np.unique(positive)
+    above = 1 - np.searchsorted(positive, cuts) / len(positive)
+    share = 1 - np.searchsorted(unlabelled, cuts) / len(unlabelled)
+    off_p, off_u = (np.sqrt(np.log(4 / trust) / 2 / len(x)) for x in (positive, unlabelled))
+    best = np.argmin((share + off_p + off_u) / above)
+    return float(np.clip((share[best] - off_u) / (above[best] + off_p), 0.02, 0.98))
+
+
+def sample(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of at most `positives` trusted rows (quality 1) and of at most `unlabelled` rows of all docs,
+    drawn by the hash of their id, ids once each: of texts with the same id the first in order counts. Of
+    labels with the same id the greatest does."""
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)).alias("k")).first()
-    prior = min(0.98, (share["k"] + 1) / (share["n"] + 2))
-    order = F.xxhash64("doc_id")
-    chosen = marks.where("quality = 1").orderBy(order, "doc_id").limit(positives).select("doc_id")
-    known = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.lit(True).alias("positive"), "text")
-    web = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).distinct()
-    web = docs.join(F.broadcast(web), "doc_id", "left_semi").select(F.lit(False).alias("positive"), "text")
-    rows = known.unionAll(web).mapInArrow(_feature_rows, "positive boolean, x binary").limit(2 * (positives + unlabelled)).toPandas()
-    x = np.frombuffer(b"".join(rows["x"]), dtype=np.float32).reshape(-1, WIDTH)
-    mark = rows["positive"].to_numpy(dtype=bool)
-    return fit(x[mark], x[~mark], prior)
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
+    chosen = marks.where("quality = 1").join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives).select("doc_id")
+    web = ids.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
+    rows = [
+        docs.join(F.broadcast(x), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.lit(mark).alias("positive"), "text", F.xxhash64("doc_id").alias("place"))
+        for mark, x in ((True, chosen), (False, web))
+    ]
+    got = rows[0].unionAll(rows[1]).mapInArrow(_feature_rows, "positive boolean, place long, x binary").toArrow()
+    x = np.frombuffer(b"".join(v for chunk in got.column("x").chunks for v in chunk.to_pylist()), dtype=np.float32).reshape(-1, WIDTH)
+    order = np.argsort(got.column("place").to_numpy(), kind="stable")
+    mark = got.column("positive").to_numpy()[order].astype(bool)
+    return x[order[mark]], x[order[~mark]]
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+    """docs(doc_id, text) and labels(doc_id, quality), of which only the rows with quality 1 are used: they are
+    the trusted positives, all docs the unlabelled text, each up to its bound (see sample()). The class prior
+    is estimated from scores of one half of both by a model fitted on the other half."""
+    p, u = sample(docs, labels, positives, unlabelled)
+    half = fit(p[::2], u[::2], 0.5, epochs=10)
+    prior = class_prior(half.score(p[1::2]), half.score(u[1::2]))
+    return fit(p, u, prior)
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -174,7 +204,9 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
 def score_held_out(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Learn from four folds of five, score all rows: (doc_id, held_out, score, predicted). Rows with
-    a null id are scored, never learned from, and not held out."""
+    a null id are scored, never learned from, and not held out. Texts of any length count whole, null ones as
+    empty; a score equal to the threshold predicts 1; other columns are not read; rows that repeat are scored
+    alike. Without positives or texts to learn from, every score is the prior."""
     part = fold("doc_id", 5)
     model = train(docs.where(part != 0).select("doc_id", "text"), labels.where(part != 0).select("doc_id", "quality"))
     rows = docs.select("doc_id", F.coalesce(part == 0, F.lit(False)).alias("held_out"), "text")
