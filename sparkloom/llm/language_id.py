@@ -214,7 +214,9 @@ def fold(id_col: str, folds: int):
 
 def predict_held_out(docs: DataFrame) -> DataFrame:
     """Learn from the two folds of three, predict every row: (doc_id, held_out, lang_pred, score).
-    Rows with a null id are predicted, never learned from, and not held out."""
+    Rows with a null id are predicted, never learned from, and not held out. Texts of any length count
+    whole; ties of distance go to the first language by name; other columns are not read; rows that repeat
+    are learned from, and predicted, as often as they stand there."""
     part = fold("doc_id", 3)
     profiles = train(docs.where(part != 1))
     rows = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text")
@@ -222,8 +224,11 @@ def predict_held_out(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Rows of docs(doc_id, text, lang, ...) that are given a language by profiles learned from docs
-    itself; only texts without letters go. Columns are those of docs."""
-    profiles = train(docs.where(fold("doc_id", 3) != 1))
+    """Rows of docs(text, lang, ...) that are given a language by profiles learned from all rows of docs; only
+    texts without a letter (null and empty ones too) go, also where no row names its lang. Columns are those
+    of docs; repeated rows are judged one by one, an empty table stays empty."""
+    profiles = train(docs)
+    if not profiles.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
     return identify(rows, profiles).where("lang_pred <> 'und'").select("row.*")
