@@ -118,22 +118,36 @@ class _Page:
                 out.append(f"<p{y}>{self.words(1, 2)}.</p>")
             else:
                 out.append(self.advert() if r.random() < 0.5 else self.share())
+        if r.random() < 0.12:  # dialogue, verse
+            out += [f"<p{y}>{self.words(1, 6)}.</p>" for _ in range(r.randint(10, 60))]
+        if r.random() < 0.15:  # builders' markup: every block in a box of its own
+            out = [f"<div{y}{self.anyhow()}>{x}</div>" if y in x[:20] and r.random() < 0.8 else x for x in out]
+        if r.random() < 0.25:  # a part of the blocks stands in a box of its own
+            at = r.randrange(len(out))
+            out[at:] = [f"<div{y}{self.anyhow()}>{''.join(out[at:])}</div>"]
         inner = title + "".join(out)
         if r.random() < 0.3:
             inner += self.share()
         if r.random() < 0.12:
             inner += self.replies()
         shape = r.random()
-        if shape < 0.4:
+        if shape < 0.3:
             return f"<article{y}>{inner}</article>"
-        if shape < 0.55:
+        if shape < 0.4:
             return f"<main{y}><article{y}>{inner}</article></main>"
-        if shape < 0.65:
+        if shape < 0.5:
             return f"<main{y}{self.attr(_BODIES)}>{inner}</main>"
-        if shape < 0.94:
+        if shape < 0.72:
             return f"<{(t := r.choice(['div', 'div', 'section', 'article']))}{y}{self.attr(_BODIES)}>{inner}</{t}>"
+        if shape < 0.82:
+            return f"<div{y}{self.anyhow()}>{inner}</div>"
         return inner
 
+    def anyhow(self) -> str:
+        """Nothing, or a class that says nothing."""
+        r = self.r
+        return r.choice(["", f' class="{r.choice(_SYLLABLES)}{r.choice(_SYLLABLES)}"', f' class="{r.choice("css x sc jsx u".split())}-{r.randrange(10**6):x}"', f' class="{r.choice("col row box wrap inner grid cell layer".split())}-{r.randint(1, 12)}"'])
+
     def page(self) -> str:
         r = self.r
         parts = [self.head()] if r.random() < 0.9 else []
@@ -151,6 +165,6 @@ class _Page:
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><style>p{{}}</style></head><body>{body}" + r.choice(["</body></html>", "</body></html>", ""])
 
 
-def labelled_pages(pages: int = 240, seed: int = 3) -> list[str]:
+def labelled_pages(pages: int = 320, seed: int = 3) -> list[str]:
     rng = random.Random(seed)
     return [_Page(rng).page() for _ in range(pages)]

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from brute import lower_ascii, spaced_words
+from pyspark.sql import functions as F
 
 from sparkloom.llm import ann, html_extract, language_id, lm_score, packing, quality, vec
 
@@ -79,6 +80,8 @@ def test_identified_rows_keep_their_columns(spark):
     out = language_id.keep_identified(df)
     assert out.columns == df.columns and out.count() == len(corpus()) + 3
     assert language_id.keep_identified(frame(spark, [])).count() == 0
+    unknown = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language_id.keep_identified(unknown).collect()} == {r["doc_id"] for r in out.collect()}
     assert [r["lang_pred"] for r in language_id.predict_held_out(frame(spark, [(1, "text", None)])).collect()] == ["und"]
 
 
@@ -102,6 +105,21 @@ def test_junk_scores_low_on_held_out_rows(spark):
     assert sum(right) >= 0.95 * len(right) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_class_prior_from_positives_and_unlabelled_scores():
+    rng = np.random.default_rng(3)
+    for share in (0.1, 0.5, 0.9):
+        positive = rng.beta(8, 2, 4000)
+        unlabelled = np.concatenate((rng.beta(8, 2, int(8000 * share)), rng.beta(2, 8, 8000 - int(8000 * share))))
+        assert abs(quality.class_prior(positive, unlabelled) - share) < 0.06
+    assert 0 < quality.class_prior(np.zeros(0), np.zeros(0)) < 1
+
+
+def test_quality_sample_holds_each_id_once(spark):
+    rows = [(7, f"copy {i % 3}", "en") for i in range(500)] + [(i, f"text of {i}", "en") for i in range(100, 130)]
+    got = quality.sample(frame(spark, rows), spark.createDataFrame([(7, 1), (7, 0), (101, 1)], "doc_id long, quality int"), 10, 20)
+    assert len(got[0]) == 2 and len(got[1]) == 20
+
+
 def test_quality_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.score_held_out(frame(spark, []), none).count() == 0
@@ -331,8 +349,33 @@ def test_held_out_labelled_pages():
         marks = ['data-y="1"' in x[2] for x in nodes]
         for x in nodes:
             x[2] = html_extract._MARK.sub("", x[2])
-        odds, kinds = model.odds(nodes)
-        content, _ = model.marginals([x[0] for x in nodes], odds, kinds)
-        wrong += sum(x[3] for x, c, y in zip(nodes, content, marks, strict=True) if (c > 0.5) != y)
+        tree = html_extract.Tree(nodes)
+        content, _ = model.marginals(tree.parents, model.odds(tree), tree.kinds)
+        wrong += sum(x[3] for x, at, y in zip(nodes, tree.places, marks, strict=True) if x[3] and (content[at] > 0.5) != y)
         words += sum(x[3] for x in nodes)
     assert wrong <= 0.05 * words
+
+
+PROSE = "Some words of an article, enough of them to look like prose, stand here for the test. " * 4
+
+
+@pytest.mark.parametrize("depth", [1, 5, 20, 400, 3000])
+@pytest.mark.parametrize("attrs", ["", " class='css-1x2'"])
+def test_depth_of_markup_does_not_weigh(depth, attrs):
+    page = f"<html><body><nav><a href='/'>Home</a></nav><h1>A title of it</h1><p>{PROSE}</p>" + f"<div{attrs}>" * depth + f"<p>Deep. {PROSE}</p>" + "</div>" * depth + "<footer>&copy; us</footer></body></html>"
+    assert html_extract.default_model().extract(page) == f"A title of it {PROSE.strip()} Deep. {PROSE.strip()}"
+
+
+@pytest.mark.parametrize("tag", sorted(html_extract._SKIPPED) + ["title", "textarea", "iframe", "noframes", "xmp"])
+def test_elements_left_open_keep_the_rest_of_the_page(tag):
+    model = html_extract.default_model()
+    page = f"<body><article><h1>A title</h1><p>{PROSE}</p><{tag} a='b'><p>After. {PROSE}</p></article><footer>&copy; us</footer></body>"
+    assert model.extract(page) == f"A title {PROSE.strip()} After. {PROSE.strip()}"
+
+
+@pytest.mark.parametrize("tag", sorted(html_extract._SKIPPED))
+def test_skipped_elements_end_where_they_are_closed(tag):
+    model = html_extract.default_model()
+    nested = f"<{tag}>one<{tag}>two</{tag}>three</{tag}>"
+    crossed = f"<div><{tag}></div><p>After. {PROSE}</p></{tag}>"
+    assert model.extract(f"<article><h1>A title</h1><p>{PROSE}</p>{nested}{crossed}</article>") == f"A title {PROSE.strip()} After. {PROSE.strip()}"
