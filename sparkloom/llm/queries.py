@@ -121,6 +121,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.periodic_runs import digests, find_runs, looped
+
+    docs = table(spark, sf_dir, "documents")
+    return digests(find_runs(docs.select("doc_id", looped(docs["doc_id"], docs["text"]).alias("text"))))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
