@@ -121,6 +121,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+@register("op11_token_counts")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 @register("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.periodic_runs import digests, find_runs, looped
