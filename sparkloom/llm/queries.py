@@ -35,6 +35,26 @@ link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND
 reach AS (SELECT a AS doc_id, b AS other FROM link UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1) USING (doc_id)"""
 
+# crc32 of decimal digits: eight steps a byte, without a table
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))"""
+_CENTS = "CASE WHEN abs(100.0 * {0}) < 9e15 THEN CAST(floor(100.0 * {0} + 0.5) AS BIGINT) ELSE 0 END"
+
+FEATURES_SQL = f"""WITH c AS (SELECT click_id, client_id, kind, epoch_us(ts) AS ts, greatest(epoch_us(ts), epoch_us(arrived_at) + 14400000000) AS beg, {_CENTS.format("value")} AS cents
+  FROM (SELECT DISTINCT * FROM clicks) WHERE client_id IS NOT NULL AND ts IS NOT NULL AND arrived_at IS NOT NULL),
+s AS (SELECT row_number() OVER () AS r, sale_id, client_id, epoch_us(sold_at) AS sold, CASE WHEN arrived_at IS NOT NULL THEN greatest(epoch_us(sold_at), epoch_us(arrived_at) + 14400000000) END AS beg,
+  {_CENTS.format("total")} AS cents, epoch_us(sold_at) + 1000000 * (xor({_CRC.format("sale_id")}, 4294967295::BIGINT) % 259200) AS t FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+l AS (SELECT s.client_id, s.sold, greatest(s.beg, epoch_us(shipped_at)) AS beg, item_id, {_CENTS.format("amount")} AS cents FROM s JOIN sale_lines USING (sale_id) WHERE s.beg IS NOT NULL AND shipped_at IS NOT NULL),
+p AS (SELECT r, sale_id, client_id, t, d, t - d * 86400000000 AS since FROM s, (VALUES (2), (14)) AS w(d)),
+pc AS (SELECT r, d, count(*) AS n_clicks, count(*) FILTER (kind = 'purchase') AS n_purchases, sum(cents) AS click_cents, arg_max_null(click_id, {{'a': c.ts, 'b': coalesce(click_id, -9223372036854775807)}}) AS last_click_id
+  FROM p JOIN c ON c.client_id = p.client_id AND c.ts > since AND c.beg <= t GROUP BY ALL),
+ps AS (SELECT p.r, d, count(*) AS n_sales, sum(s.cents) AS sale_cents FROM p JOIN s USING (client_id) WHERE s.sold > since AND s.beg <= p.t GROUP BY p.r, d),
+pl AS (SELECT r, d, count(*) AS n_lines, count(DISTINCT item_id) AS n_items, sum(cents) AS line_cents FROM p JOIN l USING (client_id) WHERE l.sold > since AND l.beg <= t GROUP BY ALL),
+pn AS (SELECT DISTINCT p.r FROM p JOIN s USING (client_id) WHERE d = 2 AND s.sold > p.t AND s.sold <= p.t + 604800000000)
+SELECT sale_id, CAST(d AS INTEGER) AS d, t AS t_us, pn.r IS NOT NULL AS label, coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases, CAST(coalesce(click_cents, 0) AS BIGINT) AS click_cents,
+  last_click_id, coalesce(n_sales, 0) AS n_sales, CAST(coalesce(sale_cents, 0) AS BIGINT) AS sale_cents, coalesce(n_lines, 0) AS n_lines, coalesce(n_items, 0) AS n_items, CAST(coalesce(line_cents, 0) AS BIGINT) AS line_cents
+FROM p LEFT JOIN pc USING (r, d) LEFT JOIN ps USING (r, d) LEFT JOIN pl USING (r, d) LEFT JOIN pn ON pn.r = p.r"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -136,6 +156,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_runs(docs.select("doc_id", looped(docs["doc_id"], docs["text"]).alias("text"))))
 
 
+@register("op13_point_in_time", FEATURES_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.point_in_time import features, with_probe
+
+    sales = table(spark, sf_dir, "sales")
+    return features(table(spark, sf_dir, "clicks"), sales, table(spark, sf_dir, "sale_lines"), with_probe(sales))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
