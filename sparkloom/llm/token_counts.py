@@ -4,13 +4,15 @@ A pre-token here is a stretch of text that no token crosses: the vocabulary's ow
 every space that something other than white space follows, so texts are cut there, and around special
 strings. The rule goes on to cut within such a stretch; the library does that when it counts.
 
-    texts --cut--> blocks: a row for each distinct pre-token of a batch of texts, with the texts of the
-                   batch that hold it and how often        (written once, read twice)
-    blocks --distinct--> pre-tokens --library--> pieces of each, counted once in the whole corpus
-    blocks join pieces --> sums by text
-
-Rows are as many as distinct pre-tokens of the batches, far fewer than those of the texts; a frequent
-pre-token is one row a batch, and a text is listed in it once, so none holds more than its share of texts.
+    texts --cut--> blocks of texts: distinct pre-tokens with the block's texts that hold them and how often,
+                   dealt by the pre-tokens' hash into buckets; one row for each block and bucket
+    bucket         each pre-token is counted by the library once in the whole corpus (all blocks' shares of
+                   it lie in one bucket); numbers join to the frequencies and give sums by text
+    sums           added up by text over the buckets
+
+What is shuffled are distinct pre-tokens of blocks, compressed, and sums. A frequent pre-token is one entry a
+block, which lists a text once, so no bucket is larger than others by it. Workers remember at most KNOWN
+pre-tokens and then begin anew, so memory has a bound; a bucket of more counts some again, with equal results.
 """
 
 from __future__ import annotations
@@ -26,15 +28,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from sparkloom.llm.store import arrow_map, cut
+from sparkloom.llm import vec
+from sparkloom.llm.store import arrow_map
 
 #: A space before something that is no white space to anyone (Python counts more as such than the vocabulary does).
 _CUT = re.compile(r" (?=\S)")
 #: A space at which a text must not be cut, in RE2's words.
 _KEEP = r" (?:$|[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}])"
-#: Rows of a block of texts, and bytes: fixed numbers, so that memory has a bound.
-ROWS, BYTES = 1 << 14, 24 << 20
+#: Rows of a block of texts, and bytes; pre-tokens that a worker remembers: fixed numbers, so that memory has a bound.
+ROWS, BYTES, KNOWN = 1 << 14, 24 << 20, 1 << 20
 
 
 def default_path() -> str:
@@ -94,29 +98,37 @@ def _pre_tokens(column: pa.Array, special: re.Pattern | None) -> tuple[pa.Array,
     return both.dictionary, both.indices.to_numpy(zero_copy_only=False).astype(np.int64)[where], at
 
 
-def _blocks(special: re.Pattern | None):
+def _packed(columns: dict) -> bytes:
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _blocks(special: re.Pattern | None, buckets: int):
     def rows(batches):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo, hi in _slices(batch.column("text")):
-                column = pc.fill_null(batch.column("text").slice(lo, hi - lo), "")
-                n = hi - lo
+                column, n = pc.fill_null(batch.column("text").slice(lo, hi - lo), ""), hi - lo
                 words, code, row = _pre_tokens(column, special)
                 pair, times = np.unique(code * n + row, return_counts=True)
-                code, row = pair // n, (pair % n).astype(np.int16)
-                used, first = np.unique(code, return_index=True)
-                ends = pa.array(np.append(first, len(code)), pa.int32())
-                keep = pc.not_equal(pc.binary_length(words.take(pa.array(used))), 0)
-                token = words.take(pa.array(used)).filter(keep)
-                doc, count = (pa.ListArray.from_arrays(ends, pa.array(x, kind)).filter(keep) for x, kind in ((row, pa.int16()), (times, pa.int32())))
-                empty = pa.nulls(len(token), batch.column("doc_id").type)
-                name = ["block", "token", "docs", "counts", "doc_id", "n_bytes"]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), len(token)), token, doc, count, empty, pa.nulls(len(token), pa.int64())], name)
-                own = pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), pa.array(np.arange(n), pa.int16()))
-                size = pc.binary_length(column).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(number, pa.int64()), n), pa.nulls(n, pa.string()), own, pa.nulls(n, pa.list_(pa.int32())), batch.column("doc_id").slice(lo, n), size], name)
+                used, first = np.unique(pair // n, return_index=True)
+                token = words.take(pa.array(used))
+                data, offsets = vec.text_bytes(token)
+                bucket = (vec.word_hashes(data, offsets[:-1], offsets[1:]) % np.uint64(buckets)).astype(np.int64)
+                ends = np.append(first, len(pair)).astype(np.int32)
+                doc, count = (pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((pair % n).astype(np.uint16), times.astype(np.int32)))
+                order = np.argsort(bucket, kind="stable")
+                at, begin = np.unique(bucket[order], return_index=True)
+                keys, payloads = [number % buckets], [_packed({"doc_id": batch.column("doc_id").slice(lo, n), "n_bytes": pc.binary_length(column).cast(pa.int64())})]
+                for key, where in zip(at.tolist(), np.split(order, begin[1:]), strict=True):
+                    keys.append(key)
+                    payloads.append(_packed({"token": token.take(pa.array(where)), "docs": doc.take(pa.array(where)), "counts": count.take(pa.array(where))}))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(keys, pa.int64()), "block": pa.repeat(pa.scalar(number, pa.int64()), len(keys)), "size": pa.repeat(pa.scalar(n, pa.int32()), len(keys)), "payload": pa.array(payloads, pa.binary())})
                 number += 1
 
     return rows
@@ -132,7 +144,7 @@ def _slices(column: pa.Array):
         at = end
 
 
-def _pieces(path: str):
+def _sums(path: str, id_type: pa.DataType, most: int):
     def rows(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -140,9 +152,32 @@ def _pieces(path: str):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
+        known: dict[str, int] = {"": 0}
+
         for batch in batches:
-            found = tokenizer.encode_batch_fast(batch.column("token").to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(map(len, found), pa.int64())], ["token", "pieces"])
+            for block, n, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "size", "payload")), strict=True):
+                part = pa.ipc.open_stream(payload).read_next_batch()
+                if "doc_id" in part.schema.names:
+                    doc, total, ids, size = np.arange(n), np.zeros(n, np.int64), part.column("doc_id"), part.column("n_bytes")
+                else:
+                    tokens = part.column("token").to_pylist()
+                    if len(known) > most:
+                        known = {"": 0}
+                    new = [t for t in tokens if t not in known]
+                    for at in range(0, len(new), 4096):
+                        some = new[at : at + 4096]
+                        known.update(zip(some, map(len, tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+                    pieces = np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+                    docs, counts = part.column("docs"), part.column("counts")
+                    weight = np.repeat(pieces, pc.list_value_length(docs).to_numpy()) * docs_values(counts)
+                    total = np.bincount(docs_values(docs), weights=weight, minlength=n).astype(np.int64)
+                    doc = np.flatnonzero(total)
+                    total = total[doc]
+                    ids, size = pa.nulls(len(doc), id_type), pa.nulls(len(doc), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), len(doc)), pa.array(doc, pa.int32()), pa.array(total), ids, size], ["block", "doc", "n", "doc_id", "n_bytes"])
+
+    def docs_values(lists: pa.ListArray) -> np.ndarray:
+        return lists.flatten().to_numpy().astype(np.int64)
 
     return rows
 
@@ -159,15 +194,12 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) ->
     strings = special_strings(path)
     special = re.compile("(" + "|".join(map(re.escape, sorted(strings, key=len, reverse=True))) + ")") if strings else None
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    schema = T.StructType.fromDDL("block long, token string, docs array<smallint>, counts array<int>")
-    schema = schema.add("doc_id", text.schema["doc_id"].dataType).add("n_bytes", "long")
-    blocks = cut(text.transform(arrow_map, _blocks(special), schema))
-    tokens = blocks.where("token IS NOT NULL").select("block", "token", "docs", "counts")
-    pieces = tokens.select("token").distinct().transform(arrow_map, _pieces(path), "token string, pieces long")
-    held = tokens.join(pieces, "token").select("block", "counts", "pieces", F.posexplode("docs").alias("at", "doc"))
-    sums = held.select("block", "doc", (F.get("counts", F.col("at")) * F.col("pieces")).alias("n"))
-    own = blocks.where("token IS NULL").select("block", F.get("docs", F.lit(0)).alias("doc"), F.lit(0).cast("long").alias("n"), "doc_id", "n_bytes")
-    nothing = [F.lit(None).cast(text.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("long").alias("n_bytes")]
-    every = own.unionByName(sums.select("block", "doc", "n", *nothing)).groupBy("block", "doc")
+    id_type = text.schema["doc_id"].dataType
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = text.transform(arrow_map, _blocks(special, 2 * partitions), "bucket long, block long, size int, payload binary")
+    dealt = blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket").select("block", "size", "payload")
+    schema = T.StructType.fromDDL("block long, doc int, n long").add("doc_id", id_type).add("n_bytes", "long")
+    sums = dealt.transform(arrow_map, _sums(path, to_arrow_type(id_type), KNOWN), schema)
+    every = sums.groupBy("block", "doc")
     out = every.agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

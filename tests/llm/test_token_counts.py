@@ -41,6 +41,16 @@ def test_whole_table_equals_the_library(spark, library):
     assert sorted(map(repr, map(tuple, got.collect()))) == expected(library, rows)
 
 
+def test_numbers_do_not_depend_on_what_workers_remember(spark, library, monkeypatch):
+    from sparkloom.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "KNOWN", 3)
+    monkeypatch.setattr(token_counts, "ROWS", 2)
+    rows = [(i, f"one two{i} three-{i % 3} four " * (1 + i % 4)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(repr, map(tuple, count_tokens(docs).collect()))) == expected(library, rows)
+
+
 def test_empty_table_and_other_vocabularies(spark, tmp_path):
     assert count_tokens(spark.createDataFrame([], "doc_id string, text string")).collect() == []
     spec = json.loads(open(default_path()).read())
