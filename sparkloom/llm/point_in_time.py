@@ -77,9 +77,7 @@ def _sums(days: tuple[int, int]) -> list[tuple[str, Column]]:
 
 def _covering(lines: DataFrame, rows: int) -> DataFrame:
     """lines with `covered`: the latest sale of the item's lines of that client that began before."""
-    clients = lines.groupBy("client_id").agg(F.count("*").alias("n"))
-    some = lines.join(_hot(clients, ["client_id"], rows), "client_id", "left_semi")
-    pairs = some.where("item_id IS NOT NULL").groupBy("client_id", "item_id").agg(F.count("*").alias("n"))
+    pairs = lines.where("item_id IS NOT NULL").groupBy("client_id", "item_id").agg(F.count("*").alias("n"))
     hot = _hot(pairs, ["client_id", "item_id"], rows)
     # lines without an item need no order: by time, so that no client's are one group
     chunk = F.when(F.col("item_id").isNull(), F.floor(F.col("begin") / CHUNK)).otherwise(_chunk("begin"))
