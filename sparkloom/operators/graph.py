@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators.relational import either_end
 
+_LOCAL: list[str] = []
+
 
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """(seed, node, hop, parent): nodes within `hops` of a seed over edges(src, dst) taken either way,
@@ -29,16 +34,30 @@ def graph_score(hops: Column, overlap: Column) -> Column:
     return F.least(F.lit(0.95), F.pow(F.lit(0.72), hops) * (0.7 + 0.3 * overlap))
 
 
+def _shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which every executor of a cluster shares; where none is named, on a local
+    master only, a folder of this process that goes with it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="sparkloom-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], True)
+    return _LOCAL[0]
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder."""
+    return f"{_shared(spark)}/sparkloom/{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written once, its lineage cut: to spark.checkpoint.dir, which every executor of a cluster shares;
-    where none is named, on a local master only, to a folder of this machine."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """df written once, its lineage cut, in the shared folder."""
+    context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
+        context.setCheckpointDir(_shared(df.sparkSession))
     return df.checkpoint()
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import long_terms
+from sparkloom.operators import index
+from sparkloom.operators.graph import scratch, settled
 from sparkloom.operators.lexical import ranked
 from sparkloom.operators.planning import plan_variants
-from sparkloom.operators.retrieval import hybrid_search
+from sparkloom.operators.retrieval import FIELDS, hybrid_search
 
 MIN_RELEVANCE, MIN_COVERAGE = 0.2, 0.25
 
@@ -36,18 +38,19 @@ def retrieve(chunks: DataFrame, queries: DataFrame, top_k: int = 6, principals:
     """(query_id, rank, chunk_id, rerank, sufficient): variants of each query's plan are searched, the
     original and its sub-questions first; queries whose evidence falls short are searched once more with
     their normalised form. Hits are ordered by rerank, the fused ranks break ties."""
-    variants = plan_variants(queries)
+    built = index.build(chunks, "chunk_id", FIELDS, scratch(chunks.sparkSession))
+    variants = settled(plan_variants(queries))
 
     def search(part: DataFrame) -> DataFrame:
         named = part.select(F.concat_ws("#", "query_id", "variant_no").alias("query_id"), F.col("query").alias("text"))
-        hits = hybrid_search(chunks, named, 2 * top_k, principals)
+        hits = settled(hybrid_search(chunks, named, 2 * top_k, principals, built=built))
         ids = F.split("query_id", "#")
         return hits.select(ids[0].cast("long").alias("query_id"), ids[1].cast("long").alias("variant_no"), "rank", "chunk_id", "rerank")
 
     first = fuse_variants(search(variants.where("kind <> 'normalized'")))
-    short = gate(first, chunks, queries).where("NOT sufficient").select("query_id")
+    short = settled(gate(first, chunks, queries).where("NOT sufficient").select("query_id"))
     again = search(variants.where("kind = 'normalized'").join(short, "query_id", "left_semi"))
-    every = first.unionByName(fuse_variants(again)).groupBy("query_id", "chunk_id").agg(F.sum("rrf").alias("rrf"), F.max("rerank").alias("rerank"))
+    every = settled(first.unionByName(fuse_variants(again)).groupBy("query_id", "chunk_id").agg(F.sum("rrf").alias("rrf"), F.max("rerank").alias("rerank")))
     order = every.withColumn("score", F.col("rerank") + F.col("rrf") * 1e-9)
     out = ranked(order, ["query_id"], "score", "chunk_id", "rank", limit=top_k)
     return out.join(gate(every, chunks, queries).select("query_id", "sufficient"), "query_id").select("query_id", "rank", "chunk_id", "rerank", "sufficient")

@@ -27,17 +27,19 @@ TWO_HOPS = ["multi-hop", "across", "why", "多跳", "跨章节", "原因", "如
 
 def plan_variants(queries: DataFrame, most: int = 3) -> DataFrame:
     """(query_id, variant_no, kind, query, route, graph_hops, anchors, discarded) for queries(query_id,
-    text): the original, explicit sub-questions and a normalised form, in that order, `most` at most; a
-    normal form that loses an anchor is left out."""
+    text): the original, explicit sub-questions and a normalised form, in that order, `most` at most, each once
+    whatever its case; a normal form that loses an anchor is left out."""
     original = tx.collapse_whitespace(F.col("text"))
     q = queries.select("query_id", original.alias("original"), split_parts(F.col("text")).alias("parts")).where("original <> ''")
     q = q.withColumns({"anchors": tx.protected_anchors(F.col("original")), "normal": tx.lexical_query(F.col("original"))})
-    q = q.withColumn("subs", F.when(F.size("parts") > 1, F.filter(F.array_distinct("parts"), lambda p: F.lower(p) != F.lower("original"))).otherwise(F.array().cast("array<string>")))
+    once = F.filter("parts", lambda p, i: F.array_position(F.transform("parts", lambda x: F.lower(x)), F.lower(p)) == i + 1)
+    q = q.withColumn("subs", F.when(F.size("parts") > 1, F.filter(once, lambda p: F.lower(p) != F.lower("original"))).otherwise(F.array().cast("array<string>")))
 
     def variant(kind, value):
         return F.struct(F.lit(kind).alias("kind"), value.alias("query"))
 
-    kept = tx.keeps_anchors(F.col("normal"), F.col("anchors")) & (F.col("normal") != F.lower("original"))
+    said = F.array_contains(F.transform(F.concat(F.array("original"), "subs"), lambda x: F.lower(x)), F.lower("normal"))
+    kept = tx.keeps_anchors(F.col("normal"), F.col("anchors")) & ~said
     every = F.concat(
         F.array(variant("original", F.col("original"))),
         F.transform("subs", lambda s: variant("subquery", s)),

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import index_tokens, query_terms, whitespace_terms
-from sparkloom.operators.lexical import bm25, fused, ranked, term_overlap
+from sparkloom.functions.text import whitespace_terms
+from sparkloom.functions.vector import cosine
+from sparkloom.operators import index
+from sparkloom.operators.dense import nearest
+from sparkloom.operators.graph import scratch, settled
+from sparkloom.operators.lexical import diversified, ranked
+from sparkloom.operators.relational import top_per_group
 
 #: Weights of the vector, lexical, metadata and fusion parts, by embedding profile.
 WEIGHTS = {"hash": (0.0, 0.65, 0.10, 0.25), "dense": (0.45, 0.35, 0.05, 0.15)}
@@ -32,28 +37,68 @@ def of_active_version(rows: DataFrame, active: DataFrame) -> DataFrame:
     return rows.join(active, ["tenant_id", "source_id"], "left").where("version_no = active OR (version_no IS NULL AND active IS NULL)").drop("active")
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 6, principals: list[str] | None = None) -> DataFrame:
-    """(query_id, rank, chunk_id, lexical, metadata, rrf, rerank) of the best chunks of each query.
+#: Index fields and their weights.
+FIELDS = {"chunk_text": 1.0, "source_id": 0.25, "locator": 0.15, "metadata_text": 0.35}
 
-    chunks(chunk_id, chunk_text, source_id, locator, metadata_text, acl); queries(query_id, text). Word
-    statistics are those of all chunks; ranking sees only what the principals may see. Queries use
-    their first 32 distinct terms."""
-    terms = queries.select("query_id", F.explode(query_terms(F.col("text"))).alias("raw"))
-    terms = terms.select("query_id", F.element_at(index_tokens(F.col("raw")), 1).alias("term")).where("term IS NOT NULL").distinct()
-    scores = bm25(chunks, "chunk_id", {"chunk_text": 1.0, "source_id": 0.25, "locator": 0.15, "metadata_text": 0.35}, terms)
+
+def _metadata_terms() -> Column:
+    return whitespace_terms(F.concat_ws(" ", "source_id", "locator", "metadata_text"))
+
+
+def _overlap(terms: Column, counts: Column) -> Column:
+    """Sum over distinct terms of the smaller of their numbers in `terms` and in the map `counts`."""
+    each = F.transform(F.array_distinct(terms), lambda t: F.least(F.size(F.filter(terms, lambda x: x == t)), F.coalesce(F.element_at(counts, t), F.lit(0))))
+    return F.aggregate(each, F.lit(0), lambda s, x: s + x).cast("long")
+
+
+def metadata_branch(allowed: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
+    """(query_id, chunk_id, rank, score) by the terms that a query and a chunk's source, place and metadata
+    share. Chunks of the same metadata score alike, so queries meet each distinct metadata once, for which
+    the `limit` smallest ids are kept: no more of them can rank."""
+    rows = allowed.select("chunk_id", F.array_sort(_metadata_terms()).alias("terms"))
+    first = top_per_group(rows, ["terms"], [F.asc("chunk_id")], limit, "place").groupBy("terms").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
+    flat = first.select(F.xxhash64("terms").alias("set"), "terms", "ids", F.explode("terms").alias("term"))
+    tf = flat.groupBy("set", "terms", "ids", "term").agg(F.count("*").alias("tf"))
+    score = tf.join(counts, "term").groupBy("query_id", "set", "terms", "ids").agg(F.sum(F.least("tf", "qtf")).cast("long").alias("score"))
+    return ranked(score.select("query_id", "score", F.explode("ids").alias("chunk_id")), ["query_id"], "score", "chunk_id", "rank", positive=True, limit=limit)
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 6, principals: list[str] | None = None, profile: str = "hash", built: index.Index | None = None) -> DataFrame:
+    """(query_id, rank, chunk_id, vector, lexical, metadata, rrf, rerank) of the best chunks of each query.
+
+    chunks(chunk_id, chunk_text, source_id, page, locator, metadata_text, acl, vector), queries(query_id,
+    text, vector); without vectors that part is 0. Three branches rank at most max(4 top_k, 20) chunks each
+    that the principals may see: cosine (in profile `dense`), BM25 on the written positional index, whose
+    statistics are those of all chunks, and terms shared with the metadata. Reciprocal ranks are summed;
+    vector, lexical, metadata and fusion parts are weighted by profile; of what the branches found the best
+    are kept, at most top_k and spread over openings and (source, page).
+
+    `built` is an index of `chunks`; else one is written to the shared folder first."""
+    spark, limit, keys = chunks.sparkSession, max(4 * top_k, 20), ["query_id", "chunk_id"]
+    built = built or index.build(chunks, "chunk_id", FIELDS, scratch(spark))
     allowed = visible(chunks, principals=principals)
-    limit = max(4 * top_k, 20)
-    scores = scores.withColumn("score", F.round("score", 9)).join(allowed.select("chunk_id"), "chunk_id", "left_semi")
-    lexical = ranked(scores, ["query_id"], "score", "chunk_id", "rank", positive=True, limit=limit)
-    counts = queries.select("query_id", F.explode(whitespace_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    overlap = term_overlap(allowed, "chunk_id", F.concat_ws(" ", "source_id", "locator", "metadata_text"), counts)
-    metadata = ranked(overlap, ["query_id"], "overlap", "chunk_id", "rank", positive=True, limit=limit)
-    keys = ["query_id", "chunk_id"]
-    both = fused([lexical, metadata], keys).join(lexical.select(*keys, F.col("score").alias("lexical")), keys, "left").join(metadata.select(*keys, F.col("overlap").alias("metadata")), keys, "left")
-    both = both.fillna(0.0, ["lexical"]).fillna(0, ["metadata"])
+    lexical = index.search(built, index.phrases(queries), limit, allowed.select(F.col("chunk_id").alias("id"))).where("score > 0").withColumnRenamed("id", "chunk_id")
+    counts = queries.select("query_id", F.explode(whitespace_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("int").alias("qtf"))
+    metadata = metadata_branch(allowed, counts, limit)
+    wv, wl, wm, wr = WEIGHTS[profile]
+    with_vectors = "vector" in chunks.columns and "vector" in queries.columns
+    none = F.lit(None).cast("double")
+    branches = lexical.select(*keys, "rank", F.col("score").alias("lexical"), none.alias("shared")).unionByName(metadata.select(*keys, "rank", none.alias("lexical"), F.col("score").cast("double").alias("shared")))
+    if wv and with_vectors:
+        dense = nearest(allowed.select(F.col("chunk_id").alias("id"), "vector"), queries, limit).select("query_id", F.col("id").alias("chunk_id"), "rank", none.alias("lexical"), none.alias("shared"))
+        branches = branches.unionByName(dense)
+    found = branches.groupBy(*keys).agg(F.sum(1.0 / (60 + F.col("rank"))).alias("rrf"), F.coalesce(F.max("lexical"), F.lit(0.0)).alias("lexical"), F.max("shared").alias("shared"))
     w = Window.partitionBy("query_id")
-    _, wl, wm, wr = WEIGHTS["hash"]
-    top_lexical, top_metadata = F.greatest(F.max("lexical").over(w), F.lit(1e-12)), F.greatest(F.max("metadata").over(w), F.lit(1))
-    both = both.withColumn("rerank", F.round(wl * F.col("lexical") / top_lexical + wm * F.col("metadata") / top_metadata + wr * 60 * F.col("rrf"), 9))
-    out = ranked(both, ["query_id"], "rerank", "chunk_id", "rank", limit=top_k)
-    return out.select("query_id", "rank", "chunk_id", F.round("lexical", 6).alias("lexical"), F.col("metadata").cast("long").alias("metadata"), F.round("rrf", 6).alias("rrf"), F.round("rerank", 6).alias("rerank"))
+    found = settled(found.withColumns({"top_lexical": F.greatest(F.max("lexical").over(w), F.lit(1e-12)), "top_shared": F.greatest(F.coalesce(F.max("shared").over(w), F.lit(0.0)), F.lit(1.0))}))
+    asked = queries.select("query_id", *(["vector"] if with_vectors else [])).withColumnsRenamed({"vector": "q"}).join(
+        counts.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "qtf"))).alias("counts")), "query_id", "left"
+    )
+    rows = allowed.join(found, "chunk_id").join(asked, "query_id")
+    score = F.round(cosine(F.col("q"), F.col("vector")), 9) if with_vectors else F.lit(0.0)
+    rows = rows.withColumns({"cos": F.coalesce(score, F.lit(0.0)), "metadata": F.coalesce(_overlap(_metadata_terms(), F.col("counts")), F.lit(0).cast("long")), "lexical": F.col("lexical") / F.col("top_lexical")})
+    rerank = F.round(wv * F.col("cos") + wl * F.col("lexical") + wm * F.col("metadata") / F.col("top_shared") + wr * 60 * F.col("rrf"), 9)
+    rows = settled(rows.select(*keys, "source_id", "page", "chunk_text", F.round("cos", 6).alias("vector"), "lexical", "metadata", "rrf", rerank.alias("rerank")))
+    order = ranked(rows, ["query_id"], "rerank", "chunk_id", "at")
+    kept = diversified(order, "query_id", "at", F.col("chunk_text"), ["source_id", "page"], "chunk_id", top_k)
+    out = kept.join(rows, keys).select(*keys, F.col("place").alias("rank"), "vector", "lexical", "metadata", "rrf", "rerank")
+    return out.select("query_id", "rank", "chunk_id", "vector", *[F.round(c, 6).alias(c) if c != "metadata" else F.col(c) for c in ("lexical", "metadata", "rrf", "rerank")])

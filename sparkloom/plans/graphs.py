@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.catalog import query
 from sparkloom.functions.vector import cosine, l2_normalised
 from sparkloom.operators import graph
+from sparkloom.operators.dense import nearest
 from sparkloom.operators.relational import top_per_group
 from sparkloom.plans.overlay import table
 
@@ -173,16 +174,16 @@ def delegation_checks(spark, d):
 _COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
 
 
-def _pairs(spark, d):
-    """Stated queries (every fiftieth vector) against all rows, the queries broadcast."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return e.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+def _nearest(spark, d, k):
+    """Stated queries, every twentieth vector, against all rows."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    return nearest(e, q, k, 6, but_self=True).select("query_id", F.col("id").alias("vec_id"), "score")
 
 
 @query("cosine_topk", f"SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 5")
 def cosine_topk(spark, d):
-    return top_per_group(_pairs(spark, d), ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).select("query_id", "vec_id", "score")
+    return _nearest(spark, d, 5)
 
 
 @query(
@@ -192,7 +193,7 @@ def cosine_topk(spark, d):
 )
 def dense_rerank(spark, d):
     labels = table(spark, d, "embeddings").select("vec_id", "label")
-    top = top_per_group(_pairs(spark, d), ["query_id"], [F.desc("score"), F.asc("vec_id")], 15).select("query_id", "vec_id", "score")
+    top = _nearest(spark, d, 15)
     j = top.join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label")), "query_id")
     j = j.withColumn("rerank", F.round(0.8 * F.col("score") + 0.2 * F.least(F.lit(1), (F.col("label") == F.col("q_label")).cast("int")), 6))
     return top_per_group(j, ["query_id"], [F.desc("rerank"), F.asc("vec_id")], 5).select("query_id", "vec_id", "rerank")
@@ -233,6 +234,7 @@ def lsh_ann_topk(spark, d):
     pairs = pairs.where("query_id <> vec_id").dropDuplicates(["query_id", "vec_id"]).select("query_id", "vec_id", "q", "embedding")
     served = pairs.groupBy("query_id").count().where("count >= 5")
     short = q.select("query_id", "q").join(served, "query_id", "left_anti")
-    rest = e.join(short, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", "q", "embedding")
-    pairs = pairs.join(served, "query_id", "left_semi").unionAll(rest).withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
-    return top_per_group(pairs, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).select("query_id", "vec_id", "score")
+    rest = nearest(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), short.withColumnRenamed("q", "vector"), 5, 6, but_self=True)
+    pairs = pairs.join(served, "query_id", "left_semi").withColumn("score", F.round(cosine(F.col("q"), F.col("embedding")), 6))
+    found = top_per_group(pairs, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).select("query_id", "vec_id", "score")
+    return found.unionAll(rest.select("query_id", F.col("id").alias("vec_id"), "score"))

@@ -45,6 +45,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("chunk_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.lpad(F.col("idx").cast("string"), 4, "0")))
 
 
+#: Vectors of chunks and of benchmark items: given ones, by a fixed rule on ids.
+VECTORS_SQL = """nvec AS (SELECT count(*) AS n FROM embeddings), vec AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS slot, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings)"""
+
+
+def with_vectors(df: DataFrame, vectors: DataFrame, key) -> DataFrame:
+    """df with the vector whose vec_id is `key` modulo the number of vectors; vec_id runs from 0."""
+    n = vectors.count()
+    slot = F.pmod(key, F.lit(n)).cast("long")
+    return df.withColumn("_slot", slot).join(vectors.select(F.col("vec_id").alias("_slot"), F.col("embedding").alias("vector")), "_slot", "left").drop("_slot")
+
+
 NOW = "2024-02-01 00:00:00"
 MEMORIES_SQL = """memories AS (SELECT conv_id, turn, role, text, CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS memory_id,
   CAST(conv_id AS VARCHAR) AS namespace, role AS memory_key, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(turn AS INTEGER)) AS created_at, (turn % 5) / 4.0 AS importance FROM conversations)"""

@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import query
-from sparkloom.functions.text import evidence_quote, fold, has_marker, query_terms, whitespace_terms
-from sparkloom.operators import evaluation
+from sparkloom.functions.text import evidence_quote, has_marker, index_tokens, query_terms, whitespace_terms
+from sparkloom.operators import evaluation, index
+from sparkloom.operators.graph import scratch
 from sparkloom.operators.lexical import bm25, diversified, fused, ranked, term_overlap
-from sparkloom.operators.retrieval import active_versions, hybrid_search, of_active_version, visible
-from sparkloom.plans.overlay import CHUNKS_SQL, DOCS_SQL, chunks, documents, table
+from sparkloom.operators.retrieval import FIELDS, WEIGHTS, active_versions, hybrid_search, of_active_version, visible
+from sparkloom.plans.overlay import CHUNKS_SQL, DOCS_SQL, VECTORS_SQL, chunks, documents, table, with_vectors
 
 _ACC, _PLN = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -45,36 +46,70 @@ def _queries(spark, d):
 
 
 def _query_terms(spark, d):
-    from sparkloom.functions.text import index_tokens
-
     raw = _queries(spark, d).select("query_id", F.explode(query_terms(F.col("text"))).alias("raw"))
     return raw.select("query_id", F.element_at(index_tokens(F.col("raw")), 1).alias("term")).where("term IS NOT NULL").distinct()
 
 
-_FIELDS = {"chunk_text": 1.0, "source_id": 0.25, "locator": 0.15, "metadata_text": 0.35}
+# DuckDB text of diversification: a step a hit over lists of what was taken and put aside, then over the latter
+def _diversified(hits: str, k: int) -> str:
+    return f"""one AS (SELECT query_id, CAST(0 AS BIGINT) AS pos, CAST([] AS BIGINT[]) AS took, CAST([] AS VARCHAR[]) AS openings, CAST([] AS VARCHAR[]) AS groups_, CAST([] AS BIGINT[]) AS aside FROM {hits} GROUP BY 1
+      UNION ALL SELECT query_id, next_pos, CASE WHEN fits AND NOT old THEN list_append(took, next_pos) ELSE took END, CASE WHEN fits AND NOT old THEN list_append(openings, opening) ELSE openings END,
+        CASE WHEN fits AND NOT old THEN list_append(groups_, grp) ELSE groups_ END, CASE WHEN fits AND old THEN list_append(aside, next_pos) ELSE aside END
+        FROM (SELECT o.*, h.pos AS next_pos, h.opening, h.grp, len(took) < {k} AND NOT list_contains(openings, h.opening) AS fits, list_contains(groups_, h.grp) AS old FROM one o JOIN {hits} h ON h.query_id = o.query_id AND h.pos = o.pos + 1)),
+    end1 AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) = 1),
+    two AS (SELECT query_id, CAST(0 AS BIGINT) AS i, took, openings, aside FROM end1
+      UNION ALL SELECT query_id, i + 1, CASE WHEN fits THEN list_append(took, pos) ELSE took END, CASE WHEN fits THEN list_append(openings, opening) ELSE openings END, aside
+        FROM (SELECT t.*, h.pos, h.opening, len(took) < {k} AND NOT list_contains(openings, h.opening) AS fits FROM two t JOIN {hits} h ON h.query_id = t.query_id AND h.pos = t.aside[t.i + 1])),
+    end2 AS (SELECT * FROM two QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1),
+    placed AS (SELECT query_id, place, took[place] AS pos FROM end2, unnest(range(1, len(took) + 1)) AS t(place))"""
 
 
-@query(
-    "hybrid_search",
-    f"""WITH {CHUNKS_SQL}, {_QTERMS}, {_INDEX},
+_OPENING = r"array_to_string(string_split(trim(regexp_replace(lower({}), '\s+', ' ', 'g')), ' ')[1:24], ' ')"
+
+
+def _hybrid_sql(dense: bool) -> str:
+    wv, wl, wm, wr = WEIGHTS["dense" if dense else "hash"]
+    cos = "round(coalesce(list_cosine_similarity(qv.vector, cv.vector), 0), 9)"
+    near = f"""near AS (SELECT item_id AS query_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY {cos} DESC, chunk_id) AS rank FROM vis, benchmark, nvec, vec cv, vec qv WHERE cv.slot = (vis.doc_id * 7 + vis.idx) % n AND qv.slot = (item_id * 3 + 1) % n QUALIFY rank <= 24),"""
+    return f"""WITH RECURSIVE {CHUNKS_SQL}, {VECTORS_SQL}, {_QTERMS}, {_INDEX},
     vis AS (SELECT * FROM rows_ WHERE len(acl) = 0 OR list_has_any(acl, ['group:a'])),
-    lex AS (SELECT * FROM (SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm SEMI JOIN vis USING (chunk_id) WHERE score > 0) WHERE rank <= 24),
+    lex AS (SELECT * FROM (SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm SEMI JOIN vis USING (chunk_id)) WHERE rank <= 24 AND score > 0),
     mt AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest({_terms("source_id || ' ' || locator || ' ' || tenant_id")}) AS term FROM vis) GROUP BY ALL),
     mov AS (SELECT query_id, chunk_id, CAST(sum(least(qtf, tf)) AS BIGINT) AS overlap FROM qcounts JOIN mt USING (term) GROUP BY 1, 2),
-    met AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_id) AS rank FROM mov WHERE overlap > 0) WHERE rank <= 24),
-    rrf AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT query_id, chunk_id, rank FROM lex UNION ALL SELECT query_id, chunk_id, rank FROM met) GROUP BY 1, 2),
-    allb AS (SELECT query_id, chunk_id, rrf, coalesce(lex.score, 0.0) AS lexical, coalesce(met.overlap, 0) AS metadata FROM rrf LEFT JOIN lex USING (query_id, chunk_id) LEFT JOIN met USING (query_id, chunk_id)),
-    rr AS (SELECT *, round(0.65 * lexical / greatest(max(lexical) OVER (PARTITION BY query_id), 1e-12) + 0.10 * metadata / greatest(max(metadata) OVER (PARTITION BY query_id), 1) + 0.25 * 60 * rrf, 9) AS rerank FROM allb)
-    SELECT query_id, rank, chunk_id, round(lexical, 6) AS lexical, metadata, round(rrf, 6) AS rrf, round(rerank, 6) AS rerank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) AS rank FROM rr) WHERE rank <= 6""",
-)
+    met AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_id) AS rank FROM mov WHERE overlap > 0) WHERE rank <= 24), {near}
+    rrf AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT query_id, chunk_id, rank FROM lex UNION ALL SELECT query_id, chunk_id, rank FROM met{" UNION ALL SELECT * FROM near" if dense else ""}) GROUP BY 1, 2),
+    allb AS (SELECT query_id, rrf.chunk_id, rrf, coalesce(lex.score, 0.0) AS lexical, coalesce(mov.overlap, 0) AS metadata, vis.source_id, vis.page, chunk_text, {cos} AS cos
+      FROM rrf JOIN vis USING (chunk_id) LEFT JOIN lex USING (query_id, chunk_id) LEFT JOIN mov USING (query_id, chunk_id), nvec, vec cv, vec qv WHERE cv.slot = (vis.doc_id * 7 + vis.idx) % n AND qv.slot = (query_id * 3 + 1) % n),
+    norm AS (SELECT *, lexical / greatest(max(lexical) OVER (PARTITION BY query_id), 1e-12) AS nl, greatest(coalesce((SELECT max(overlap) FROM met WHERE met.query_id = allb.query_id), 0), 1) AS top FROM allb),
+    rr AS (SELECT *, round({wv} * cos + {wl} * nl + {wm} * metadata / top + {wr} * 60 * rrf, 9) AS rerank FROM norm),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) AS pos, {_OPENING.format("chunk_text")} AS opening, source_id || '/' || CAST(page AS VARCHAR) AS grp FROM rr),
+    {_diversified("hits", 6)}
+    SELECT query_id, place AS rank, chunk_id, round(cos, 6) AS vector, round(nl, 6) AS lexical, metadata, round(rrf, 6) AS rrf, round(rerank, 6) AS rerank FROM placed JOIN hits USING (query_id, pos)"""
+
+
+def _with_vectors(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return with_vectors(_chunks(spark, d), vectors, F.col("doc_id") * 7 + F.col("idx")), with_vectors(_queries(spark, d), vectors, F.col("query_id") * 3 + 1)
+
+
+@query("hybrid_search", _hybrid_sql(True))
 def hybrid(spark, d):
-    return hybrid_search(_chunks(spark, d), _queries(spark, d), 6, ["group:a"])
+    """Vectors, words and metadata; chunks and questions have given vectors."""
+    chunks, queries = _with_vectors(spark, d)
+    return hybrid_search(chunks, queries, 6, ["group:a"], "dense")
+
+
+@query("hybrid_search_hash", _hybrid_sql(False))
+def hybrid_hash(spark, d):
+    """The profile of hashed vectors, which have no branch and no weight."""
+    chunks, queries = _with_vectors(spark, d)
+    return hybrid_search(chunks, queries, 6, ["group:a"], "hash")
 
 
 @query("bm25_scores", f"WITH {CHUNKS_SQL}, {_QTERMS}, {_INDEX} SELECT query_id, chunk_id, round(score, 6) AS score FROM bm")
 def bm25_scores(spark, d):
     terms = _query_terms(spark, d)
-    return bm25(_chunks(spark, d), "chunk_id", _FIELDS, terms).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return bm25(_chunks(spark, d), "chunk_id", FIELDS, terms).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -82,8 +117,30 @@ def bm25_scores(spark, d):
     f"WITH {CHUNKS_SQL}, {_QTERMS}, {_INDEX} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm) WHERE rank <= 20",
 )
 def bm25_topk(spark, d):
-    s = bm25(_chunks(spark, d), "chunk_id", _FIELDS, _query_terms(spark, d)).withColumn("score", F.round("score", 9))
-    return ranked(s, ["query_id"], "score", "chunk_id", "rank", limit=20).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    """On the written index, of which blocks that can't reach the twentieth score are not unpacked."""
+    built = index.build(_chunks(spark, d), "chunk_id", FIELDS, scratch(spark))
+    found = index.search(built, index.phrases(_queries(spark, d)), 20)
+    return found.select("query_id", F.col("id").alias("chunk_id"), F.round("score", 6).alias("score"), "rank")
+
+
+_PHRASE = f"""WITH {DOCS_SQL}, b AS (SELECT item_id AS query_id, {_tok("text")} AS w FROM benchmark),
+ph AS (SELECT DISTINCT query_id, unnest([w[2:3], w[5:7], w[4:4]]) AS p FROM b), ask AS (SELECT DISTINCT p FROM ph WHERE len(p) > 0),
+t AS (SELECT doc_id, {_tok("text")} AS tt, {_tok("source_id")} AS ts FROM docs), stats AS (SELECT count(*) AS n_all, avg(len(tt) + len(ts)) AS mean FROM t),
+at_ AS (SELECT doc_id, 1.0 AS w, i, tt AS toks, tt[i] AS first FROM t, unnest(range(1, len(tt) + 1)) AS u(i) UNION ALL SELECT doc_id, 0.25, i, ts, ts[i] FROM t, unnest(range(1, len(ts) + 1)) AS u(i)),
+tf AS (SELECT p, doc_id, CAST(sum(w) AS DOUBLE) AS tf FROM ask JOIN at_ ON first = p[1] WHERE toks[i : i + len(p) - 1] = p GROUP BY 1, 2),
+idf AS (SELECT p, CASE WHEN ln((n_all - n + 0.5) / (n + 0.5)) > 0 THEN ln((n_all - n + 0.5) / (n + 0.5)) ELSE 1e-6 END AS idf FROM (SELECT p, count(*) AS n FROM tf GROUP BY 1), stats),
+sc AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * (len(tt) + len(ts)) / mean))), 9) AS score FROM ph JOIN tf USING (p) JOIN idf USING (p) JOIN t USING (doc_id), stats GROUP BY 1, 2)
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc QUALIFY rank <= 10"""
+
+
+@query("phrase_topk", _PHRASE)
+def phrase_topk(spark, d):
+    """Documents by two phrases and a word of each benchmark item: its tokens 2-3, 5-7 and 4."""
+    built = index.build(documents(spark, d), "doc_id", {"text": 1.0, "source_id": 0.25}, scratch(spark))
+    w = index_tokens(F.col("text"))
+    raw = _queries(spark, d).select("query_id", F.explode(F.array(F.slice(w, 2, 2), F.slice(w, 5, 3), F.slice(w, 4, 1))).alias("tokens")).where(F.size("tokens") > 0)
+    asked = raw.select("query_id", F.array_join("tokens", " ").alias("phrase"), "tokens").distinct()
+    return index.search(built, asked, 10).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query("term_counts", f"SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({_terms('text')}) AS term FROM documents) GROUP BY term")
@@ -196,7 +253,11 @@ def rank_scores_positive(spark, d):
     return ranked(j, ["source"], "quality", "doc_id", "rank", positive=True, limit=5).select("doc_id", "rank")
 
 
-@query("diversified_topk")
+@query(
+    "diversified_topk",
+    f"""WITH RECURSIVE {DOCS_SQL}, hits AS (SELECT tenant_id AS query_id, doc_id, row_number() OVER (PARTITION BY tenant_id ORDER BY n_chars DESC, doc_id) AS pos, {_OPENING.format("text")} AS opening, source_id || '/' || CAST(page AS VARCHAR) AS grp FROM docs QUALIFY pos <= 60),
+    {_diversified("hits", 10)} SELECT query_id AS tenant_id, place, doc_id FROM placed JOIN hits USING (query_id, pos)""",
+)
 def diversified_topk(spark, d):
     docs = documents(spark, d)
     hits = ranked(docs, ["tenant_id"], "n_chars", "doc_id", "rank", limit=60)

@@ -11,7 +11,7 @@ def test_oracles_name_known_queries():
 
 def test_entry_gives_rows(spark):
     rows = __spark_entry__.entry(spark).collect()
-    assert rows and set(rows[0].asDict()) == {"query_id", "rank", "chunk_id", "lexical", "metadata", "rrf", "rerank"}
+    assert rows and set(rows[0].asDict()) == {"query_id", "rank", "chunk_id", "vector", "lexical", "metadata", "rrf", "rerank"}
 
 
 def test_a_sample_of_queries_equals_their_oracles(spark):
@@ -34,6 +34,6 @@ def test_lsh_neighbours_reach_the_recall_of_an_index(spark):
 
 def test_lsh_neighbours_are_five_even_without_candidates(spark, tmp_path):
     # all but one vector point the other way
-    rows = [(i, [float((j * 7 + i) % 3 + 1) * (1 if i == 50 else -1) for j in range(64)], 0) for i in range(45, 56)]
+    rows = [(i, [float((j * 7 + i) % 3 + 1) * (1 if i == 60 else -1) for j in range(64)], 0) for i in range(55, 66)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert catalog.queries()["lsh_ann_topk"](spark, str(tmp_path)).count() == 5
