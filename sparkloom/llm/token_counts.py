@@ -8,7 +8,7 @@ strings. The rule goes on to cut within such a stretch; the library does that wh
                    dealt by the pre-tokens' hash into buckets; one row for each block and bucket
     bucket         each pre-token is counted by the library once in the whole corpus (all blocks' shares of
                    it lie in one bucket); numbers join to the frequencies and give sums by text
-    sums           added up by text over the buckets
+    sums           added up by block: one array of numbers for each bucket, a number for each text
 
 What is shuffled are distinct pre-tokens of blocks, compressed, and sums. A frequent pre-token is one entry a
 block, which lists a text once, so no bucket is larger than others by it. Workers remember at most KNOWN
@@ -28,7 +28,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.llm import vec
 from sparkloom.llm.store import arrow_map
@@ -106,6 +105,10 @@ def _packed(columns: dict) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _unpacked(payload: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(payload).read_next_batch()
+
+
 def _blocks(special: re.Pattern | None, buckets: int):
     def rows(batches):
         from pyspark import TaskContext
@@ -144,7 +147,7 @@ def _slices(column: pa.Array):
         at = end
 
 
-def _sums(path: str, id_type: pa.DataType, most: int):
+def _sums(path: str, most: int):
     def rows(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -156,10 +159,8 @@ def _sums(path: str, id_type: pa.DataType, most: int):
 
         for batch in batches:
             for block, n, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "size", "payload")), strict=True):
-                part = pa.ipc.open_stream(payload).read_next_batch()
-                if "doc_id" in part.schema.names:
-                    doc, total, ids, size = np.arange(n), np.zeros(n, np.int64), part.column("doc_id"), part.column("n_bytes")
-                else:
+                part = _unpacked(payload)
+                if "doc_id" not in part.schema.names:
                     tokens = part.column("token").to_pylist()
                     if len(known) > most:
                         known = {"": 0}
@@ -170,11 +171,8 @@ def _sums(path: str, id_type: pa.DataType, most: int):
                     pieces = np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
                     docs, counts = part.column("docs"), part.column("counts")
                     weight = np.repeat(pieces, pc.list_value_length(docs).to_numpy()) * docs_values(counts)
-                    total = np.bincount(docs_values(docs), weights=weight, minlength=n).astype(np.int64)
-                    doc = np.flatnonzero(total)
-                    total = total[doc]
-                    ids, size = pa.nulls(len(doc), id_type), pa.nulls(len(doc), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(block, pa.int64()), len(doc)), pa.array(doc, pa.int32()), pa.array(total), ids, size], ["block", "doc", "n", "doc_id", "n_bytes"])
+                    payload = _packed({"n": pa.array(np.bincount(docs_values(docs), weights=weight, minlength=n).astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
     def docs_values(lists: pa.ListArray) -> np.ndarray:
         return lists.flatten().to_numpy().astype(np.int64)
@@ -182,6 +180,19 @@ def _sums(path: str, id_type: pa.DataType, most: int):
     return rows
 
 
+def _totals(key, rows):
+    """Rows of a block's texts, from its heads and its buckets' sums."""
+    total, heads = 0, None
+    for payload in rows.column("payload").to_pylist():
+        part = _unpacked(payload)
+        if "doc_id" in part.schema.names:
+            heads = part
+        else:
+            total = total + part.column("n").to_numpy()
+    n = pa.array(np.broadcast_to(total, len(heads)).astype(np.int64))
+    return pa.Table.from_arrays([heads.column("doc_id"), heads.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
+
+
 def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, n_bytes (of UTF-8), n_tokens, over_limit (n_tokens > limit).
 
@@ -194,12 +205,10 @@ def count_tokens(docs: DataFrame, limit: int = 1024, path: str | None = None) ->
     strings = special_strings(path)
     special = re.compile("(" + "|".join(map(re.escape, sorted(strings, key=len, reverse=True))) + ")") if strings else None
     text = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    id_type = text.schema["doc_id"].dataType
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = text.transform(arrow_map, _blocks(special, 2 * partitions), "bucket long, block long, size int, payload binary")
     dealt = blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket").select("block", "size", "payload")
-    schema = T.StructType.fromDDL("block long, doc int, n long").add("doc_id", id_type).add("n_bytes", "long")
-    sums = dealt.transform(arrow_map, _sums(path, to_arrow_type(id_type), KNOWN), schema)
-    every = sums.groupBy("block", "doc")
-    out = every.agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    sums = dealt.transform(arrow_map, _sums(path, KNOWN), "block long, payload binary")
+    schema = T.StructType().add("doc_id", text.schema["doc_id"].dataType).add("n_bytes", "long").add("n_tokens", "long")
+    out = sums.groupBy("block").applyInArrow(_totals, schema)
+    return out.withColumn("over_limit", F.col("n_tokens") > limit)
