@@ -42,8 +42,9 @@ def step(state: tuple | None, op: str, owner: str, fingerprint: str, result: str
 
 
 class Ledger(StatefulProcessor):
-    """One value a key, and a timer that turns a reservation indeterminate when the watermark passes its
-    time to live; the timer's row has no seq."""
+    """One value a key, and a timer that reports a reservation when the watermark passes its time to live (a
+    row without seq). The state turns at the next reservation, so outcomes don't depend on how requests
+    fall into batches."""
 
     def __init__(self, ttl: int):
         self.ttl = ttl
@@ -67,7 +68,6 @@ class Ledger(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = tuple(self.entry.get()) if self.entry.exists() else None
         if state is not None and state[0] == "in_progress" and state[4] + self.ttl <= 1000 * expiredTimerInfo.getExpiryTimeInMs():
-            self.entry.update(("indeterminate", state[1], state[2], None, state[4] + self.ttl))
             yield pd.DataFrame([(*key, None, "expired", None)], columns=["tool", "call_key", "seq", "outcome", "result"])
         else:
             yield pd.DataFrame([], columns=["tool", "call_key", "seq", "outcome", "result"])
