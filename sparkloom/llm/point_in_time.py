@@ -13,7 +13,7 @@ latest end so far on. Such parts don't overlap, so their pluses and minuses coun
 item end d days after their sale, so the latest sale so far gives the latest end for each d.
 
 Hot clients are those with more than HOT rows, and at least a 2**16th of all rows, so there never are more
-than 2**16 and their list may be broadcast. Their time is cut into chunks of ten minutes: running values
+than 2**16 and their list may be part of the plan. Their time is cut into chunks of ten minutes: running values
 within a chunk, and those of the chunks before as one row a chunk. Hot (client, item) pairs likewise.
 Everything else is one chunk.
 """
@@ -47,13 +47,19 @@ def cents(amount: Column) -> Column:
     return F.when(F.abs(F.lit(100.0) * amount) < F.lit(9e15), x).otherwise(F.lit(0)).cast("long")
 
 
-def _hot(counts: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Keys with more than HOT rows of their own and at least a 2**16th of all: 2**16 at most."""
-    return F.broadcast(counts.where(F.col("n") > max(HOT, rows >> 16)).select(*keys, F.lit(True).alias("hot")))
+def _hot(counts: DataFrame, keys: list[str], rows: int) -> Column:
+    """Whether a row's keys have more than HOT rows of their own and at least a 2**16th of all: a list of
+    2**16 keys at most, which goes into the plan and, where it is a filter, to the scan."""
+    found = counts.where(F.col("n") > max(HOT, rows >> 16)).select(*[F.col(k).cast("long") for k in keys]).collect()
+    if not found:
+        return F.lit(False)
+    if len(keys) == 1:
+        return F.coalesce(F.col(keys[0]).isin([r[0] for r in found]), F.lit(False))
+    return F.expr(f"coalesce(({', '.join(keys)}) IN ({', '.join(str(tuple(r)) for r in found)}), false)")
 
 
-def _chunk(time: str) -> Column:
-    return F.when(F.col("hot"), F.floor(F.col(time) / CHUNK)).otherwise(F.lit(-1)).cast("long")
+def _chunk(hot: Column, time: str) -> Column:
+    return F.when(hot, F.floor(F.col(time) / CHUNK)).otherwise(F.lit(-1)).cast("long")
 
 
 def _deltas(df: DataFrame, time: Column, mask: Column, sign: int = 1, last: Column | None = None, label: int = 0, **values: Column) -> DataFrame:
@@ -80,11 +86,11 @@ def _covering(lines: DataFrame, rows: int) -> DataFrame:
     pairs = lines.where("item_id IS NOT NULL").groupBy("client_id", "item_id").agg(F.count("*").alias("n"))
     hot = _hot(pairs, ["client_id", "item_id"], rows)
     # lines without an item need no order: by time, so that no client's are one group
-    chunk = F.when(F.col("item_id").isNull(), F.floor(F.col("begin") / CHUNK)).otherwise(_chunk("begin"))
-    named = lines.join(hot, ["client_id", "item_id"], "left").withColumn("chunk", chunk).drop("hot")
+    chunk = F.when(F.col("item_id").isNull(), F.floor(F.col("begin") / CHUNK)).otherwise(_chunk(hot, "begin"))
+    named = lines.withColumn("chunk", chunk)
     within = Window.partitionBy("client_id", "item_id", "chunk").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     inside = named.withColumn("inside", F.max("sold").over(within))
-    each = lines.join(hot, ["client_id", "item_id"]).withColumn("chunk", _chunk("begin")).groupBy("client_id", "item_id", "chunk").agg(F.max("sold").alias("own"))
+    each = lines.where(hot).withColumn("chunk", _chunk(hot, "begin")).groupBy("client_id", "item_id", "chunk").agg(F.max("sold").alias("own"))
     past = Window.partitionBy("client_id", "item_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = each.select("client_id", "item_id", "chunk", F.max("own").over(past).alias("before"))
     joined = inside.join(before, ["client_id", "item_id", "chunk"], "left")
@@ -158,10 +164,10 @@ def features(clicks: DataFrame, sales: DataFrame, lines: DataFrame, probes: Data
     by_client = c.select("client_id").unionByName(found.select("client_id")).unionByName(s.select("client_id"))
     hot = _hot(by_client.groupBy("client_id").agg(F.count("*").alias("n")), ["client_id"], rows)
     sums = _sums(days)
-    placed = moves.join(hot, "client_id", "left").withColumn("chunk", _chunk("time")).drop("hot")
+    placed = moves.withColumn("chunk", _chunk(hot, "time"))
     within = Window.partitionBy("client_id", "chunk").orderBy("time", "probe").rowsBetween(Window.unboundedPreceding, 0)
     inside = placed.select("client_id", "chunk", "time", "probe", "sale_id", *[F.sum(x).over(within).alias(f"in_{n}") for n, x in sums], F.max("last").over(within).alias("in_last")).where("probe = 1")
-    each = moves.join(hot, "client_id").withColumn("chunk", _chunk("time")).groupBy("client_id", "chunk").agg(*[F.sum(x).alias(n) for n, x in sums], F.max("last").alias("last"))
+    each = moves.where(hot).withColumn("chunk", _chunk(hot, "time")).groupBy("client_id", "chunk").agg(*[F.sum(x).alias(n) for n, x in sums], F.max("last").alias("last"))
     past = Window.partitionBy("client_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     before = each.select("client_id", "chunk", *[F.sum(n).over(past).alias(f"be_{n}") for n, _ in sums], F.max("last").over(past).alias("be_last"))
     joined = inside.join(before, ["client_id", "chunk"], "left")
