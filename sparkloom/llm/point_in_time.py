@@ -55,7 +55,8 @@ def _hot(counts: DataFrame, keys: list[str], rows: int) -> Column:
         return F.lit(False)
     if len(keys) == 1:
         return F.coalesce(F.col(keys[0]).isin([r[0] for r in found]), F.lit(False))
-    return F.expr(f"coalesce(({', '.join(keys)}) IN ({', '.join(str(tuple(r)) for r in found)}), false)")
+    listed = ", ".join(f"({', '.join(f'{x}L' for x in r)})" for r in found)
+    return F.expr(f"coalesce(({', '.join(f'cast({k} as bigint)' for k in keys)}) IN ({listed}), false)")
 
 
 def _chunk(hot: Column, time: str) -> Column:
