@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators.relational import either_end
+from sparkloom.operators.relational import either_end, top_per_group
 
 _LOCAL: list[str] = []
 
@@ -30,6 +30,65 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     return found
 
 
+def expand_paths(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
+    """(query_id, node, hop, path) from seeds(query_id, node) over edges(src, dst) taken either way, which must be
+    those the caller may see: each node by the fewest hops, of equals by the smallest parent; the path leads
+    from the seed to the node. Written after each hop, so a hop is computed once."""
+    both = settled(either_end(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "src", "dst").distinct())
+    found = frontier = settled(seeds.select("query_id", "node").where("node IS NOT NULL").distinct().select("query_id", "node", F.lit(0).cast("long").alias("hop"), F.array("node").alias("path")))
+    for h in range(1, hops + 1):
+        step = frontier.select("query_id", F.col("node").alias("parent"), "path").join(both, F.col("parent") == both["node"]).select("query_id", F.col("other").alias("node"), "parent", "path")
+        step = step.join(found.select("query_id", "node"), ["query_id", "node"], "left_anti").groupBy("query_id", "node").agg(F.min_by("path", "parent").alias("path"))
+        frontier = settled(step.select("query_id", "node", F.lit(h).cast("long").alias("hop"), F.array_append("path", F.col("node")).alias("path")))
+        found = found.unionAll(frontier)
+    return found
+
+
+def graph_evidence(seeds: DataFrame, mentions: DataFrame, relations: DataFrame, chunks: DataFrame, terms: DataFrame, names: DataFrame, hops: int = 2, most: int = 10) -> DataFrame:
+    """(query_id, rank, chunk_id, score, hops, path): chunks that mention an entity within `hops` of what a
+    query's seed chunks mention, each once with its best score, at most `most` a query.
+
+    seeds(query_id, chunk_id); mentions(chunk_id, entity_id, visible) and chunks(chunk_id, terms: array) of active
+    versions; relations(src, dst, kind, evidence: chunk_id); terms(query_id, asked: array of distinct terms);
+    names(entity_id, name). Nothing passes what the caller may not see: a seed's mention, the mention that is
+    an edge's evidence, and the mention that is found must all be visible. Sections are not traversed. The path
+    is the names from a seed's entity to the one found; seeds are no evidence."""
+    seen = mentions.where("visible").select("chunk_id", "entity_id").distinct()
+    allowed = relations.where("kind <> 'CONTAINS_SECTION'").join(seen.select(F.col("chunk_id").alias("evidence")).distinct(), "evidence", "left_semi")
+    start = seeds.join(seen, "chunk_id").select("query_id", F.col("entity_id").alias("node"))
+    met = expand_paths(start, allowed, hops).where("hop > 0")
+    found = met.select("query_id", F.col("node").alias("entity_id"), "hop", "path").join(seen, "entity_id").join(seeds, ["query_id", "chunk_id"], "left_anti")
+    rows = found.join(chunks.select("chunk_id", "terms"), "chunk_id").join(terms, "query_id")
+    overlap = F.size(F.array_intersect("asked", "terms")) / F.greatest(F.size("asked"), F.lit(1))
+    rows = rows.withColumn("score", F.round(graph_score(F.col("hop"), overlap), 9))
+    best = rows.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct("score", "hop", "path"), F.struct(-F.col("score"), "hop", "entity_id")).alias("b")).select("query_id", "chunk_id", "b.*")
+    top = top_per_group(best, ["query_id"], [F.desc("score"), F.asc("chunk_id")], most)
+    place = top.select("query_id", "rank", "chunk_id", "score", "hop", F.posexplode("path").alias("i", "entity_id")).join(names, "entity_id", "left")
+    told = place.groupBy("query_id", "rank", "chunk_id", "score", "hop").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("name", "entity_id").alias("name")))).alias("p"))
+    return told.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.col("hop").alias("hops"), F.array_join(F.transform("p", lambda x: x["name"]), " > ").alias("path"))
+
+
+def merged_hits(direct: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score, origin): direct(query_id, chunk_id, score) and what the graph found, each chunk
+    once with the higher score, the direct one of equals."""
+    both = direct.select("query_id", "chunk_id", "score", F.lit("direct").alias("origin")).unionByName(found.select("query_id", "chunk_id", "score", F.lit("graph").alias("origin")))
+    best = F.min_by(F.struct("score", "origin"), F.struct(-F.col("score"), "origin"))
+    return both.groupBy("query_id", "chunk_id").agg(best.alias("b")).select("query_id", "chunk_id", "b.score", "b.origin")
+
+
+def or_else(first: DataFrame, second: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score, warning): rows of `first`, and of `second` for queries that have none there; a
+    query without any is one row of its warning."""
+    served = first.select("query_id").distinct()
+    fallback = second.join(served, "query_id", "left_anti")
+    none = queries.select("query_id").distinct().join(served, "query_id", "left_anti").join(second.select("query_id").distinct(), "query_id", "left_anti")
+    return (
+        first.select("query_id", "chunk_id", "score", F.lit(None).cast("string").alias("warning"))
+        .unionByName(fallback.select("query_id", "chunk_id", "score", F.lit("graph_expansion:structural_fallback").alias("warning")))
+        .unionByName(none.select("query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("double").alias("score"), F.lit("graph_expansion:no_neighbors").alias("warning")))
+    )
+
+
 def graph_score(hops: Column, overlap: Column) -> Column:
     return F.least(F.lit(0.95), F.pow(F.lit(0.72), hops) * (0.7 + 0.3 * overlap))
 
