@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 def _load() -> None:
     import importlib
 
-    for module in ("relational", "search", "evidence", "memory", "graphs", "operations", "lifecycle", "structure"):
+    for module in ("relational", "search", "evidence", "memory", "graphs", "operations", "lifecycle", "structure", "citations"):
         importlib.import_module(f"sparkloom.plans.{module}")
 
 

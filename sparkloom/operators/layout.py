@@ -49,7 +49,7 @@ def payload_blocks(pages: DataFrame) -> DataFrame:
     ).where("text <> ''")
     told = told.withColumn("kind", label_kind(F.col("label")))
     bare = v.join(told.select("doc", "page").distinct(), ["doc", "page"], "left_anti").select("doc", "page", _text(F.col("v"), "$.markdown", "$.text").alias("text"))
-    parts = bare.select("doc", "page", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), F.trim), lambda x: x != "")).alias("at", "text"))
+    parts = bare.select("doc", "page", F.posexplode(F.filter(F.transform(F.split("text", r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")).alias("at", "text"))
     plain = parts.select("doc", "page", (F.col("at") + 1).cast("long").alias("offset"), "text", F.lit(None).cast("string").alias("label"), F.lit(None).cast(BBOX).alias("bbox"), F.lit("paragraph").alias("kind"))
     every = told.unionByName(plain)
     sizes = every.groupBy("doc", "page").agg(F.count("*").alias("n"))

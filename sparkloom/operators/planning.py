@@ -58,3 +58,50 @@ def plan_variants(queries: DataFrame, most: int = 3) -> DataFrame:
     return q.select("query_id", F.posexplode("variants").alias("variant_no", "v"), "route", "graph_hops", "anchors", "discarded").select(
         "query_id", F.col("variant_no").cast("long").alias("variant_no"), "v.kind", "v.query", "route", "graph_hops", "anchors", "discarded"
     )
+
+
+def merge_decisions(plans: DataFrame, decisions: DataFrame, most: int = 3) -> DataFrame:
+    """plans (as plan_variants gives them) with what a model decided, decisions(query_id, route, graph_hops,
+    subqueries, rewrites: arrays): (query_id, variant_no, kind, query, route, graph_hops, discarded).
+
+    The original stays first; then sub-questions and rewrites of the model in turn, each once whatever its case,
+    rewrites only if they keep what must be kept of the original; what room is left goes to the plan's own
+    variants. Names of what was left out: model_variant_limit, model_rewrite_anchor_drift. Queries without a
+    decision keep their plan."""
+    own = plans.groupBy("query_id").agg(
+        F.sort_array(F.collect_list(F.struct("variant_no", "kind", "query"))).alias("v"), F.first("anchors").alias("anchors"), F.first("route").alias("r"), F.first("graph_hops").alias("h"), F.first("discarded").alias("d")
+    )
+    q = own.join(decisions, "query_id", "left")
+    none = F.array().cast("array<string>")
+
+    def told(values, kind):
+        cleaned = F.filter(F.transform(F.coalesce(values, none), lambda x: F.trim(x)), lambda x: x != "")
+        return F.transform(cleaned, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("query")))
+
+    model = F.concat(told(F.col("subqueries"), "subquery"), told(F.col("rewrites"), "rewrite"))
+    rest = F.transform(F.slice("v", 2, 1000), lambda x: F.struct(x["kind"].alias("kind"), x["query"].alias("query")))
+    start = F.struct(F.array(F.struct(F.col("v")[0]["kind"].alias("kind"), F.col("v")[0]["query"].alias("query"))).alias("kept"), F.col("d").alias("gone"), F.lit(False).alias("full"))
+
+    def known(s, x):
+        return F.exists(s["kept"], lambda y: F.lower(y["query"]) == F.lower(x["query"]))
+
+    def add(s, x):
+        limit = F.size(s["kept"]) >= most
+        drift = (x["kind"] == "rewrite") & ~tx.keeps_anchors(x["query"], F.col("anchors"))
+        skip = s["full"] | limit | known(s, x) | drift
+        name = F.when(s["full"], F.lit(None)).when(limit, "model_variant_limit").when(~known(s, x) & drift, "model_rewrite_anchor_drift")
+        return F.struct(
+            F.when(skip, s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
+            F.when(name.isNull() | F.array_contains(s["gone"], name), s["gone"]).otherwise(F.array_append(s["gone"], name)).alias("gone"),
+            (s["full"] | limit).alias("full"),
+        )
+
+    def fill(s, x):
+        skip = (F.size(s["kept"]) >= most) | known(s, x)
+        return F.struct(F.when(skip, s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"), s["gone"].alias("gone"), s["full"].alias("full"))
+
+    done = q.withColumn("s", F.aggregate(rest, F.aggregate(model, start, add), fill))
+    routed = F.coalesce("route", "r")
+    hops = F.when(F.col("route").isNull(), F.col("h")).when(F.col("route") == "graph", F.least(F.lit(2), F.col("graph_hops"))).otherwise(0)
+    out = done.select("query_id", routed.alias("route"), hops.cast("int").alias("graph_hops"), F.col("s.gone").alias("discarded"), F.posexplode("s.kept").alias("variant_no", "x"))
+    return out.select("query_id", F.col("variant_no").cast("long").alias("variant_no"), "x.kind", "x.query", "route", "graph_hops", "discarded")

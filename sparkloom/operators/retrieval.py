@@ -10,7 +10,7 @@ from sparkloom.functions.vector import cosine
 from sparkloom.operators import index
 from sparkloom.operators.dense import nearest
 from sparkloom.operators.graph import scratch, settled
-from sparkloom.operators.lexical import diversified, ranked
+from sparkloom.operators.lexical import diversified, ranked, term_overlap
 from sparkloom.operators.relational import top_per_group
 
 #: Weights of the vector, lexical, metadata and fusion parts, by embedding profile.
@@ -63,7 +63,7 @@ def metadata_branch(allowed: DataFrame, counts: DataFrame, limit: int) -> DataFr
     return ranked(score.select("query_id", "score", F.explode("ids").alias("chunk_id")), ["query_id"], "score", "chunk_id", "rank", positive=True, limit=limit)
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 6, principals: list[str] | None = None, profile: str = "hash", built: index.Index | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 6, principals: list[str] | None = None, profile: str = "hash", built: index.Index | None = None, warnings: list[str] | None = None) -> DataFrame:
     """(query_id, rank, chunk_id, vector, lexical, metadata, rrf, rerank) of the best chunks of each query.
 
     chunks(chunk_id, chunk_text, source_id, page, locator, metadata_text, acl, vector), queries(query_id,
@@ -73,20 +73,50 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 6, princip
     vector, lexical, metadata and fusion parts are weighted by profile; of what the branches found the best
     are kept, at most top_k and spread over openings and (source, page).
 
-    `built` is an index of `chunks`; else one is written to the shared folder first."""
+    `built` is an index of `chunks`; else one is written to the shared folder first.
+
+    With a list of `warnings` each branch is run by itself: one that fails is left out and named in the list,
+    the index giving way to terms shared with the text; if all fail, RuntimeError."""
     spark, limit, keys = chunks.sparkSession, max(4 * top_k, 20), ["query_id", "chunk_id"]
-    built = built or index.build(chunks, "chunk_id", FIELDS, scratch(spark))
     allowed = visible(chunks, principals=principals)
-    lexical = index.search(built, index.phrases(queries), limit, allowed.select(F.col("chunk_id").alias("id"))).where("score > 0").withColumnRenamed("id", "chunk_id")
+    none = F.lit(None).cast("double")
+    columns = [*keys, "rank", "lexical", "shared"]
+
+    def by_index() -> DataFrame:
+        of = built or index.build(chunks, "chunk_id", FIELDS, scratch(spark))
+        found = index.search(of, index.phrases(queries), limit, allowed.select(F.col("chunk_id").alias("id"))).where("score > 0")
+        return found.select("query_id", F.col("id").alias("chunk_id"), "rank", F.col("score").alias("lexical"), none.alias("shared"))
+
+    def by_overlap() -> DataFrame:
+        found = ranked(term_overlap(allowed, "chunk_id", F.col("chunk_text"), counts), ["query_id"], "overlap", "chunk_id", "rank", positive=True, limit=limit)
+        return found.select(*keys, "rank", F.col("overlap").cast("double").alias("lexical"), none.alias("shared"))
+
+    def by_metadata() -> DataFrame:
+        return metadata_branch(allowed, counts, limit).select(*keys, "rank", none.alias("lexical"), F.col("score").cast("double").alias("shared"))
+
+    def by_vector() -> DataFrame:
+        near = nearest(allowed.select(F.col("chunk_id").alias("id"), "vector"), queries, limit)
+        return near.select("query_id", F.col("id").alias("chunk_id"), "rank", none.alias("lexical"), none.alias("shared"))
+
+    def run(name: str, branch, instead=None) -> DataFrame | None:
+        if warnings is None:
+            return branch()
+        try:
+            return settled(branch().select(*columns))
+        except Exception as error:  # noqa: BLE001
+            warnings.append(f"degraded_retrieval:{name}:{type(error).__name__}")
+            return run(f"{name}_overlap", instead) if instead else None
+
     counts = queries.select("query_id", F.explode(whitespace_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").cast("int").alias("qtf"))
-    metadata = metadata_branch(allowed, counts, limit)
     wv, wl, wm, wr = WEIGHTS[profile]
     with_vectors = "vector" in chunks.columns and "vector" in queries.columns
-    none = F.lit(None).cast("double")
-    branches = lexical.select(*keys, "rank", F.col("score").alias("lexical"), none.alias("shared")).unionByName(metadata.select(*keys, "rank", none.alias("lexical"), F.col("score").cast("double").alias("shared")))
-    if wv and with_vectors:
-        dense = nearest(allowed.select(F.col("chunk_id").alias("id"), "vector"), queries, limit).select("query_id", F.col("id").alias("chunk_id"), "rank", none.alias("lexical"), none.alias("shared"))
-        branches = branches.unionByName(dense)
+    some = [run("index", by_index, by_overlap), run("metadata", by_metadata), run("vector", by_vector) if wv and with_vectors else None]
+    some = [b.select(*columns) for b in some if b is not None]
+    if not some:
+        raise RuntimeError("all retrieval branches failed")
+    branches = some[0]
+    for b in some[1:]:
+        branches = branches.unionByName(b)
     found = branches.groupBy(*keys).agg(F.sum(1.0 / (60 + F.col("rank"))).alias("rrf"), F.coalesce(F.max("lexical"), F.lit(0.0)).alias("lexical"), F.max("shared").alias("shared"))
     w = Window.partitionBy("query_id")
     found = settled(found.withColumns({"top_lexical": F.greatest(F.max("lexical").over(w), F.lit(1e-12)), "top_shared": F.greatest(F.coalesce(F.max("shared").over(w), F.lit(0.0)), F.lit(1.0))}))
