@@ -288,7 +288,8 @@ class TreeModel:
         nodes, runs = parse(page)
         tree = Tree(nodes)
         content, _ = self.marginals(tree.parents, self.odds(tree), tree.kinds)
-        blocks = (_SPACE.sub(" ", html.unescape("".join(parts))).strip() for node, parts in runs if tree.places[node] >= 0 and content[tree.places[node]] > 0.5)
+        # each part is decoded by itself: what a tag or a comment parts is no character reference
+        blocks = (_SPACE.sub(" ", "".join(map(html.unescape, parts))).strip() for node, parts in runs if tree.places[node] >= 0 and content[tree.places[node]] > 0.5)
         return " ".join(b for b in blocks if b)
 
 

@@ -66,6 +66,8 @@ class _Page:
 
     def notice(self) -> str:
         text = f"<p>{self.words(5, 20)}.</p><button>{self.words(1, 2)}</button>" if self.r.random() < 0.6 else self.words(5, 20) + "."
+        if self.r.random() < 0.2:
+            return f'<div role="{self.r.choice(["alert", "status", "dialog", "note"])}">{text}</div>'
         return self.box("div div section aside", _NOTES, text)
 
     def form(self) -> str:
@@ -114,10 +116,13 @@ class _Page:
                 out.append(f"<table{y}>{cells}</table>")
             elif kind < 0.95:
                 out.append(f"<figure{y}><img src='x.png'><figcaption{y}>{self.words(3, 9)}</figcaption></figure>")
-            elif kind < 0.97:
+            elif kind < 0.96:
                 out.append(f"<p{y}>{self.words(1, 2)}.</p>")
             else:
-                out.append(self.advert() if r.random() < 0.5 else self.share())
+                out.append(r.choice([self.advert, self.share, self.notice, self.notice])())
+        for make, share in ((self.notice, 0.25), (self.form, 0.05)):
+            if r.random() < share:
+                out.insert(r.randrange(len(out) + 1), make())
         if r.random() < 0.12:  # dialogue, verse
             out += [f"<p{y}>{self.words(1, 6)}.</p>" for _ in range(r.randint(10, 60))]
         if r.random() < 0.15:  # builders' markup: every block in a box of its own

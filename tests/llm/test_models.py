@@ -379,3 +379,16 @@ def test_skipped_elements_end_where_they_are_closed(tag):
     nested = f"<{tag}>one<{tag}>two</{tag}>three</{tag}>"
     crossed = f"<div><{tag}></div><p>After. {PROSE}</p></{tag}>"
     assert model.extract(f"<article><h1>A title</h1><p>{PROSE}</p>{nested}{crossed}</article>") == f"A title {PROSE.strip()} After. {PROSE.strip()}"
+
+
+def test_references_are_decoded_before_texts_are_joined():
+    model = html_extract.default_model()
+    page = f"<article><h1>A title</h1><p>{PROSE}AT&<b>amp;</b> x &<!-- c -->lt; y &lt;z&gt; &copy</p></article>"
+    assert model.extract(page) == f"A title {PROSE}AT&amp; x &lt; y <z> ©"
+
+
+@pytest.mark.parametrize("notice", ['<div role="alert"><p>We use cookies here.</p></div>', '<div class="notice">Please subscribe to our letter.</div>', '<aside class="newsletter"><p>Get our letter.</p><button>Go</button></aside>', '<div class="alert"><p>This page is out of date.</p></div>'])
+def test_notices_inside_an_article_go(notice):
+    model = html_extract.default_model()
+    page = f"<body><header class='top'><p>Site</p></header><article><h1>A title</h1><p>{PROSE}</p>{notice}<p>After. {PROSE}</p></article><footer>&copy; us</footer></body>"
+    assert model.extract(page) == f"A title {PROSE.strip()} After. {PROSE.strip()}"
