@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.native_text import bitmap_literal, in_bitmap, log2_size, runs, words
-from sparkloom.llm.store import ROW, cut, unique_ids
+from sparkloom.llm.store import cut, unique_ids
 
 SPAN, K = 13, 9
 PLACE = 27  # low bits of a fingerprint hold its place
@@ -132,7 +132,9 @@ def contamination(docs: DataFrame, items: DataFrame, span: int = SPAN, k: int =
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of docs that are not contaminated; columns are those of docs."""
-    rows, _ = unique_ids(docs)
-    dirty = contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), items).where("contaminated")
-    return rows.join(dirty.select(F.col("doc_id").alias(ROW)), ROW, "left_anti").select(*docs.columns)
+    """Rows of docs that are not contaminated; columns are those of docs, whatever they are called. Null and
+    empty texts stay, repeated rows go or stay together, long texts are read whole; without documents or
+    items nothing goes."""
+    rows, _, row = unique_ids(docs)
+    dirty = contamination(rows.select(F.col(row).alias("doc_id"), "text"), items).where("contaminated")
+    return rows.join(dirty.select(F.col("doc_id").alias(row)), row, "left_anti").select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
 from sparkloom.llm.components import components
-from sparkloom.llm.store import ROW, arrow_map, bitmap, cut, drop, in_bitmap, mix, row_slot, unique_ids
+from sparkloom.llm.store import arrow_map, bitmap, cut, drop, in_bitmap, mix, row_slot, unique_ids
 
 SHARE = 4  # tokens to a coordinate of a point, at least half of that
 LEAF, FAN = 32, 8  # points in a leaf of the R-tree, leaves under a node
@@ -466,8 +466,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Near-duplicate removal: of each component the row with the smallest doc_id stays, of rows with
-    the same id any one. Texts without words stay. Columns are those of docs."""
-    rows, _ = unique_ids(docs)
-    groups = jaccard_components(rows.select(F.col(ROW).alias("doc_id"), "text"), k, num, den)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    the same id any one. Null and empty texts and those without words stay; long ones are compared whole; an
+    empty table stays empty. Columns are those of docs, whatever they are called."""
+    rows, _, row = unique_ids(docs)
+    groups = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), k, num, den)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

@@ -114,14 +114,20 @@ def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return ((bits[slots >> 6].view(np.uint64) >> (slots & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
 
-ROW = "__row"
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def unique_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with a bigint column ROW that is unique: doc_id where that is unique and never null, else a
+def unique_ids(docs: DataFrame) -> tuple[DataFrame, bool, str]:
+    """docs with a bigint column, named last, that is unique: doc_id where that is unique and never null, else a
     number given to each row of a written copy, in which rows still come in the order of doc_id. The
     flag tells which."""
+    row = free(docs, "__row")
     counts = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
-    if counts["n"] == counts["named"] and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs.withColumn(ROW, F.col("doc_id").cast("long")), True
-    return cut(docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumn(ROW, F.monotonically_increasing_id())), False
+    if counts["n"] == counts["named"] and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs.withColumn(row, F.col("doc_id").cast("long")), True, row
+    return cut(docs.orderBy(F.col("doc_id").asc_nulls_last()).withColumn(row, F.monotonically_increasing_id())), False, row

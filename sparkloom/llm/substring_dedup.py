@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
-from sparkloom.llm.store import ROW, arrow_map, bitmap, cut, drop, in_bitmap, row_slot, unique_ids
+from sparkloom.llm.store import arrow_map, bitmap, cut, drop, free, in_bitmap, row_slot, unique_ids
 
 K, WINDOW = 6, 4
 MIN_WORDS, IDENTITY = 50, 0.8
@@ -617,11 +617,11 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """passages() for any docs(doc_id, text): rows with the same or a null id are rows of their own,
     whose passages carry the ids as they are (a repeated row's reference may have its own id)."""
-    rows, plain = unique_ids(docs.select("doc_id", "text"))
-    found = passages(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    rows, plain, row = unique_ids(docs.select("doc_id", "text"))
+    found = passages(rows.select(F.col(row).alias("doc_id"), "text"))
     if plain:
         return found
-    names = rows.select(ROW, F.col("doc_id").alias("name"))
+    names = rows.select(row, F.col("doc_id").alias("name"))
     return (
         found.join(names.toDF("doc_id", "own"), "doc_id")
         .join(names.toDF("ref_id", "other"), "ref_id")
@@ -629,39 +629,47 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     )
 
 
-def _without(batches):
-    """Texts less their spans (arrays of start and end words), which reach to the start of the next word."""
-    for batch in batches:
-        column = batch.column(batch.schema.get_field_index("text"))
-        spans = batch.column(batch.schema.get_field_index("__spans"))
-        texts = column.to_pylist()
-        for i in range(len(batch)):
-            cuts = spans[i].as_py()
-            if cuts and texts[i]:
-                data, offsets = vec.text_bytes(column.slice(i, 1))
-                starts, _, counts = vec.words(data, offsets, vec.ALNUM)
-                edges = np.concatenate((starts, [len(data)]))
-                keep = np.ones(len(data), dtype=bool)
-                for x in cuts:
-                    keep[edges[min(x["start_word"], counts[0])] : edges[min(x["end_word"], counts[0])]] = False
-                texts[i] = data[keep].tobytes().decode("utf-8", "ignore")
-        arrays = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(j) for j, f in enumerate(batch.schema)]
-        kept = [j for j, f in enumerate(batch.schema) if f.name != "__spans"]
-        yield pa.RecordBatch.from_arrays([arrays[j] for j in kept], [batch.schema.field(j).name for j in kept])
+def _without(held: str):
+    """Texts less the spans in column `held` (arrays of start and end words), which reach to the start of the
+    next word; without that column."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("text"))
+            spans = batch.column(batch.schema.get_field_index(held))
+            texts = column.to_pylist()
+            for i in range(len(batch)):
+                cuts = spans[i].as_py()
+                if cuts and texts[i]:
+                    data, offsets = vec.text_bytes(column.slice(i, 1))
+                    starts, _, counts = vec.words(data, offsets, vec.ALNUM)
+                    edges = np.concatenate((starts, [len(data)]))
+                    keep = np.ones(len(data), dtype=bool)
+                    for x in cuts:
+                        keep[edges[min(x["start_word"], counts[0])] : edges[min(x["end_word"], counts[0])]] = False
+                    texts[i] = data[keep].tobytes().decode("utf-8", "ignore")
+            arrays = [pa.array(texts, pa.string()) if f.name == "text" else batch.column(j) for j, f in enumerate(batch.schema)]
+            kept = [j for j, f in enumerate(batch.schema) if f.name != held]
+            yield pa.RecordBatch.from_arrays([arrays[j] for j in kept], [batch.schema.field(j).name for j in kept])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated passage cut out except where it stands first; n_chars, if docs has it,
-    follows. Rows of which no word is left go; rows that had no word stay as they are."""
-    rows, _ = unique_ids(docs)
-    found = passages(rows.select(F.col(ROW).alias("doc_id"), "text"))
-    spans = found.groupBy(F.col("doc_id").alias(ROW)).agg(F.collect_set(F.struct("start_word", "end_word")).alias("__spans"))
-    joined = rows.join(spans, ROW, "left")
-    schema = joined.drop("__spans").schema
-    out = joined.select(*schema.names, "__spans").transform(arrow_map, _without, schema)
+    follows. Rows of which no word is left go; null and empty texts and those that had no word stay as they
+    are. Of repeated rows the first keeps its text; long texts are cut like others; an empty table stays
+    empty. Columns are those of docs, whatever they are called."""
+    rows, _, row = unique_ids(docs)
+    held, was_cut = free(docs, "__spans"), free(docs, "__cut")
+    found = passages(rows.select(F.col(row).alias("doc_id"), "text"))
+    spans = found.groupBy(F.col("doc_id").alias(row)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(held))
+    joined = rows.join(spans, row, "left")
+    schema = joined.drop(held).schema
+    out = joined.select(*schema.names, held).transform(arrow_map, _without(held), schema)
     some = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")) > 0
-    cut_rows = spans.select(ROW, F.lit(True).alias("__cut"))
-    out = out.join(cut_rows, ROW, "left").where(F.col("__cut").isNull() | some)
+    cut_rows = spans.select(row, F.lit(True).alias(was_cut))
+    out = out.join(cut_rows, row, "left").where(F.col(was_cut).isNull() | some)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(was_cut), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

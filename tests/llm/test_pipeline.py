@@ -47,4 +47,22 @@ def test_stages_equal_brute_force(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    from sparkloom.llm.decontaminate import keep_clean
+    from sparkloom.llm.jaccard_join import keep_one
+    from sparkloom.llm.substring_dedup import remove_repeats
+
+    passage = " ".join(f"word{i}" for i in range(70))
+    rows = [(1, f"one {passage} {' '.join(f'own{i}' for i in range(60))}", 77, "a", "b", 5), (2, f"{' '.join(f'other{i}' for i in range(60))} {passage}", 88, "c", "d", 6), (3, None, 99, None, None, None), (4, "", 11, "e", "f", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row int, __spans string, __CUT string, __row_ int")
+    items = spark.createDataFrame([(1, "nothing of it")], "item_id long, text string")
+    for stage in (keep_one, lambda x: keep_clean(x, items), remove_repeats):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert {(r["doc_id"], r["__row"], r["__spans"], r["__CUT"], r["__row_"]) for r in out.collect()} == {(i, n, s, c, m) for i, _, n, s, c, m in rows}
+        repeated = stage(docs.unionAll(docs.where("doc_id = 4")))
+        assert repeated.columns == docs.columns and {r["__row"] for r in repeated.collect()} == {77, 88, 99, 11}
+        assert stage(docs.limit(0)).collect() == []
