@@ -17,7 +17,7 @@ from sparkloom.functions.text import index_tokens, query_terms
 from sparkloom.operators.graph import settled
 from sparkloom.operators.lexical import IDF_FLOOR, K1, B
 
-BLOCK, PARTS, SEEDS = 128, 32, 4
+BLOCK, PARTS, SEEDS = 128, 16, 4
 _FIELD = 1 << 32  # places of field i begin at i * _FIELD
 #: Scores are rounded, and bounds are sums in another order: a little slack.
 _REACHES = "floor IS NULL OR bound * (1 + 1e-9) + 1e-9 >= floor"
@@ -60,7 +60,7 @@ def build(rows: DataFrame, id_col: str, fields: dict[str, float], path: str) ->
     dealt = each.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).groupBy("term", "block")
     table = dealt.agg(F.collect_list(entry).alias("entries"), F.count("*").alias("n"), F.max(_share(F.col("tf"), F.col("length"), stats["mean"] or 1.0)).alias("best"))
     table = table.withColumn("part", _part("term"))
-    table.repartition("part", (F.col("block") % 8)).sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    table.repartition("part", (F.col("block") % 4)).sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     spark = rows.sparkSession
     meta = spark.range(1).select(F.lit(stats["rows"]).alias("rows"), F.lit(float(stats["mean"])).alias("mean"), F.lit(id_col).alias("id_col"), F.array(*[F.lit(float(w)) for w in fields.values()]).alias("weights"))
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")  # last: an index without it is not whole

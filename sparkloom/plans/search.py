@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.catalog import query
 from sparkloom.functions.text import evidence_quote, has_marker, index_tokens, query_terms, whitespace_terms
 from sparkloom.operators import evaluation, index
-from sparkloom.operators.graph import scratch
+from sparkloom.operators.graph import scratch, settled
 from sparkloom.operators.lexical import bm25, diversified, fused, ranked, term_overlap
 from sparkloom.operators.retrieval import FIELDS, WEIGHTS, active_versions, hybrid_search, of_active_version, visible
 from sparkloom.plans.overlay import CHUNKS_SQL, DOCS_SQL, VECTORS_SQL, chunks, documents, table, with_vectors
@@ -67,7 +67,7 @@ def _diversified(hits: str, k: int) -> str:
 _OPENING = r"array_to_string(string_split(trim(regexp_replace(lower({}), '\s+', ' ', 'g')), ' ')[1:24], ' ')"
 
 
-def _hybrid_sql(dense: bool) -> str:
+def _hybrid_ctes(dense: bool) -> str:
     wv, wl, wm, wr = WEIGHTS["dense" if dense else "hash"]
     cos = "round(coalesce(list_cosine_similarity(qv.vector, cv.vector), 0), 9)"
     near = f"""near AS (SELECT item_id AS query_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY {cos} DESC, chunk_id) AS rank FROM vis, benchmark, nvec, vec cv, vec qv WHERE cv.slot = (vis.doc_id * 7 + vis.idx) % n AND qv.slot = (item_id * 3 + 1) % n QUALIFY rank <= 24),"""
@@ -83,7 +83,11 @@ def _hybrid_sql(dense: bool) -> str:
     norm AS (SELECT *, lexical / greatest(max(lexical) OVER (PARTITION BY query_id), 1e-12) AS nl, greatest(coalesce((SELECT max(overlap) FROM met WHERE met.query_id = allb.query_id), 0), 1) AS top FROM allb),
     rr AS (SELECT *, round({wv} * cos + {wl} * nl + {wm} * metadata / top + {wr} * 60 * rrf, 9) AS rerank FROM norm),
     hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) AS pos, {_OPENING.format("chunk_text")} AS opening, source_id || '/' || CAST(page AS VARCHAR) AS grp FROM rr),
-    {_diversified("hits", 6)}
+    {_diversified("hits", 6)}"""
+
+
+def _hybrid_sql(dense: bool) -> str:
+    return f"""{_hybrid_ctes(dense)}
     SELECT query_id, place AS rank, chunk_id, round(cos, 6) AS vector, round(nl, 6) AS lexical, metadata, round(rrf, 6) AS rrf, round(rerank, 6) AS rerank FROM placed JOIN hits USING (query_id, pos)"""
 
 
@@ -194,11 +198,19 @@ def quote_verified(spark, d):
     q = table(spark, d, "benchmark").select("item_id", norm(F.col("text")).alias("quote")).withColumn("w", opening(F.col("quote")))
     # the quote's second to fifth words stand whole in any text that holds it
     q = q.withColumn("key", F.when(F.size("w") >= 6, F.xxhash64(F.slice("w", 2, 4))))
-    n = table(spark, d, "documents").select("doc_id", norm(F.col("text")).alias("t")).withColumn("w", opening(F.col("t")))
-    keys = n.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.when(F.size("w") >= 4, F.sequence(F.lit(1), F.size("w") - 3)), lambda i: F.xxhash64(F.slice("w", i, 4))))).alias("key"))
-    hit = keys.join(F.broadcast(q.select("item_id", "quote", "key")), "key").where(F.contains("t", F.col("quote"))).select("item_id", "doc_id").distinct()
-    short = q.where("key IS NULL").select("item_id", "quote")
-    return hit.unionAll(n.join(F.broadcast(short), F.contains(n.t, short.quote)).select("item_id", "doc_id"))
+    n = table(spark, d, "documents").select("doc_id", norm(F.col("text")).alias("t"))
+    w = n.select("doc_id", opening(F.col("t")).alias("w"))
+    hashes = F.transform(F.when(F.size("w") >= 4, F.sequence(F.lit(1), F.size("w") - 3)), lambda i: F.xxhash64(F.slice("w", i, 4)))
+    keys = w.select("doc_id", F.explode(F.array_distinct(hashes)).alias("key"))
+    # texts are met again only where a key is shared
+    pairs = keys.join(q.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
+    hit = pairs.join(n, "doc_id").join(q.select("item_id", "quote"), "item_id").where(F.contains("t", F.col("quote"))).select("item_id", "doc_id")
+    short = q.where("key IS NULL").select("item_id", "quote", F.explode(F.array_distinct(F.filter("w", lambda x: F.length(x) > 0))).alias("word"))
+    # a short quote has its longest word in common with a word of the text, which may go on before and after it
+    longest = short.groupBy("item_id", "quote").agg(F.max_by("word", F.struct(F.length("word"), "word")).alias("word"))
+    words = w.select("doc_id", F.explode(F.array_distinct("w")).alias("text_word"))
+    near = words.join(longest, F.contains("text_word", F.col("word"))).select("item_id", "doc_id", "quote").distinct()
+    return hit.unionAll(near.join(n, "doc_id").where(F.contains("t", F.col("quote"))).select("item_id", "doc_id"))
 
 
 @query(
@@ -266,23 +278,25 @@ def diversified_topk(spark, d):
 
 @query(
     "query_coverage_gate",
-    f"""WITH {_QTERMS}, ev AS (SELECT doc_id, text FROM documents QUALIFY row_number() OVER (ORDER BY n_chars DESC, doc_id) <= 5), et AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM ev),
-    qt AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM benchmark) WHERE length(t) > 1),
-    c AS (SELECT item_id, round(count(et.t) / count(*), 6) AS coverage FROM qt LEFT JOIN et USING (t) GROUP BY 1)
-    SELECT item_id, coverage, round(least(1.0, 0.65 * 0.5 + 0.35 * coverage), 6) AS confidence, coverage >= 0.25 AS sufficient FROM c""",
+    f"""{_hybrid_ctes(True)}, fin AS (SELECT query_id, chunk_id, rerank, chunk_text FROM placed JOIN hits USING (query_id, pos)),
+    ev AS (SELECT query_id, unnest(regexp_extract_all(lower(chunk_text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rerank, 6) DESC, chunk_id) AS n FROM fin) WHERE n <= 5),
+    et AS (SELECT DISTINCT query_id, t FROM ev WHERE length(t) > 1), qt AS (SELECT DISTINCT query_id, t FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS t FROM benchmark) WHERE length(t) > 1),
+    c AS (SELECT qt.query_id, count(et.t) / count(*) AS coverage FROM qt LEFT JOIN et ON et.query_id = qt.query_id AND et.t = qt.t GROUP BY 1), bst AS (SELECT query_id, max(round(rerank, 6)) AS best FROM fin GROUP BY 1),
+    a AS (SELECT item_id, coalesce(best, 0.0) AS best, coalesce(coverage, 0.0) AS coverage FROM benchmark LEFT JOIN bst ON bst.query_id = item_id LEFT JOIN c ON c.query_id = item_id)
+    SELECT item_id, round(best, 6) AS best, round(coverage, 6) AS coverage, round(least(1.0, 0.65 * best + 0.35 * coverage), 6) AS confidence, best >= 0.2 AND coverage >= 0.25 AS sufficient FROM a""",
 )
 def query_coverage_gate(spark, d):
-    from sparkloom.functions.text import long_terms
+    """Each benchmark item against what hybrid search finds for it."""
+    from sparkloom.operators.orchestrate import gate
 
-    top = table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(5)
-    terms = top.select(F.explode(long_terms(F.col("text"))).alias("t")).distinct().withColumn("there", F.lit(1))
-    asked = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(long_terms(F.col("text")))).alias("t"))
-    c = asked.join(terms, "t", "left").groupBy("item_id").agg(F.round(F.count("there") / F.count("*"), 6).alias("coverage"))
-    return c.select("item_id", "coverage", F.round(F.least(F.lit(1.0), 0.65 * 0.5 + 0.35 * F.col("coverage")), 6).alias("confidence"), (F.col("coverage") >= 0.25).alias("sufficient"))
+    chunks, queries = _with_vectors(spark, d)
+    hits = settled(hybrid_search(chunks, queries, 6, ["group:a"], "dense").select("query_id", "chunk_id", "rerank"))
+    g = gate(hits, chunks, queries)
+    return g.select(F.col("query_id").alias("item_id"), F.round("best", 6).alias("best"), F.round("coverage", 6).alias("coverage"), F.round("confidence", 6).alias("confidence"), "sufficient")
 
 
-_EVAL = """rel AS (SELECT item_id AS query_id, source AS source_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
-res AS (SELECT item_id AS query_id, source AS source_id, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 31 + item_id) % 97, doc_id) AS rank FROM benchmark, documents WHERE doc_id % 10 = item_id % 10 QUALIFY rank <= 5)"""
+_EVAL = f"""{CHUNKS_SQL}, {_QTERMS}, {_INDEX}, rel AS (SELECT item_id AS query_id, source AS source_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
+res AS (SELECT query_id, source_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm JOIN chunks USING (chunk_id) QUALIFY rank <= 5)"""
 
 
 @query(
@@ -312,10 +326,10 @@ def _golden(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     found = quote_plain(spark, d)
     relevant = found.join(docs.select("doc_id", F.col("source").alias("source_id")), "doc_id").select(F.col("item_id").alias("query_id"), "source_id").distinct()
-    items = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 10).alias("m"))
-    pool = docs.select("doc_id", "source", (F.col("doc_id") % 10).alias("m")).join(F.broadcast(items), "m")
-    w = Window.partitionBy("item_id").orderBy((F.col("doc_id") * 31 + F.col("item_id")) % 97, "doc_id")
-    results = pool.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select(F.col("item_id").alias("query_id"), F.col("source").alias("source_id"), "rank")
+    c = _chunks(spark, d)
+    built = index.build(c, "chunk_id", FIELDS, scratch(spark))
+    found = index.search(built, index.phrases(_queries(spark, d)), 5).withColumnRenamed("id", "chunk_id")
+    results = found.join(c.select("chunk_id", "source_id"), "chunk_id").select("query_id", "source_id", "rank")
     return relevant, results
 
 

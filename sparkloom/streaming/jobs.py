@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.graph import scratch
+
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """A Parquet file or folder as a stream of its files."""
@@ -59,8 +60,14 @@ def compacted(messages: DataFrame, keep: int, longest: int) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what its source holds now and return the rows of a memory sink."""
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over what its source holds now; its batches' rows, written to the shared folder, each batch
+    in a folder of its own that a repeated run of it replaces. Of a stream in complete mode the last batch is
+    the result."""
+    root = scratch(stream.sparkSession)
+
+    def keep(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{root}/out/_batch={batch}" if mode != "complete" else f"{root}/out")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
