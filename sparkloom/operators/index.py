@@ -62,7 +62,7 @@ def build(rows: DataFrame, id_col: str, fields: dict[str, float], path: str) ->
     table = table.withColumn("part", _part("term"))
     table.repartition("part", (F.col("block") % 4)).sortWithinPartitions("term").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
     spark = rows.sparkSession
-    meta = spark.range(1).select(F.lit(stats["rows"]).alias("rows"), F.lit(float(stats["mean"])).alias("mean"), F.lit(id_col).alias("id_col"), F.array(*[F.lit(float(w)) for w in fields.values()]).alias("weights"))
+    meta = spark.range(1).select(F.lit(stats["rows"]).alias("rows"), F.lit(float(stats["mean"])).alias("mean"), F.lit(id_col).alias("id_col"), F.array(*[F.lit(float(w)) for w in fields.values()]).alias("weights"), F.lit(rows.schema[id_col].dataType.simpleString()).alias("id_type"))
     meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")  # last: an index without it is not whole
     return opened(spark, path)
 
@@ -73,11 +73,8 @@ def _placed(i: int, weight: float):
 
 def opened(spark, path: str) -> Index:
     m = spark.read.parquet(f"{path}/meta").first()
-    return Index(path, m["id_col"], tuple(m["weights"]), m["rows"], m["mean"] or 1.0, spark.read.schema(_schema(spark, path)).parquet(f"{path}/postings"))
-
-
-def _schema(spark, path: str):
-    return spark.read.parquet(f"{path}/postings").schema
+    schema = f"term string, block bigint, entries array<struct<id: {m['id_type']}, tf: double, length: int, places: array<bigint>>>, n bigint, best double, part int"
+    return Index(path, m["id_col"], tuple(m["weights"]), m["rows"], m["mean"] or 1.0, spark.read.schema(schema).parquet(f"{path}/postings"))
 
 
 def ensured(rows: DataFrame, id_col: str, fields: dict[str, float], path: str) -> Index:

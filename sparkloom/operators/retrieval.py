@@ -78,7 +78,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 6, princip
     With a list of `warnings` each branch is run by itself: one that fails is left out and named in the list,
     the index giving way to terms shared with the text; if all fail, RuntimeError."""
     spark, limit, keys = chunks.sparkSession, max(4 * top_k, 20), ["query_id", "chunk_id"]
-    allowed = visible(chunks, principals=principals)
+    allowed = visible(chunks if "page" in chunks.columns else chunks.withColumn("page", F.lit(None).cast("int")), principals=principals)
     none = F.lit(None).cast("double")
     columns = [*keys, "rank", "lexical", "shared"]
 
