@@ -70,7 +70,9 @@ _OPENING = r"array_to_string(string_split(trim(regexp_replace(lower({}), '\s+',
 def _hybrid_ctes(dense: bool) -> str:
     wv, wl, wm, wr = WEIGHTS["dense" if dense else "hash"]
     cos = "round(coalesce(list_cosine_similarity(qv.vector, cv.vector), 0), 9)"
-    near = f"""near AS (SELECT item_id AS query_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY {cos} DESC, chunk_id) AS rank FROM vis, benchmark, nvec, vec cv, vec qv WHERE cv.slot = (vis.doc_id * 7 + vis.idx) % n AND qv.slot = (item_id * 3 + 1) % n QUALIFY rank <= 24),"""
+    near = f"""cvec AS (SELECT chunk_id, vector FROM (SELECT chunk_id, (doc_id * 7 + idx) % (SELECT n FROM nvec) AS slot FROM vis) JOIN vec USING (slot)),
+    qvec AS (SELECT query_id, vector FROM (SELECT item_id AS query_id, (item_id * 3 + 1) % (SELECT n FROM nvec) AS slot FROM benchmark) JOIN vec USING (slot)),
+    near AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {cos} AS cos FROM cvec cv, qvec qv) QUALIFY rank <= 24),"""
     return f"""WITH RECURSIVE {CHUNKS_SQL}, {VECTORS_SQL}, {_QTERMS}, {_INDEX},
     vis AS (SELECT * FROM rows_ WHERE len(acl) = 0 OR list_has_any(acl, ['group:a'])),
     lex AS (SELECT * FROM (SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm SEMI JOIN vis USING (chunk_id)) WHERE rank <= 24 AND score > 0),
@@ -79,7 +81,7 @@ def _hybrid_ctes(dense: bool) -> str:
     met AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, chunk_id) AS rank FROM mov WHERE overlap > 0) WHERE rank <= 24), {near}
     rrf AS (SELECT query_id, chunk_id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT query_id, chunk_id, rank FROM lex UNION ALL SELECT query_id, chunk_id, rank FROM met{" UNION ALL SELECT * FROM near" if dense else ""}) GROUP BY 1, 2),
     allb AS (SELECT query_id, rrf.chunk_id, rrf, coalesce(lex.score, 0.0) AS lexical, coalesce(mov.overlap, 0) AS metadata, vis.source_id, vis.page, chunk_text, {cos} AS cos
-      FROM rrf JOIN vis USING (chunk_id) LEFT JOIN lex USING (query_id, chunk_id) LEFT JOIN mov USING (query_id, chunk_id), nvec, vec cv, vec qv WHERE cv.slot = (vis.doc_id * 7 + vis.idx) % n AND qv.slot = (query_id * 3 + 1) % n),
+      FROM rrf JOIN vis USING (chunk_id) LEFT JOIN lex USING (query_id, chunk_id) LEFT JOIN mov USING (query_id, chunk_id) JOIN cvec cv USING (chunk_id) JOIN qvec qv USING (query_id)),
     norm AS (SELECT *, lexical / greatest(max(lexical) OVER (PARTITION BY query_id), 1e-12) AS nl, greatest(coalesce((SELECT max(overlap) FROM met WHERE met.query_id = allb.query_id), 0), 1) AS top FROM allb),
     rr AS (SELECT *, round({wv} * cos + {wl} * nl + {wm} * metadata / top + {wr} * 60 * rrf, 9) AS rerank FROM norm),
     hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, chunk_id) AS pos, {_OPENING.format("chunk_text")} AS opening, source_id || '/' || CAST(page AS VARCHAR) AS grp FROM rr),
