@@ -337,7 +337,7 @@ def test_empty_tables(spark):
 
 def test_rows_get_ids_of_their_own_only_if_needed(spark):
     assert unique_ids(frame(spark, [(1, "a"), (2, "b")]))[1]
-    rows, plain = unique_ids(frame(spark, [(2, "a"), (2, "b"), (None, "c"), (1, "d")]))
-    got = [(r["text"], r["__row"]) for r in rows.orderBy("__row").collect()]
+    rows, plain, row = unique_ids(frame(spark, [(2, "a"), (2, "b"), (None, "c"), (1, "d")]))
+    got = [(r["text"], r[row]) for r in rows.orderBy(row).collect()]
     assert not plain and [t for t, _ in got][0] == "d" and [t for t, _ in got][-1] == "c" and len({i for _, i in got}) == 4
     assert zlib.crc32(b"1") % 5 in range(5)
