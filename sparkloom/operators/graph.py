@@ -120,6 +120,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+SMALL = 200_000
+
+
+def held_in(rows: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """rows joined with keys on a column. Keys (for a semi join the distinct ones) are written and counted first:
+    SMALL at most are broadcast, so that wide rows stay where they are; more are joined."""
+    few = settled(keys.select(on).distinct() if how == "left_semi" else keys)
+    return rows.join(F.broadcast(few) if few.count() <= SMALL else few, on, how)
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level) of a plan calls(call_id, depends_on): 0 without dependencies, else one more than the
     highest of them. Calls on a cycle or behind one, and those that wait for a call that is not there, get
