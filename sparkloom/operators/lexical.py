@@ -26,25 +26,14 @@ def bm25(rows: DataFrame, id_col: str, fields: dict[str, float], queries: DataFr
     """(query_id, id, score) for rows that hold a term of queries(query_id, term), all rows being the
     statistics: idf = ln((rows - n + .5) / (n + .5)), floored; length is that of all fields together.
 
-    Queries' distinct terms prune the index before anything is aggregated."""
-    toks = rows.select(id_col, *[index_tokens(F.col(f)).alias(f"t{i}") for i, f in enumerate(fields)])
-    lengths = toks.select(id_col, sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)).alias("length"))
-    stats = lengths.agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean"))
-    sized = toks.withColumn("length", sum((F.size(f"t{i}") for i in range(len(fields))), F.lit(0)))
-    pairs = F.concat(*[F.transform(f"t{i}", _weighted(w)) for i, w in enumerate(fields.values())])
-    terms = sized.select(id_col, "length", F.explode(pairs).alias("p")).select(id_col, "length", F.col("p.term").alias("term"), F.col("p.w").alias("w"))
-    asked = queries.select("term").distinct()
-    tf = terms.join(asked, "term", "left_semi").groupBy(id_col, "length", "term").agg(F.sum("w").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.ln((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weights = df.crossJoin(F.broadcast(stats)).select("term", "mean", F.when(idf > 0, idf).otherwise(F.lit(IDF_FLOOR)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = queries.select("query_id", "term").join(tf.join(weights, "term"), "term")
-    return scored.groupBy("query_id", id_col).agg(F.sum(part).alias("score"))
-
-
-def _weighted(weight: float):
-    return lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w"))
+    A written index holds each word of a block once, and a block's scores are summed where it lies, so pairs of
+    query and row are made but not shuffled."""
+    from sparkloom.operators import index
+    from sparkloom.operators.graph import scratch
+
+    built = index.build(rows, id_col, fields, scratch(rows.sparkSession))
+    asked = queries.select("query_id", F.col("term").alias("phrase"), F.array("term").alias("tokens"))
+    return index.scores(built, asked).withColumnRenamed("id", id_col)
 
 
 def term_overlap(rows: DataFrame, id_col: str, text: Column, queries: DataFrame) -> DataFrame:
