@@ -50,7 +50,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, digits: int = 9, but_se
     Both sides are dealt to blocks of fixed size, every block of queries meets every block of rows in an
     equi-join on the block's number, and a product is one call; each pair of blocks gives k rows a query."""
     def blocks(df: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
-        whole = df.where("vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)").select(F.col(key), F.col("vector").cast("array<double>").alias("vector"))
+        whole = df.where("vector IS NOT NULL AND size(vector) > 0 AND NOT exists(vector, x -> x IS NULL)").select(F.col(key), "vector")
         count = max(1, -(-whole.count() // size))
         dealt = whole.withColumn("block", F.pmod(F.xxhash64(key), F.lit(count)).cast("int")).groupBy("block", F.size("vector").alias("dim"))
         return dealt.agg(F.collect_list(F.struct(key, "vector")).alias("items")), count

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.text import long_terms
 from sparkloom.operators import index
-from sparkloom.operators.graph import scratch, settled
+from sparkloom.operators.graph import held_in, scratch, settled
 from sparkloom.operators.lexical import ranked
 from sparkloom.operators.planning import plan_variants
 from sparkloom.operators.retrieval import FIELDS, hybrid_search
@@ -24,8 +24,8 @@ def fuse_variants(hits: DataFrame, k: int = 60) -> DataFrame:
 def gate(hits: DataFrame, chunks: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
     """(query_id, best, coverage, confidence, sufficient): the best rerank and the share of the query's
     terms that its first hits hold."""
-    first = ranked(hits, ["query_id"], "rerank", "chunk_id", "place", limit=top)
-    terms = first.join(chunks.select("chunk_id", "chunk_text"), "chunk_id").select("query_id", F.explode(long_terms(F.col("chunk_text"))).alias("t")).distinct()
+    first = settled(ranked(hits, ["query_id"], "rerank", "chunk_id", "place", limit=top))
+    terms = first.join(held_in(chunks.select("chunk_id", "chunk_text"), first, "chunk_id"), "chunk_id").select("query_id", F.explode(long_terms(F.col("chunk_text"))).alias("t")).distinct()
     asked = queries.select("query_id", F.explode(F.array_distinct(long_terms(F.col("text")))).alias("t"))
     cover = asked.join(terms.withColumn("there", F.lit(1)), ["query_id", "t"], "left").groupBy("query_id").agg((F.count("there") / F.count("*")).alias("coverage"))
     best = hits.groupBy("query_id").agg(F.max("rerank").alias("best"))

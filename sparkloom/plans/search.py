@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.catalog import query
 from sparkloom.functions.text import evidence_quote, has_marker, index_tokens, query_terms, whitespace_terms
 from sparkloom.operators import evaluation, index
-from sparkloom.operators.graph import scratch, settled
+from sparkloom.operators.graph import held_in, scratch, settled
 from sparkloom.operators.lexical import bm25, diversified, fused, ranked, term_overlap
 from sparkloom.operators.retrieval import FIELDS, WEIGHTS, active_versions, hybrid_search, of_active_version, visible
 from sparkloom.plans.overlay import CHUNKS_SQL, DOCS_SQL, VECTORS_SQL, chunks, documents, table, with_vectors
@@ -93,23 +93,25 @@ def _hybrid_sql(dense: bool) -> str:
     SELECT query_id, place AS rank, chunk_id, round(cos, 6) AS vector, round(nl, 6) AS lexical, metadata, round(rrf, 6) AS rrf, round(rerank, 6) AS rerank FROM placed JOIN hits USING (query_id, pos)"""
 
 
-def _with_vectors(spark, d):
-    vectors = table(spark, d, "embeddings")
-    return with_vectors(_chunks(spark, d), vectors, F.col("doc_id") * 7 + F.col("idx")), with_vectors(_queries(spark, d), vectors, F.col("query_id") * 3 + 1)
+def _hybrid(spark, d, profile):
+    """Chunks name one of the given vectors, questions have theirs."""
+    table_ = table(spark, d, "embeddings")
+    n = table_.count()
+    chunks = _chunks(spark, d).withColumn("vector_id", F.pmod(F.col("doc_id") * 7 + F.col("idx"), F.lit(n)).cast("long"))
+    queries = with_vectors(_queries(spark, d), table_, F.col("query_id") * 3 + 1)
+    return hybrid_search(chunks, queries, 6, ["group:a"], profile, vectors=table_.select(F.col("vec_id").cast("long").alias("vector_id"), F.col("embedding").alias("vector")))
 
 
 @query("hybrid_search", _hybrid_sql(True))
 def hybrid(spark, d):
     """Vectors, words and metadata; chunks and questions have given vectors."""
-    chunks, queries = _with_vectors(spark, d)
-    return hybrid_search(chunks, queries, 6, ["group:a"], "dense")
+    return _hybrid(spark, d, "dense")
 
 
 @query("hybrid_search_hash", _hybrid_sql(False))
 def hybrid_hash(spark, d):
     """The profile of hashed vectors, which have no branch and no weight."""
-    chunks, queries = _with_vectors(spark, d)
-    return hybrid_search(chunks, queries, 6, ["group:a"], "hash")
+    return _hybrid(spark, d, "hash")
 
 
 @query("bm25_scores", f"WITH {CHUNKS_SQL}, {_QTERMS}, {_INDEX} SELECT query_id, chunk_id, round(score, 6) AS score FROM bm")
@@ -205,8 +207,9 @@ def quote_verified(spark, d):
     hashes = F.transform(F.when(F.size("w") >= 4, F.sequence(F.lit(1), F.size("w") - 3)), lambda i: F.xxhash64(F.slice("w", i, 4)))
     keys = w.select("doc_id", F.explode(F.array_distinct(hashes)).alias("key"))
     # texts are met again only where a key is shared
-    pairs = keys.join(q.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    hit = pairs.join(n, "doc_id").join(q.select("item_id", "quote"), "item_id").where(F.contains("t", F.col("quote"))).select("item_id", "doc_id")
+    asked = settled(q.where("key IS NOT NULL").select("item_id", "key"))
+    pairs = settled(held_in(keys, asked, "key", "inner").select("item_id", "doc_id").distinct())
+    hit = pairs.join(held_in(n, pairs, "doc_id"), "doc_id").join(q.select("item_id", "quote"), "item_id").where(F.contains("t", F.col("quote"))).select("item_id", "doc_id")
     short = q.where("key IS NULL").select("item_id", "quote", F.explode(F.array_distinct(F.filter("w", lambda x: F.length(x) > 0))).alias("word"))
     # a short quote has its longest word in common with a word of the text, which may go on before and after it
     longest = short.groupBy("item_id", "quote").agg(F.max_by("word", F.struct(F.length("word"), "word")).alias("word"))
@@ -291,9 +294,8 @@ def query_coverage_gate(spark, d):
     """Each benchmark item against what hybrid search finds for it."""
     from sparkloom.operators.orchestrate import gate
 
-    chunks, queries = _with_vectors(spark, d)
-    hits = settled(hybrid_search(chunks, queries, 6, ["group:a"], "dense").select("query_id", "chunk_id", "rerank"))
-    g = gate(hits, chunks, queries)
+    hits = settled(_hybrid(spark, d, "dense").select("query_id", "chunk_id", "rerank"))
+    g = gate(hits, _chunks(spark, d), _queries(spark, d))
     return g.select(F.col("query_id").alias("item_id"), F.round("best", 6).alias("best"), F.round("coverage", 6).alias("coverage"), F.round("confidence", 6).alias("confidence"), "sufficient")
 
 
@@ -331,7 +333,8 @@ def _golden(spark, d):
     c = _chunks(spark, d)
     built = index.build(c, "chunk_id", FIELDS, scratch(spark))
     found = index.search(built, index.phrases(_queries(spark, d)), 5).withColumnRenamed("id", "chunk_id")
-    results = found.join(c.select("chunk_id", "source_id"), "chunk_id").select("query_id", "source_id", "rank")
+    found = settled(found)
+    results = found.join(held_in(c.select("chunk_id", "source_id"), found, "chunk_id"), "chunk_id").select("query_id", "source_id", "rank")
     return relevant, results
 
 
