@@ -27,3 +27,15 @@ def test_nearest_equal_a_plain_product(spark, monkeypatch):
 def test_nearest_of_empty_tables(spark):
     none = spark.createDataFrame([], "id long, vector array<float>")
     assert dense.nearest(none, none.withColumnRenamed("id", "query_id"), 3).collect() == []
+
+
+def test_banded_pairs_are_those_that_planes_leave(spark):
+    rng = np.random.default_rng(5)
+    m, planes = rng.standard_normal((60, 8)), rng.standard_normal((2, 6, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    queries = rows.where("id < 9").withColumnRenamed("id", "query_id")
+    signs = np.einsum("bpd,nd->nbp", planes, m) > 0
+    near = ((signs[:, None] != signs[None]).sum(axis=3) <= 1).any(axis=2)
+    got = {(r["query_id"], r["id"]) for r in dense.nearest(rows, queries, 60, but_self=True, planes=planes).collect()}
+    assert got == {(q, i) for q in range(9) for i in range(60) if q != i and near[q, i]} and len(got) > 9
+    assert dense.nearest(rows, queries, 3, planes=planes[:, :, :7]).count() == 0
