@@ -163,7 +163,7 @@ def structural_neighbours(spark, d):
 
     ch = c.select(
         "chunk_id", F.concat_ws("/", "tenant_id", "source_id").alias("source_id"), F.col("version_no").alias("version_id"), F.when(F.col("doc_id") % 4 != 0, F.col("doc_id").cast("string")).alias("parent_id"),
-        F.array(F.concat(F.col("source_id"), F.lit("#"), (F.col("doc_id") % 3).cast("string"))).alias("heading"), F.when(F.col("doc_id") % 5 != 0, F.col("idx")).alias("seq"), counts(words).alias("text_terms"),
+        F.array(F.concat(F.col("source_id"), F.lit("#"), (F.col("doc_id") % 3).cast("string"))).alias("heading"), F.when(F.col("doc_id") % 5 != 0, F.col("idx")).alias("seq"), "chunk_text",
     )
     n = documents(spark, d).count()
     b = table(spark, d, "benchmark")
@@ -171,7 +171,7 @@ def structural_neighbours(spark, d):
     seeds = seeds.select("query_id", "seed_no", F.concat(((F.col("query_id") * 7 + F.col("seed_no") * 13) % n).cast("string"), F.lit(":0000")).alias("chunk_id"), (0.9 - 0.1 * F.col("seed_no")).alias("rerank"))
     seeds = seeds.groupBy("query_id", "chunk_id").agg(F.min("seed_no").alias("seed_no"), F.max("rerank").alias("rerank"))
     w = whitespace_terms(F.col("text"))
-    return neighbours(ch, seeds, b.select(F.col("item_id").alias("query_id"), counts(w).alias("counts"), F.size(w).alias("n")), per_seed=3, most=5)
+    return neighbours(ch, seeds, b.select(F.col("item_id").alias("query_id"), counts(w).alias("counts"), F.size(w).alias("n")), per_seed=3, most=5, text_terms=counts(words))
 
 
 _GRAPH = """ment AS (SELECT 'supplier:' || CAST(s_suppkey AS VARCHAR) AS chunk_id, 'nation:' || CAST(s_nationkey AS VARCHAR) AS entity_id, s_suppkey % 5 <> 0 AS visible, lower(s_name) || ' ' || lower(n_name) AS text, s_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
