@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import evidence_quote
+from sparkloom.functions.text import bound, evidence_quote
 
 DAY = 86_400
 
@@ -47,15 +47,18 @@ def hit_key(chunk_id: Column, source: Column, text: Column) -> Column:
 def citation(source: Column, name: Column, chunk_id: Column, text: Column, page: Column, locator: Column, block_id: Column, terms: Column, score: Column) -> Column:
     """Struct of a citation: its quote holds the first of the terms that is met; a page makes it a place in a
     paged file, else it is a place in a text."""
-    quote = evidence_quote(text, terms)
-    return F.struct(
-        F.concat(F.lit("cit_"), F.substring(F.sha2(F.concat_ws(":", source, chunk_id, quote), 256), 1, 24)).alias("citation_id"),
-        source.alias("source_id"), name.alias("source_name"), chunk_id.alias("chunk_id"), quote.alias("quote"), score.alias("score"),
-        F.struct(
-            F.when(page.isNotNull(), "pdf").otherwise("text").alias("kind"), page.cast("int").alias("page_number"),
-            F.when(page.isNull(), locator).alias("locator"), F.coalesce(block_id, chunk_id).alias("block_id"),
-        ).alias("location"),
-    )
+
+    def cited(quote):
+        return F.struct(
+            F.concat(F.lit("cit_"), F.substring(F.sha2(F.concat_ws(":", source, chunk_id, quote), 256), 1, 24)).alias("citation_id"),
+            source.alias("source_id"), name.alias("source_name"), chunk_id.alias("chunk_id"), quote.alias("quote"), score.alias("score"),
+            F.struct(
+                F.when(page.isNotNull(), "pdf").otherwise("text").alias("kind"), page.cast("int").alias("page_number"),
+                F.when(page.isNull(), locator).alias("locator"), F.coalesce(block_id, chunk_id).alias("block_id"),
+            ).alias("location"),
+        )
+
+    return bound(evidence_quote(text, terms), cited)
 
 
 # Words that open a list of sources.

@@ -23,3 +23,11 @@ def test_neighbours_count_words_of_chunks_taken_only(spark):
     counted = F.when(F.col("text") == "!", F.raise_error(F.lit("not taken")).cast("map<string, int>")).otherwise(F.create_map(F.col("text"), F.lit(1)))
     got = [r["chunk_id"] for r in neighbours(chunks, seeds, terms, 2, 4, counted).orderBy("rank").collect()]
     assert got == ["c002", "c003"]
+
+
+def test_citation_seeks_its_quote_once(spark):
+    df = spark.createDataFrame([("x" * 400 + " Needle", ["absent", "needle"])], "text string, terms array<string>")
+    none = F.lit(None).cast("string")
+    one = df.select(ev.citation(F.lit("s"), F.lit("s"), F.lit("c"), F.col("text"), F.lit(None).cast("int"), none, none, F.col("terms"), F.lit(1.0)).alias("c")).select("c.citation_id", "c.quote")
+    assert planned(one).count("instr(") == 1
+    assert one.first()["quote"].endswith(" Needle")
