@@ -31,3 +31,19 @@ def test_citation_seeks_its_quote_once(spark):
     one = df.select(ev.citation(F.lit("s"), F.lit("s"), F.lit("c"), F.col("text"), F.lit(None).cast("int"), none, none, F.col("terms"), F.lit(1.0)).alias("c")).select("c.citation_id", "c.quote")
     assert planned(one).count("instr(") == 1
     assert one.first()["quote"].endswith(" Needle")
+
+
+def test_relations_follow_within_a_chunk_without_a_window(spark):
+    rows = [("t", 1, "1:0", "Alpha Beta"), ("t", 1, "1:1", "xray yoke xray"), ("t", 2, "2:0", None), ("t", 3, "3:0", "")]
+    _, _, relations = entities.build_graph(spark.createDataFrame(rows, "tenant_id string, doc_id long, chunk_id string, chunk_text string"))
+    assert "Window" not in planned(relations)
+    assert sorted((r["kind"], r["evidence"]) for r in relations.collect()).count(("CO_OCCURS_WITH", "1:1")) == 1
+
+
+def test_an_entitys_key_is_made_once_a_name(spark):
+    df = spark.createDataFrame([("t", 1, "1:0", "Alpha beta ALPHA")], "tenant_id string, doc_id long, chunk_id string, chunk_text string")
+    nodes = entities.build_graph(df)[0]
+    plan = planned(nodes)
+    assert "array_append" not in plan
+    assert plan.index("ArrowEvalPython") < plan.rindex("Aggregate")
+    assert {r["name"] for r in nodes.collect()} == {"ALPHA", "beta"}
