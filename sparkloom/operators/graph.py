@@ -150,25 +150,31 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def reachable(calls: DataFrame) -> DataFrame:
-    """(ancestor, call_id): which calls depend on which, directly or not, at any depth. Each round takes the
-    pairs that are new one edge on, until none are."""
-    edges = settled(calls.select("call_id", F.explode("depends_on").alias("dep")).where("dep IS NOT NULL AND call_id IS NOT NULL").distinct())
-    found = frontier = edges.select(F.col("dep").alias("ancestor"), "call_id")
+    """(ancestor, call_id): which calls depend on which, directly or not, at any depth. Rounds double the depth:
+    pairs within 2**i edges go on by those of exactly 2**i, until none is new."""
+    found = leap = settled(calls.select(F.explode("depends_on").alias("ancestor"), "call_id").where("ancestor IS NOT NULL AND call_id IS NOT NULL").distinct())
     while True:
-        step = frontier.select("ancestor", F.col("call_id").alias("dep")).join(edges, "dep").select("ancestor", "call_id").distinct()
-        frontier = settled(step.join(found, ["ancestor", "call_id"], "left_anti"))
-        if frontier.isEmpty():
+        on = leap.select(F.col("ancestor").alias("via"), "call_id")
+        more = settled(found.select("ancestor", F.col("call_id").alias("via")).join(on, "via").select("ancestor", "call_id").distinct().join(found, ["ancestor", "call_id"], "left_anti"))
+        if more.isEmpty():
             return found
-        found = settled(found.unionAll(frontier))
+        found = found.unionAll(more)
+        leap = settled(leap.select("ancestor", F.col("call_id").alias("via")).join(on, "via").select("ancestor", "call_id").distinct())
 
 
 def faults(calls: DataFrame) -> DataFrame:
     """(call_id, fault) of what makes a plan invalid: `duplicate` ids, a `missing` dependency, a `cycle` that
     a call is on."""
     ids = calls.groupBy("call_id").agg(F.count("*").alias("n"))
-    missing = calls.select("call_id", F.explode("depends_on").alias("dep")).join(ids.select(F.col("call_id").alias("dep")), "dep", "left_anti")
-    # whoever gets a level is on no cycle, which leaves few calls to follow
-    stuck = calls.join(levels(calls).select("call_id"), "call_id", "left_anti")
+    waits = settled(calls.select("call_id", F.explode_outer("depends_on").alias("dep")))
+    # many may wait for the same missing call: it is looked up once
+    gone = settled(waits.select("dep").distinct().join(ids.select(F.col("call_id").alias("dep")), "dep", "left_anti").where("dep IS NOT NULL"))
+    missing = held_in(waits, gone, "dep")
+    # who waits for it is on a cycle by other dependencies only; whoever gets a level then is on none
+    there = held_in(waits.where("dep IS NOT NULL"), gone, "dep", "left_anti").select("call_id", F.array("dep").alias("depends_on"))
+    there = there.unionAll(waits.select("call_id").distinct().select("call_id", F.array().cast(there.schema["depends_on"].dataType)))
+    plan = settled(there)
+    stuck = plan.join(levels(plan).select("call_id"), "call_id", "left_anti")
     cyclic = reachable(stuck).where("ancestor = call_id")
     return (
         ids.where("n > 1").select("call_id", F.lit("duplicate").alias("fault"))

@@ -47,3 +47,16 @@ def test_an_entitys_key_is_made_once_a_name(spark):
     assert "array_append" not in plan
     assert plan.index("ArrowEvalPython") < plan.rindex("Aggregate")
     assert {r["name"] for r in nodes.collect()} == {"ALPHA", "beta"}
+
+
+def test_reach_doubles_each_round(spark, monkeypatch):
+    taken, settle = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: taken.append(1) or settle(df))
+    chain = spark.createDataFrame([(i, [i - 1] if i else []) for i in range(18)], "call_id long, depends_on array<long>")
+    assert graph.reachable(chain).count() == 18 * 17 // 2
+    assert len(taken) <= 14
+
+
+def test_a_cycle_is_found_though_its_calls_wait_for_a_missing_one(spark):
+    calls = spark.createDataFrame([(1, [2, -1]), (2, [1]), (3, [-1]), (4, None), (5, [5])], "call_id long, depends_on array<long>")
+    assert {tuple(r) for r in graph.faults(calls).collect()} == {(1, "missing"), (3, "missing"), (1, "cycle"), (2, "cycle"), (5, "cycle")}
