@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkloom.catalog import query
-from sparkloom.functions.text import whitespace_terms
+from sparkloom.functions.text import bound, whitespace_terms
 from sparkloom.operators import blocks as bl
 from sparkloom.operators import graph, layout
 from sparkloom.operators.neighbours import neighbours
@@ -121,12 +121,18 @@ def accepted_attempts(spark, d):
     for i, (name, parts) in enumerate(ways, 1):
         part = docs.select("doc", F.lit(i).alias("attempt"), F.lit(name).alias("backend"), parts.alias("b"))
         tried = part if tried is None else tried.unionByName(part)
-    x = F.trim("x")
-    rows = tried.select("doc", "attempt", "backend", F.explode_outer("b").alias("x"))
-    g = rows.groupBy("doc", "attempt", "backend").agg(
-        F.count(F.when(x != "", 1)).alias("blocks"), F.coalesce(F.sum(F.length(x)), F.lit(0)).alias("chars"), F.countDistinct(F.when(x != "", F.trim(F.regexp_replace(F.lower(x), r"\s+", " ")))).alias("distinct"),
-        F.coalesce(F.sum(F.length(x) - F.length(F.replace(x, F.lit("�"), F.lit("")))), F.lit(0)).alias("garbled"),
-    )
+
+    def measured(kept):
+        """Of a document's blocks, joined where they are summed: none leaves its row."""
+        every = F.array_join(kept, "")
+        keys = F.array_distinct(F.transform(F.array_distinct(kept), lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))))
+        return F.struct(
+            F.size(kept).alias("blocks"), F.length(every).alias("chars"), F.size(keys).alias("distinct"),
+            (F.length(every) - F.length(F.replace(every, F.lit("�"), F.lit("")))).alias("garbled"),
+        )
+
+    kept = F.filter(F.transform(F.coalesce("b", F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    g = tried.select("doc", "attempt", "backend", bound(kept, measured).alias("m")).select("doc", "attempt", "backend", "m.*")
     score = 1.0 - F.when(F.col("blocks") == 0, 0.7).otherwise(0.0) - F.least(F.col("garbled") / F.greatest("chars", F.lit(1)) * 5, F.lit(0.3)) - F.least((F.col("blocks") - F.col("distinct")) / F.greatest("blocks", F.lit(1)) * 0.5, F.lit(0.25))
     g = g.withColumn("score", F.round(F.greatest(F.lit(0.0), score - F.when(F.col("chars") < 160, 0.45).otherwise(0.0)), 6))
     return layout.first_accepted(g.select("doc", "attempt", "backend", "score", (F.col("score") >= 0.9).alias("accepted")))

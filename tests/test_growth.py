@@ -60,3 +60,8 @@ def test_reach_doubles_each_round(spark, monkeypatch):
 def test_a_cycle_is_found_though_its_calls_wait_for_a_missing_one(spark):
     calls = spark.createDataFrame([(1, [2, -1]), (2, [1]), (3, [-1]), (4, None), (5, [5])], "call_id long, depends_on array<long>")
     assert {tuple(r) for r in graph.faults(calls).collect()} == {(1, "missing"), (3, "missing"), (1, "cycle"), (2, "cycle"), (5, "cycle")}
+
+
+def test_attempts_are_measured_in_their_rows(spark):
+    plan = planned(catalog.queries()["accepted_attempts"](spark, TINY))
+    assert "Generate" not in plan and "Expand" not in plan
