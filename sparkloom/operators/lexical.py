@@ -37,9 +37,17 @@ def bm25(rows: DataFrame, id_col: str, fields: dict[str, float], queries: DataFr
 
 
 def term_overlap(rows: DataFrame, id_col: str, text: Column, queries: DataFrame) -> DataFrame:
-    """(query_id, id, overlap): sum over terms of the smaller count, of queries(query_id, term, qtf)."""
-    counts = rows.select(id_col, F.explode(whitespace_terms(text)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-    return queries.join(counts, "term").groupBy("query_id", id_col).agg(F.sum(F.least("qtf", "tf")).cast("long").alias("overlap"))
+    """(query_id, id, overlap): sum over terms of the smaller count, of queries(query_id, term, qtf).
+
+    Texts are dealt out by id, once; their words and what they share with queries stay there, and only words that
+    some query has are counted."""
+    from sparkloom.operators.graph import held_in, settled
+
+    queries = settled(queries)
+    dealt = rows.select(id_col, text.alias("_text")).repartition(id_col)
+    asked = held_in(dealt.select(id_col, F.explode(whitespace_terms(F.col("_text"))).alias("term")), queries, "term")
+    counts = asked.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return held_in(counts, queries, "term", "inner").groupBy("query_id", id_col).agg(F.sum(F.least("qtf", "tf")).cast("long").alias("overlap"))
 
 
 def ranked(df: DataFrame, by: list[str], score: str, tie: str, name: str, positive: bool = False, limit: int | None = None) -> DataFrame:

@@ -65,3 +65,11 @@ def test_a_cycle_is_found_though_its_calls_wait_for_a_missing_one(spark):
 def test_attempts_are_measured_in_their_rows(spark):
     plan = planned(catalog.queries()["accepted_attempts"](spark, TINY))
     assert "Generate" not in plan and "Expand" not in plan
+
+
+def test_overlap_is_summed_where_the_texts_lie(spark):
+    rows = spark.createDataFrame([(1, "a a b"), (2, "b c"), (3, None)], "id long, text string")
+    asked = spark.createDataFrame([(7, "a", 3), (7, "b", 1), (8, "c", 1)], "query_id long, term string, qtf long")
+    df = lexical.term_overlap(rows, "id", F.col("text"), asked)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in df.collect()} == {(7, 1, 3), (7, 2, 1), (8, 2, 1)}
