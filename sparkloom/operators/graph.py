@@ -18,14 +18,16 @@ _LOCAL: list[str] = []
 def expand(seeds: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """(seed, node, hop, parent): nodes within `hops` of a seed over edges(src, dst) taken either way,
     each with the fewest hops and, among equals, the smallest parent. Edges must be those the caller
-    may see. One equi-join a hop; nodes met before are left out of the next frontier."""
-    both = either_end(edges.select("src", "dst").distinct(), "src", "dst").distinct()
+    may see, repeated ones once or more. One equi-join a hop; nodes met before are left out of the next frontier,
+    which is written, so that a hop is computed once."""
+    both = either_end(edges.select("src", "dst"), "src", "dst")
     found = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), F.lit(None).cast(dict(seeds.dtypes)["seed"]).alias("parent"))
     frontier = found
     for h in range(1, hops + 1):
-        step = frontier.select("seed", F.col("node").alias("parent")).join(both, F.col("parent") == both["node"]).select("seed", "parent", F.col("other").alias("node"))
+        step = held_in(both.withColumnRenamed("node", "parent"), frontier.select("seed", F.col("node").alias("parent")), "parent", "inner").select("seed", "parent", F.col("other").alias("node"))
         step = step.groupBy("seed", "node").agg(F.min("parent").alias("parent"))
         frontier = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(h).alias("hop"), "parent")
+        frontier = settled(frontier) if h < hops else frontier
         found = found.unionAll(frontier)
     return found
 

@@ -73,3 +73,12 @@ def test_overlap_is_summed_where_the_texts_lie(spark):
     df = lexical.term_overlap(rows, "id", F.col("text"), asked)
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {tuple(r) for r in df.collect()} == {(7, 1, 3), (7, 2, 1), (8, 2, 1)}
+
+
+def test_expansion_groups_once_a_hop_and_writes_what_goes_on(spark, monkeypatch):
+    taken, settle = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: taken.append(1) or settle(df))
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("c", "b"), ("c", "d")], "src string, dst string")
+    df = graph.expand(spark.createDataFrame([("a",)], "seed string"), edges, 2)
+    assert taken and planned(df).count("Aggregate") == 1
+    assert {tuple(r) for r in df.collect()} == {("a", "a", 0, None), ("a", "b", 1, "a"), ("a", "c", 2, "b")}
