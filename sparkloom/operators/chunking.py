@@ -8,6 +8,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _WORD, _MARK = re.compile(r"[A-Za-z0-9_]+|[^\x00-\x7F]"), re.compile(r"[^\w\s]")
 
@@ -101,14 +102,21 @@ def parent_child(rows: list[tuple[str, str]], target: int, most: int, overlap: i
 
 
 def parent_child_chunks(blocks: DataFrame, by: str, order: str, text: str, kind: str, target: int = 500, most: int = 650, overlap: int = 60) -> DataFrame:
-    """(by, idx, section, kind, chunk) of blocks; one Arrow group a document bounds the work."""
-
-    def run(key, table):
-        rows = sorted(zip(table.column(order).to_pylist(), table.column(kind).to_pylist(), table.column(text).to_pylist(), strict=True))
-        got = parent_child([(k, t or "") for _, k, t in rows], target, most, overlap)
-        cols = {by: pa.array([key[0].as_py()] * len(got), table.schema.field(by).type), "idx": pa.array(range(len(got)), pa.int64())}
-        for i, (name, type_) in enumerate((("section", pa.int64()), ("kind", pa.string()), ("chunk", pa.string()))):
-            cols[name] = pa.array([g[i] for g in got], type_)
-        return pa.table(cols)
-
-    return blocks.select(by, order, text, kind).groupBy(by).applyInArrow(run, f"{by} {dict(blocks.dtypes)[by]}, idx long, section long, kind string, chunk string")
+    """(by, idx, section, kind, chunk) of blocks; a document's blocks are one row, which bounds the work."""
+    fields = [pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            ids, rows = batch.column(0), batch.column(1)
+            for lo in range(0, len(batch), 256):
+                of, out = [], []
+                for i in range(lo, min(lo + 256, len(batch))):
+                    got = parent_child([(r["kind"], r["text"] or "") for r in rows[i].as_py()], target, most, overlap)
+                    of += [i] * len(got)
+                    out += [(at, *g) for at, g in enumerate(got)]
+                cols = list(zip(*out, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(of, pa.int64())), *(pa.array(x, t) for x, t in zip(cols, fields, strict=True))], [by, "idx", "section", "kind", "chunk"])
+
+    one = F.struct(F.col(order).alias("at"), F.col(kind).alias("kind"), F.col(text).alias("text"))
+    held = blocks.groupBy(by).agg(F.sort_array(F.collect_list(one)).alias("rows"))
+    return held.select(by, F.transform("rows", lambda r: F.struct(r["kind"].alias("kind"), r["text"].alias("text"))).alias("rows")).mapInArrow(run, f"{by} {dict(blocks.dtypes)[by]}, idx long, section long, kind string, chunk string")

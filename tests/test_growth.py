@@ -82,3 +82,10 @@ def test_expansion_groups_once_a_hop_and_writes_what_goes_on(spark, monkeypatch)
     df = graph.expand(spark.createDataFrame([("a",)], "seed string"), edges, 2)
     assert taken and planned(df).count("Aggregate") == 1
     assert {tuple(r) for r in df.collect()} == {("a", "a", 0, None), ("a", "b", 1, "a"), ("a", "c", 2, "b")}
+
+
+def test_blocks_of_documents_come_in_batches_not_a_group_each(spark):
+    rows = [(1, 1, "heading", "Head"), (1, 2, "paragraph", "some words"), (2, 1, "paragraph", None), (3, 2, "paragraph", "b"), (3, 1, "paragraph", "a")]
+    df = chunking.parent_child_chunks(spark.createDataFrame(rows, "doc long, pos int, kind string, text string"), "doc", "pos", "text", "kind", 20, 24, 4)
+    assert "FlatMapGroups" not in planned(df)
+    assert {tuple(r) for r in df.collect()} == {(1, 0, 1, "text", "Head\nsome words"), (3, 0, 0, "text", "a\n\nb")}
