@@ -19,6 +19,8 @@ to IDENTITY are kept; a chain over words that don't match is parted there and ev
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +35,7 @@ MIN_WORDS, IDENTITY = 50, 0.8
 SPANS = (20, MIN_WORDS)
 RESUME = 4  # words that must agree where an alignment changes its diagonal
 HOT = 2000  # pairs with one reference that one task aligns
+SLICES = 2  # of the texts with a reference, aligned one after the other: words of one slice are shuffled at a time
 LAYOUT = 1 << 19  # words that are compared at once
 GAP, MARGIN = 0.15, 24  # cost of a word between seeds; words that may outweigh those that agree where an alignment goes on
 BITS = 25
@@ -587,10 +590,10 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
     )
     drop(linked, own)
 
-    def aligned(chains, margin):
-        wanted = chains.select("doc").unionAll(chains.select("ref")).distinct()
-        asked = spark.sparkContext.broadcast(bitmap(wanted, "doc"))
-        texts = docs.select("doc_id", "text", row_slot("doc_id").alias("slot")).transform(arrow_map, _word_rows(asked), "doc long, words binary")
+    def aligned(chains, margin, among=docs):
+        def texts(rows, column):
+            asked = spark.sparkContext.broadcast(bitmap(chains.select(column).distinct(), column))
+            return rows.select("doc_id", "text", row_slot("doc_id").alias("slot")).transform(arrow_map, _word_rows(asked), "doc long, words binary")
 
         def side(start, end, name):
             begin = F.greatest(F.array_min(start) - margin, F.lit(0)).cast("int")
@@ -601,13 +604,20 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
         # a reference of many texts is dealt to several tasks
         salts = chains.groupBy("ref").count().where(F.col("count") > HOT).select("ref", F.ceil(F.col("count") / HOT).cast("int").alias("salts"))
         dealt = chains.join(salts, "ref", "left").withColumn("salt", F.pmod(F.xxhash64("doc"), F.coalesce("salts", F.lit(1))).cast("int"))
-        spread = texts.toDF("ref", "words").join(salts, "ref", "left")
+        spread = texts(docs, "ref").toDF("ref", "words").join(salts, "ref", "left")
         spread = spread.select("ref", "words", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-        sides = dealt.join(texts, "doc").select(*one, "salt", *side("s", "e", "a"))
+        sides = dealt.join(texts(among, "doc"), "doc").select(*one, "salt", *side("s", "e", "a"))
         sides = sides.join(spread, ["ref", "salt"]).select(*one, "a0", "na", "a", *side("rs", "re", "b"))
         return sides.transform(arrow_map, _aligned(min_words, identity), ", ".join(f"{c} long" for c in _FOUND))
 
-    found = cut(aligned(chains, max(MARGIN, min_words + WINDOW + K)))
+    def part(rows, column, i):  # other bits than salts and bitmaps take
+        return rows.where(F.pmod(F.shiftright(F.xxhash64(column), 40), F.lit(SLICES)) == i)
+
+    parts = []
+    for i in range(SLICES):
+        parts.append(cut(aligned(part(chains, "doc", i), max(MARGIN, min_words + WINDOW + K), part(docs, "doc_id", i))))
+        drop()  # what the slice has shuffled
+    found = reduce(DataFrame.unionAll, parts)
     far = found.where("start_word IS NULL").select(F.col("doc_id").alias("doc"), F.col("ref_id").alias("ref"))
     again = cut(chains.join(far, ["doc", "ref"], "left_semi"))
     drop(chains)

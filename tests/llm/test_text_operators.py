@@ -313,6 +313,23 @@ def test_changed_passages_reach_the_recall_that_is_stated(spark):
         assert sum(d in found for d in of) >= 0.9 * len(of), (share, sum(d in found for d in of), len(of))
 
 
+def test_texts_are_aligned_in_slices(spark, monkeypatch):
+    rng = random.Random(21)
+    texts = [sentence(rng, 80, 5000) for _ in range(12)]
+    docs = [(i, t) for i, t in enumerate(texts + texts)]
+    slices, cut = [], substring_dedup.cut
+
+    def noted(df):
+        if df.columns == substring_dedup._FOUND:
+            slices.append({r["doc_id"] for r in df.collect()})
+        return cut(df)
+
+    monkeypatch.setattr(substring_dedup, "cut", noted)
+    found = {(r["doc_id"], r["ref_id"]) for r in substring_dedup.repeated_passages(frame(spark, docs)).collect()}
+    assert found == {(i + 12, i) for i in range(12)}
+    assert len(slices) > 1 and all(slices) and sum(map(len, slices)) == 12
+
+
 def test_odd_rows_have_no_passages(spark):
     rng = random.Random(9)
     text = sentence(rng, 80, 10**6)
