@@ -18,6 +18,7 @@ from sparkloom.llm import vec
 from sparkloom.llm.store import arrow_map, mix
 
 RANKS = 400  # n-grams of a profile and of a text
+PIECE = 1 << 18  # bytes of text taken at once: their n-grams take some 200 times that
 MARK = 1
 _MAPS: dict[str, np.ndarray] = {}
 
@@ -111,12 +112,12 @@ def _training_rows(batches):
     for batch in batches:
         numbers = np.array([langs.setdefault(x, len(langs)) for x in batch.column(1).to_pylist()], dtype=np.int64)
         data, offsets = vec.text_bytes(batch.column(0))
-        for lo, hi in vec.chunks(offsets):
+        for lo, hi in vec.chunks(offsets, PIECE):
             codes, ends = _symbols(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             rows, grams = _ngrams(codes, ends)
             row, name, n = _counted(numbers[lo:hi][rows], _short(grams))
             held.append(((row << 40) | name, n))
-            if len(held) >= 8:
+            if len(held) >= 32:
                 merge()
                 if len(keys) > 1_000_000:
                     yield from flush()
@@ -197,7 +198,7 @@ def identify(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Dat
         for batch in batches:
             data, offsets = vec.text_bytes(batch.column(at))
             best, score = np.full(len(batch), len(model.langs)), np.zeros(len(batch))
-            for lo, hi in vec.chunks(offsets) if model.langs else ():
+            for lo, hi in vec.chunks(offsets, PIECE) if model.langs else ():
                 distance, has = model.distances(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 best[lo:hi] = np.where(has, distance.argmin(1), len(model.langs))
                 score[lo:hi] = np.where(has, 1 - distance.min(1), 0.0)

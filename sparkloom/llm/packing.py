@@ -34,7 +34,6 @@ END_ID = 2
 _ODD = r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]|<\|"
 #: Within those, what the vocabulary's file splits into words.
 _WORDS = r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+"
-_STATE: dict = {}
 
 
 class Encoder:
@@ -141,9 +140,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def _token_rows(path: str):
     def run(batches):
-        if path not in _STATE:
-            _STATE[path] = Encoder(path)
-        encoder = _STATE[path]
+        encoder = Encoder(path)  # of this task, so that its memory is free when the worker gives that back
         for batch in batches:
             _, offsets = vec.text_bytes(batch.column(1))
             for lo, hi in vec.chunks(offsets):

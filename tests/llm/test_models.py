@@ -1,5 +1,8 @@
+import gc
 import math
 import random
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
@@ -41,6 +44,19 @@ def fold(i, n):
 # language ID
 
 
+def test_memory_of_profiles_does_not_grow_with_a_batch():
+    words = (ENGLISH + GERMAN).split()
+    rng = random.Random(2)
+    texts = pa.array([" ".join(rng.choice(words) for _ in range(1000)) for _ in range(600)])
+    batch = pa.RecordBatch.from_arrays([texts, pa.array(["en"] * len(texts))], ["text", "lang"])
+    language_id._letters()
+    tracemalloc.start()
+    n = sum(sum(out.column(2).to_pylist()) for out in language_id._training_rows([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 6_000_000 and peak < 100_000_000
+
+
 def test_languages_of_held_out_texts(spark):
     rows = corpus() + ODD
     got = language_id.predict_held_out(frame(spark, rows)).collect()
@@ -392,3 +408,19 @@ def test_notices_inside_an_article_go(notice):
     model = html_extract.default_model()
     page = f"<body><header class='top'><p>Site</p></header><article><h1>A title</h1><p>{PROSE}</p>{notice}<p>After. {PROSE}</p></article><footer>&copy; us</footer></body>"
     assert model.extract(page) == f"A title {PROSE.strip()} After. {PROSE.strip()}"
+
+
+def test_a_task_leaves_no_encoder_behind(monkeypatch):
+    made = []
+
+    class Noted(packing.Encoder):
+        def __init__(self, path):
+            super().__init__(path)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(packing, "Encoder", Noted)
+    run = packing._token_rows(packing.tokenizer_path())
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two"])], ["doc_id", "text"])
+    assert [out.num_rows for out in run([batch])] == [1]
+    gc.collect()
+    assert made and not any(x() for x in made)
