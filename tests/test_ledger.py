@@ -1,5 +1,7 @@
 import datetime as dt
+import glob
 
+from sparkloom.plans import lifecycle
 from sparkloom.streaming.ledger import OUTCOME, outcomes, step
 
 TTL = 100
@@ -38,3 +40,23 @@ def test_reservations_expire_as_time_goes_on_and_state_outlives_a_restart(spark,
     got = {(r["call_key"], r["seq"], r["outcome"], r["result"]) for r in spark.read.schema(OUTCOME).parquet(str(tmp_path / "out")).collect()}
     assert {("k1", 1, "reserved", None), ("k2", 2, "reserved", None), ("k2", 3, "completed", "done"), ("k3", 4, "reserved", None), ("k1", 5, "indeterminate", None), ("k2", 6, "completed", "done"), ("k1", None, "expired", None)} <= got
     assert not any(key == "k2" and outcome == "expired" for key, _, outcome, _ in got)
+
+
+def test_a_batch_is_written_by_many_tasks_and_taken_at_once(spark, tmp_path, monkeypatch):
+    rows = [(i, dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=7 * i), i % 3, "view", 50.0 + i % 2, '{"k": 7}') for i in range(800)]
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    events.repartition(6).write.parquet(str(tmp_path / "in/events.parquet"))
+    monkeypatch.setattr(lifecycle, "scratch", lambda _: str(tmp_path / "work"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a task for each file
+    try:
+        got = {r["seq"]: (r["outcome"], r["result"]) for r in lifecycle.idempotency_ledger(spark, str(tmp_path / "in")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    states, wanted = {}, {}
+    for i, ts, user, _, value, _ in rows:
+        op = {3: "complete", 6: "complete", 7: "give_up"}.get(i % 8, "reserve")
+        states[user], *told = step(states.get(user), op, f"w{str(value > 50).lower()}", "f", f"r{i}", int(ts.timestamp() * 1e6), 86_400_000_000)
+        wanted[i] = tuple(told)
+    assert got == wanted
+    assert len(glob.glob(str(tmp_path / "work/requests/*.parquet"))) == 24
+    assert len(glob.glob(str(tmp_path / "work/checkpoint/sources/0/[0-9]*"))) == 4
