@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import vec
-from sparkloom.llm.store import arrow_map, bitmap, cut, drop, free, in_bitmap, row_slot, unique_ids
+from sparkloom.llm.store import arrow_map, bitmap, cut, drop, free, in_bitmap, mix, row_slot, unique_ids
 
 K, WINDOW = 6, 4
 MIN_WORDS, IDENTITY = 50, 0.8
@@ -38,7 +38,10 @@ HOT = 2000  # pairs with one reference that one task aligns
 SLICES = 2  # of the texts with a reference, aligned one after the other: words of one slice are shuffled at a time
 LAYOUT = 1 << 19  # words that are compared at once
 GAP, MARGIN = 0.15, 24  # cost of a word between seeds; words that may outweigh those that agree where an alignment goes on
-BITS = 25
+BITS, BUCKETS = 25, 12  # of the bitmap of seeds that several places have; the first of a slot's bits, by which seeds are counted
+PACKED = 1 << 20  # seeds of a task that are packed at once
+LANES = 1 << 11  # chains whose ends are followed at once
+CELLS = 1 << 18  # words of them that are compared at once
 
 
 def winnow(values: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,7 +63,8 @@ def winnow(values: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarr
         span += step
     whole = np.arange(n) + width <= top
     whole |= (np.arange(n) == begin[rows]) & (counts[rows] < width)
-    chosen = np.unique(best[whole])
+    chosen = best[whole]  # they never fall
+    chosen = chosen[np.concatenate(([True], chosen[1:] != chosen[:-1]))]
     return rows[chosen], chosen - begin[rows[chosen]], values[chosen]
 
 
@@ -75,7 +79,7 @@ def _winnowed(batches):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         data, offsets = vec.text_bytes(batch.column(1))
-        for lo, hi in vec.chunks(offsets):
+        for lo, hi in vec.chunks(offsets, vec.CHUNK >> 2):
             hashes, counts, _, _ = _hashed(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             grams, sizes = vec.shingles(hashes, counts, K)
             enough = counts >= K
@@ -86,24 +90,66 @@ def _winnowed(batches):
 def _again(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """For each key the index of the same key of the same row before it, -1 for the first."""
     before = np.full(len(keys), -1, dtype=np.int64)
-    order = np.lexsort((keys, rows))  # stable: places rise within a key
-    same = (keys[order][1:] == keys[order][:-1]) & (rows[order][1:] == rows[order][:-1])
+    keys = keys ^ mix(rows)
+    order = np.argsort(keys)
+    same = keys[order][1:] == keys[order][:-1]
+    group = np.cumsum(np.concatenate(([0], ~same)))[: len(order)]
+    some = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    order, group = order[some[: len(order)]], group[some[: len(order)]]
+    order = order[np.lexsort((order, group))]  # places rise within a key
+    same = group[1:] == group[:-1]
     before[order[1:][same]] = order[:-1][same]
     return before
 
 
 def _seed_rows(batches):
-    """(seed): every seed of a text once, or twice if it is there more often."""
-    for _, _, _, (rows, _, seeds) in _winnowed(batches):
-        before = _again(rows, seeds)
-        yield pa.RecordBatch.from_arrays([pa.array(seeds[(before < 0) | (before[before] < 0)].view(np.int64))], ["seed"])
+    """(bucket, seeds): some texts' seeds in the order of their slots in the bitmap, packed by the slots' first
+    bits; each once, or twice if it is there more often."""
+
+    def packed(seeds):
+        seeds = np.sort(np.concatenate(seeds))
+        seeds = seeds[np.concatenate((np.ones(min(2, len(seeds)), dtype=bool), seeds[2:] != seeds[:-2]))]
+        at = np.searchsorted(seeds, np.arange(1 << BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKETS))
+        sizes = np.diff(np.append(at, len(seeds)))
+        offsets = np.concatenate(([0], np.cumsum(8 * sizes[sizes > 0]))).astype(np.int32)
+        held = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(seeds)])
+        return pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sizes).astype(np.int32)), held], ["bucket", "seeds"])
+
+    held, n = [], 0
+    for _, _, _, (_, _, seeds) in _winnowed(batches):
+        held.append((seeds << np.uint64(64 - BITS)) | (seeds >> np.uint64(BITS)))
+        n += len(seeds)
+        if n >= PACKED:
+            yield packed(held)
+            held, n = [], 0
+    if n:
+        yield packed(held)
+
+
+def _live_bits(table: pa.Table) -> pa.Table:
+    """The bucket's part of the bitmap of seeds that are there more than once."""
+    column = table.column("seeds").combine_chunks()
+    seeds = np.sort(np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64))
+    slots = seeds[1:][seeds[1:] == seeds[:-1]] >> np.uint64(64 - BITS)
+    flags = np.zeros(1 << (BITS - BUCKETS), dtype=bool)
+    flags[slots & np.uint64(len(flags) - 1)] = True
+    return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+
+def _live_seeds(docs: DataFrame) -> np.ndarray:
+    """Bitmap of the seeds that stand in docs twice or oftener."""
+    found = docs.transform(arrow_map, _seed_rows, "bucket int, seeds binary").groupBy("bucket").applyInArrow(_live_bits, "bucket int, bits binary").toArrow()
+    out = np.zeros((1 << BUCKETS, 1 << (BITS - BUCKETS - 6)), dtype=np.int64)
+    for bucket, bits in zip(found.column("bucket").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[bucket] = np.frombuffer(bits, dtype=np.int64)
+    return out.ravel()
 
 
 def _marked_rows(live, min_words: int):
     """(seed, span0, span1, doc, pos, before) of every place of a live seed: the hashes of the words from
     there on, null where the text ends first or has had them, and the place of the seed before in this
-    text. Seeds inside min_words that repeat in their text word by word are only linked to it: the
-    seed is null, too."""
+    text (-2 where those around it say as much). Seeds inside min_words that repeat in their text word by
+    word are only linked to it: the seed is null, too."""
 
     def run(batches):
         for ids, hashes, counts, (rows, places, seeds) in _winnowed(batches):
@@ -120,6 +166,12 @@ def _marked_rows(live, min_words: int):
                 last = np.concatenate((first[1:], [len(at)])) - 1
                 long = places[at[last]] + K - places[at[first]] >= min_words
                 covered[at] = np.repeat(long, last - first + 1)
+                # of a run only what holds it together: the first and last place of every K words
+                run = np.repeat(np.arange(len(first)), last - first + 1)
+                cell = (places[at] - places[at[first]][run]) // K
+                inner = (run[1:] == run[:-1]) & (cell[1:] == cell[:-1])
+                before[at[1:-1][inner[1:] & inner[:-1]]] = -2
+            rows, places, seeds, before, covered = (x[~covered | (before != -2)] for x in (rows, places, seeds, before, covered))
             begin = (np.cumsum(counts) - counts)[rows]
             cols = [pa.array(seeds.view(np.int64), mask=covered)]
             for span in SPANS:
@@ -129,7 +181,7 @@ def _marked_rows(live, min_words: int):
                 hold, none = np.zeros(len(rows), dtype=np.uint64), np.ones(len(rows), dtype=bool)
                 hold[fits], none[fits] = around, False
                 cols.append(pa.array(hold.view(np.int64), mask=none))
-            cols += [pa.array(ids[rows].astype(np.int64)), pa.array(places.astype(np.int32)), pa.array(before.astype(np.int32), mask=before < 0)]
+            cols += [pa.array(ids[rows].astype(np.int64)), pa.array(places.astype(np.int32)), pa.array(before.astype(np.int32), mask=before == -1)]
             yield pa.RecordBatch.from_arrays(cols, ["seed", "span0", "span1", "doc", "pos", "before"])
 
     return run
@@ -372,13 +424,123 @@ def onward(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int, np.ndarra
         i, j = i + jump[0], j + jump[1]
 
 
-def _columns(a: np.ndarray, b: np.ndarray, links: list[tuple[int, int, int]]):
+#: Pairs of places that resumed() may take, as places in a square, the nearest first.
+_NEAREST = np.array(sorted((max(u, v) * 1000 + u + v, u, v) for u in range(MARGIN + 1) for v in range(MARGIN + 1) if u != v))
+_NEAREST = _NEAREST[:, 1] * (MARGIN + 1) + _NEAREST[:, 2]
+
+
+def _along(a, b, i, j, n, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For n words from a[i] and b[j] on, in direction step, of many runs at once: how many words go along the
+    diagonal as onward() has it, how many of them agree, and whether the others outweighed those."""
+    size, top, fell = np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=np.int32), np.zeros(len(i), dtype=bool)
+    lane, done, total = np.flatnonzero(n > 0), 0, np.zeros(int((n > 0).sum()), dtype=np.int32)
+    while len(lane):
+        width = min(max(CELLS // len(lane), MARGIN), 4096, 2 * MARGIN if not done else 4 * done)  # ever longer looks, as most end soon
+        k = np.arange(width)
+        left = np.minimum(n[lane] - done, width)[:, None]
+        short = bool((left < width).any())
+        far = step * (np.minimum(k, left - 1) if short else k)
+        same = a[(i[lane] + step * done)[:, None] + far] == b[(j[lane] + step * done)[:, None] + far]
+        sums = np.cumsum(same.view(np.int8) * np.int8(2) - np.int8(1), axis=1, dtype=np.int32)
+        sums += total[:, None]
+        fallen = np.maximum(np.maximum.accumulate(sums, axis=1), top[lane, None]) - sums > MARGIN
+        if short:
+            fallen &= k < left
+        gone = fallen.any(axis=1)
+        total = sums[np.arange(len(lane)), left[:, 0] - 1]
+        sums[k >= np.where(gone, fallen.argmax(axis=1), left[:, 0])[:, None]] = -1
+        last = width - 1 - sums[:, ::-1].argmax(axis=1)
+        best = sums[np.arange(len(lane)), last]
+        better = (best >= top[lane]) & (best > 0)
+        top[lane[better]], size[lane[better]] = best[better], done + last[better] + 1
+        fell[lane[gone]] = True
+        done += width
+        more = ~gone & (n[lane] > done)
+        lane, total = lane[more], total[more]
+    return size, (top + size) // 2, fell
+
+
+def _words_from(a, i, n, step: int, width: int, none: int) -> np.ndarray:
+    """The first words of many runs of n words from a[i] on, in direction step; `none` after their end."""
+    k = np.arange(width)
+    inside = k < n[:, None]
+    return np.where(inside, a[np.where(inside, i[:, None] + step * k, 0)].astype(np.int64), none)
+
+
+def onward_all(a, b, i, na, j, nb, step: int):
+    """onward() for many pairs of runs at once, na words from a[i] on and nb from b[j] on, in direction step:
+    the pieces (lane, start, ref start, length) in the order of lanes, how many words of a lane agree, and
+    which of its runs ended (two columns)."""
+    p, q, agree = np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=np.int64)
+    ended = np.zeros((len(i), 2), dtype=bool)
+    lane, pieces = np.arange(len(i)), []
+    while len(lane):  # those that still go on
+        n = np.minimum(na[lane] - p[lane], nb[lane] - q[lane])
+        size, hits, fell = _along(a, b, i[lane] + step * p[lane], j[lane] + step * q[lane], n, step)
+        some = size > 0
+        pieces.append((lane[some], p[lane[some]], q[lane[some]], size[some]))
+        agree[lane] += hits
+        ended[lane] = ~fell[:, None] & np.stack((na[lane] - p[lane] == n, nb[lane] - q[lane] == n), axis=1)
+        p[lane] += size
+        q[lane] += size
+        left, rleft, at, rat = na[lane] - p[lane], nb[lane] - q[lane], i[lane] + step * p[lane], j[lane] + step * q[lane]
+        ours, others = _words_from(a, at, left, step, MARGIN + RESUME, -1), _words_from(b, rat, rleft, step, MARGIN + RESUME, -2)
+        same = ours[:, :, None] == others[:, None, :]
+        run = same[:, : MARGIN + 1, : MARGIN + 1]
+        for x in range(1, RESUME):
+            run = run & same[:, x : x + MARGIN + 1, x : x + MARGIN + 1]
+        run = run.reshape(len(lane), -1)[:, _NEAREST]
+        u, v = np.divmod(_NEAREST[run.argmax(axis=1)], MARGIN + 1)
+        jump = run.any(axis=1)
+        end = ~jump
+        hit = _words_from(a, at[end], left[end], step, MIN_WORDS, -1) == _words_from(b, rat[end], rleft[end], step, MIN_WORDS, -2)
+        some = hit.any(axis=1)
+        tail = lane[end][some]
+        pieces.append((tail, p[tail], q[tail], MIN_WORDS - hit[some][:, ::-1].argmax(axis=1)))
+        agree[tail] += hit[some].sum(axis=1)
+        lane = lane[jump]
+        p[lane] += u[jump]
+        q[lane] += v[jump]
+    pieces = [np.concatenate(x) for x in zip(*pieces, strict=True)] if pieces else [np.zeros(0, dtype=np.int64)] * 4
+    order = np.argsort(pieces[0], kind="stable")
+    return [x[order] for x in pieces], agree, ended
+
+
+def _followed(a, b, s, rs, e, re, a_at, a_n, b_at, b_n):
+    """Both ends of chains from (s, rs) to (e, re) in runs a[a_at : a_at + a_n] and b[b_at : b_at + b_n]: how many
+    words agree there, which runs ended (the starts of both, the ends of both), and a function that gives a
+    chain's own pieces as _columns takes them."""
+    agree, ended, parts = np.zeros(len(s), dtype=np.int64), np.zeros((len(s), 4), dtype=bool), ([], [])
+    for lo in range(0, max(len(s), 1), LANES):  # there may be none
+        x = slice(lo, lo + LANES)
+        for end, at, n, rat, rn, step in ((0, a_at[x] + s[x] - 1, s[x], b_at[x] + rs[x] - 1, rs[x], -1), (1, a_at[x] + e[x], a_n[x] - e[x], b_at[x] + re[x], b_n[x] - re[x], 1)):
+            (lane, *piece), hits, flags = onward_all(a, b, at, n, rat, rn, step)
+            agree[x] += hits
+            ended[x, 2 * end : 2 * end + 2] = flags
+            parts[end].append((lane + lo, *piece))
+    flat = [[np.concatenate(c) for c in zip(*part, strict=True)] for part in parts]
+    begins = [np.searchsorted(f[0], np.arange(len(s) + 1)).tolist() for f in flat]
+    flat = [np.stack(f[1:], axis=1) for f in flat]
+
+    def ends(c: int):
+        back, ahead = (f[begin[c] : begin[c + 1]].tolist() for f, begin in zip(flat, begins, strict=True))
+        return back, ended[c, :2].tolist(), (int(e[c]), int(re[c])), ahead, ended[c, 2:].tolist()
+
+    return agree, ended, ends
+
+
+def _columns(a: np.ndarray, b: np.ndarray, links: list[tuple[int, int, int]], ends=None):
     """The alignment along a chain of segments (start, end, ref start): places in both runs and whether the
     words agree, column by column (a word without a partner takes a column of its own; a last place
-    closes them), and whether the alignment came to the start of either run and to the end of either."""
+    closes them), and whether the alignment came to the start of either run and to the end of either. What
+    _followed has found at the chain's ends is not sought again."""
     s, e, rs = links[0]
-    back, *at_start = onward(a[:s][::-1], b[:rs][::-1])
-    pieces = [(s - i - len(hit), rs - j - len(hit), hit[::-1]) for i, j, hit in back[::-1]]
+    if ends is None:
+        back, *at_start = onward(a[:s][::-1], b[:rs][::-1])
+        pieces = [(s - i - len(hit), rs - j - len(hit), hit[::-1]) for i, j, hit in back[::-1]]
+    else:
+        back, at_start, last, ahead, at_end = ends
+        pieces = [(s - i - n, rs - j - n, a[s - i - n : s - i] == b[rs - j - n : rs - j]) for i, j, n in back[::-1]]
     pieces.append((s, rs, a[s:e] == b[rs : rs + e - s]))
     for s2, e2, rs2 in links[1:]:
         s, rs, hit = pieces[-1]
@@ -405,8 +567,11 @@ def _columns(a: np.ndarray, b: np.ndarray, links: list[tuple[int, int, int]]):
         pieces.append((s2, rs2, a[s2:e2] == b[rs2 : rs2 + e2 - s2]))
     s, rs, hit = pieces[-1]
     i, j = s + len(hit), rs + len(hit)
-    ahead, *at_end = onward(a[i:], b[j:])
-    pieces += [(i + x, j + y, hit) for x, y, hit in ahead]
+    if ends is None or (i, j) != last:
+        ahead, *at_end = onward(a[i:], b[j:])
+        pieces += [(i + x, j + y, hit) for x, y, hit in ahead]
+    else:
+        pieces += [(i + x, j + y, a[i + x : i + x + n] == b[j + y : j + y + n]) for x, y, n in ahead]
     pa_, pb_, same, i, j = [], [], [], *pieces[0][:2]
     for s, rs, hit in pieces:
         gap = max(s - i, rs - j)
@@ -478,16 +643,17 @@ def _widened(passage, same, lo: int, hi: int, start: int, end: int, min_words: i
 _FOUND = ["doc_id", "ref_id", "start_word", "end_word", "ref_start", "ref_end", "n_same"]
 
 
-def _pair_passages(a, b, s, e, rs, number, more, min_words: int, identity: float):
+def _pair_passages(a, b, s, e, rs, number, ends, more, min_words: int, identity: float):
     """Passages of two word runs along their chains (segments in order, and the chain of each, the best
-    first); None if one may go on beyond the runs: more tells for the starts of both and for the ends of
-    both whether their texts do. A chain whose segments lie in the alignments of better ones is left out."""
+    first; ends gives what was found at a chain's ends); None if one may go on beyond the runs: more tells
+    for the starts of both and for the ends of both whether their texts do. A chain whose segments lie in
+    the alignments of better ones is left out."""
     out, done = set(), np.zeros(len(s), dtype=bool)
     begins = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-    for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(s)], strict=True):
+    for c, (i, j) in enumerate(zip(begins.tolist(), [*begins[1:].tolist(), len(s)], strict=True)):
         if done[i:j].all():
             continue
-        x, y, same, at_start, at_end = _columns(a, b, list(zip(s[i:j].tolist(), e[i:j].tolist(), rs[i:j].tolist(), strict=True)))
+        x, y, same, at_start, at_end = _columns(a, b, list(zip(s[i:j].tolist(), e[i:j].tolist(), rs[i:j].tolist(), strict=True)), ends(c))
         here = alike(x[:-1], y[:-1], same, min_words, identity)
         if any(m and t for m, t in zip(more, (*at_start, *at_end), strict=True)) and (here or same.sum() >= MARGIN):
             return None
@@ -529,15 +695,24 @@ def _aligned(min_words: int, identity: float):
             size = np.minimum(e[last] + margin, a_n[of]) - (s[first] - left)
             keep = promising(a, b, a_at[of] + s[first] - left, size, rs[first] - left, b_at[of], b_n[of], band, min_words, identity)
             keep |= e[last] - s[first] != re[last] - rs[first]
-            kept = keep[np.cumsum(new) - 1]
-            pair, s, e, rs, number = (x[kept] for x in (pair, s, e, rs, number))
+            first, last, of = first[keep], last[keep], of[keep]
+            more = np.stack((a0 > 0, b0 > 0, a0 + a_n < na, b0 + b_n < nb), axis=1)
+            agree, ended, ends = _followed(a, b, s[first], rs[first], e[last], re[last], a_at[of], a_n[of], b_at[of], b_n[of])
+            # of one segment: whether enough words agree for a passage, or for one that goes on beyond the pieces
+            agree += e[first] - s[first]
+            fit = (first < last) | (agree >= identity * min_words - 1e-9) | ((agree >= MARGIN) & (more[of] & ended).any(axis=1))
             out = []
-            at = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else pair
-            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(pair)], strict=True) if len(pair) else ():
-                i = pair[lo]
+            at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else of
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(of)], strict=True) if len(of) else ():
+                while hi > lo and not fit[hi - 1]:  # those before may hold what better ones leave out
+                    hi -= 1
+                if hi == lo:
+                    continue
+                i = of[lo]
+                x = np.concatenate([np.arange(u, v + 1) for u, v in zip(first[lo:hi].tolist(), last[lo:hi].tolist(), strict=True)])
                 here = _pair_passages(
-                    a[a_at[i] : a_at[i] + a_n[i]], b[b_at[i] : b_at[i] + b_n[i]], s[lo:hi], e[lo:hi], rs[lo:hi], number[lo:hi],
-                    (a0[i] > 0, b0[i] > 0, a0[i] + a_n[i] < na[i], b0[i] + b_n[i] < nb[i]), min_words, identity,
+                    a[a_at[i] : a_at[i] + a_n[i]], b[b_at[i] : b_at[i] + b_n[i]], s[x], e[x], rs[x], number[x],
+                    lambda c, lo=lo: ends(lo + c), more[i].tolist(), min_words, identity,
                 )
                 if here is None:
                     out.append((doc[i], ref[i], *[None] * 5))
@@ -560,11 +735,9 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
     texts of fewer than K words have no passages. Other columns are ignored."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    live = docs.transform(arrow_map, _seed_rows, "seed long").groupBy("seed").count().where("count > 1")
-    live = cut(live.select("seed"))
-    bits = spark.sparkContext.broadcast(bitmap(live, "seed", BITS, hashed=True))
+    bits = spark.sparkContext.broadcast(_live_seeds(docs))
+    drop()  # the seeds' shuffle
     marked = cut(docs.transform(arrow_map, _marked_rows(bits, min_words), "seed long, span0 long, span1 long, doc long, pos int, before int"))
-    drop(live)
     bits.unpersist()
 
     # the first text that has a seed; no more than that of seeds that one text has
@@ -573,7 +746,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
     linked = held.join(first.where("ref < last").drop("last"), "seed")
     # where two texts have a seed, its words go on alike in no other
     linked = cut(linked.select(*(F.when(F.col("texts") > 2, F.col(c)).alias(c) for c in ("span0", "span1")), "doc", "pos", "ref", "rpos"))
-    own = cut(marked.where("before IS NOT NULL").select("doc", F.col("doc").alias("ref"), "pos", F.col("before").alias("rpos")))
+    own = cut(marked.where("before >= 0").select("doc", F.col("doc").alias("ref"), "pos", F.col("before").alias("rpos")))
     drop(marked)
     pairs = [linked.where("doc > ref").select("doc", "ref", "pos", "rpos"), own]
     for span in ("span0", "span1"):
@@ -592,7 +765,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
 
     def aligned(chains, margin, among=docs):
         def texts(rows, column):
-            asked = spark.sparkContext.broadcast(bitmap(chains.select(column).distinct(), column))
+            asked = spark.sparkContext.broadcast(bitmap(chains, column))
             return rows.select("doc_id", "text", row_slot("doc_id").alias("slot")).transform(arrow_map, _word_rows(asked), "doc long, words binary")
 
         def side(start, end, name):

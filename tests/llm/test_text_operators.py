@@ -196,6 +196,58 @@ def test_alignment_bridges_changes_and_gaps():
         assert at_start == [True, True] and at_end == [True, True]
 
 
+def test_ends_followed_together_equal_those_followed_alone():
+    rng = np.random.default_rng(5)
+    for words, lanes in ((3, 40), (12, 60), (10**6, 60), (12, 0)):
+        a = rng.integers(0, words, 4000).astype(np.uint32)
+        b = np.concatenate((a[:1500], rng.integers(0, words, 7), a[1500:])).astype(np.uint32)
+        b[rng.choice(len(b), 600, replace=False)] = 10**7
+        for step in (1, -1):
+            i, na, nb = rng.integers(1000, 3000, lanes), rng.integers(0, 1000, lanes), rng.integers(0, 1000, lanes)
+            j = i + rng.integers(0, 2, lanes) * 7
+            (lane, p, q, n), agree, ended = substring_dedup.onward_all(a, b, i, na, j, nb, step)
+            for k in range(lanes):
+                mine, other = a[i[k] :][: na[k]], b[j[k] :][: nb[k]]
+                if step < 0:
+                    mine, other = a[i[k] - na[k] + 1 : i[k] + 1][::-1], b[j[k] - nb[k] + 1 : j[k] + 1][::-1]
+                pieces, *ends = substring_dedup.onward(mine, other)
+                at = lane == k
+                assert list(zip(p[at], q[at], n[at], strict=True)) == [(u, v, len(hit)) for u, v, hit in pieces]
+                assert (agree[k], ended[k].tolist()) == (sum(hit.sum() for *_, hit in pieces), ends)
+
+
+@pytest.mark.parametrize("words", [12, 10**6])
+def test_chains_without_enough_words_are_not_aligned_one_by_one(monkeypatch, words):
+    rng, n, aligned = np.random.default_rng(6), 50, []
+    columns = substring_dedup._columns
+    monkeypatch.setattr(substring_dedup, "_columns", lambda *x: aligned.append(1) or columns(*x))
+    runs = rng.integers(0, words, (2, n, 300)).astype(np.uint32)
+    runs[1, :, 100:106] = runs[0, :, 100:106]
+    runs[1, 0] = runs[0, 0]
+    for first, want in ((0, [(0, 1000, 0, 300, 0, 300, 300)]), (1, [])):
+        ids, place = np.arange(first, n), pa.array([[100]] * (n - first), pa.list_(pa.int64()))
+        end, none, size = pa.array([[106]] * (n - first), pa.list_(pa.int64())), pa.array(0 * ids), pa.array(0 * ids + 300)
+        a, b = (pa.array([r.tobytes() for r in side[first:]], pa.binary()) for side in runs)
+        columns_of = {"doc": pa.array(ids), "ref": pa.array(ids + 1000), "s": place, "e": end, "rs": place, "re": end, "chain": pa.array([[0]] * (n - first), pa.list_(pa.int64()))}
+        columns_of |= {"a0": none, "na": size, "a": a, "b0": none, "nb": size, "b": b}
+        out = pa.Table.from_batches(substring_dedup._aligned(50, 0.8)([pa.RecordBatch.from_pydict(columns_of)]))
+        assert [tuple(r.values()) for r in out.to_pylist()] == want
+    assert len(aligned) == 1
+
+
+def test_seeds_of_several_places_are_marked(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PACKED", 50)
+    rng = random.Random(31)
+    texts = [sentence(rng, n, 10**6) for n in (40, 80, 5, 30)]
+    texts += [texts[0], f"{texts[3]} {texts[3]}", ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    seeds, counts = np.unique(np.concatenate([s for *_, (_, _, s) in substring_dedup._winnowed([batch])]), return_counts=True)
+    slots = seeds & np.uint64((1 << substring_dedup.BITS) - 1)
+    bits = substring_dedup._live_seeds(frame(spark, list(enumerate(texts))).select("doc_id", "text"))
+    assert substring_dedup.in_bitmap(bits, slots.astype(np.int64)).tolist() == (counts > 1).tolist()
+    assert sum(int(x).bit_count() for x in bits.view(np.uint64)) == (counts > 1).sum() > 0
+
+
 def test_bound_by_neighbours_loses_no_passage():
     rng = np.random.default_rng(3)
     runs, others, first, rfirst, diagonal, want = [], [], [], [], [], []
