@@ -7,13 +7,16 @@ and the smallest set size, so the same bound dismisses whole nodes; what survive
 sets themselves.
 
 One R-tree over all points would not prune: in some 64 coordinates the boxes of random texts overlap
-everywhere. The forest is therefore cut by a lossless rule. Sets of a Jaccard similarity t differ in
-at most (|A|+|B|)(1-t)/(1+t) tokens; with more groups of tokens than that, at least one group is the
-same in both. Texts meet where the fingerprint of one group agrees (`_routes`), and only there a tree
-is searched. Group numbers depend on the size class, and a text takes part in the classes of its own
-and of the next larger sizes. Spare groups make it unnecessary to route by groups of one token or none.
-
-Work is linear in shared groups: first every meeting is linked to one centre and those links are
+everywhere. The forest is therefore cut by a lossless rule. Two sets of a Jaccard similarity t share
+at least t|A| and t|B| tokens, so in any one order of all tokens the first of those they share is among the
+first |A| - t|A| + 1 of A and the first |B| - t|B| + 1 of B. Texts meet at these tokens (`_route_rows`), and
+only there a tree is searched. The order is that of rarity, so that a line which many texts hold stands
+last and brings none of them together while they have enough words of their own: meetings don't grow
+with the table unless texts as a whole are alike. Rarity is counted for tokens together that have their
+high bits in common (`_count_rows`), in a fixed number of counters; it decides the order alone, which loses
+nothing whatever it is.
+
+Work is linear in meetings: first every meeting is linked to one centre and those links are
 verified and merged to components; then only meetings that still hold several components are searched
 for pairs between different components, one of several meetings of the same texts. Meetings hold keys
 alone; points, which take a quarter byte a token, are joined to distinct pairs and members, and token sets
@@ -38,33 +41,7 @@ from sparkloom.llm.store import arrow_map, bitmap, cut, drop, in_bitmap, mix, ro
 SHARE = 4  # tokens to a coordinate of a point, at least half of that
 LEAF, FAN = 32, 8  # points in a leaf of the R-tree, leaves under a node
 BLOCK, BLOCK_TOKENS = 1024, 1 << 20  # members, and their tokens, that one task compares with as many others
-
-
-def size_edges(num: int, den: int, largest: int) -> list[int]:
-    """First sizes of the size classes: partners lie in the same class or in the next."""
-    edges = [1]
-    while edges[-1] <= largest:
-        edges.append(edges[-1] * den // num + 1)
-    return edges
-
-
-def group_plan(top: int, num: int, den: int) -> tuple[int, int]:
-    """For sets of at most `top` tokens: the number of groups, and the number of trivial groups (one
-    token or none) up to which a set need not be routed by these. If a set has t trivial groups,
-    equal groups exceed the spare ones, so at least one equal group isn't trivial while t <= spare."""
-    differ = 2 * top * (den - num) // (den + num)
-    if not differ:
-        return 0, 0
-    spare = 0
-    for _ in range(30):
-        groups = differ + 1 + spare
-        mean = 0.95 * top / groups
-        share = np.exp(-mean) * (1 + mean) * groups
-        need = int(np.ceil(share + 2 * np.sqrt(share))) if share > 0.02 else 0
-        if need <= spare or spare > differ:
-            break
-        spare = need
-    return differ + 1 + spare, spare
+COUNTERS, ROW = 22, 12  # high bits of a token that choose its counter; bits of the counters in one row
 
 
 def _digest(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -109,46 +86,71 @@ def _first_rows(batch: pa.RecordBatch, rep_bits) -> pa.RecordBatch:
     return batch.filter(pa.array(in_bitmap(rep_bits.value, rep) | np.asarray(batch.column(2))))
 
 
-def _route_rows(k: int, num: int, den: int, rep_bits):
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _count_rows(k: int, rep_bits):
+    """A task's counters of tokens, (part, counts) for each part of them that isn't zero, in bytes where these do."""
+
+    def run(batches):
+        counts = np.zeros(1 << COUNTERS, dtype=np.uint32)
+        for batch in batches:
+            for _, _, values, _, _ in _sets(_first_rows(batch, rep_bits), k):
+                np.add.at(counts, _counter(values), 1)
+        rows = counts.reshape(-1, 1 << ROW)
+        most = rows.max(1)
+        parts = np.flatnonzero(most)
+        for at in range(0, len(parts), 64):
+            some = parts[at : at + 64]
+            packed = [(rows[i].astype(np.uint8) if most[i] < 256 else rows[i]).tobytes() for i in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def _level_rows(batches):
+    """Logarithms of the tasks' summed counters, in eighths of a doubling, a byte each."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            row = np.frombuffer(counts, dtype=np.uint8 if len(counts) == 1 << ROW else np.uint32)
+            sums[part] = sums[part] + row if part in sums else row.astype(np.int64)
+    levels = [np.minimum(8 * np.log2(row + 1.0), 255).astype(np.uint8).tobytes() for row in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
+
+
+def _levels(texts: DataFrame, k: int, rep_bits) -> np.ndarray:
+    """How common the tokens of each counter are: 2**COUNTERS bytes whatever the input."""
+    rows = (
+        texts.transform(arrow_map, _count_rows(k, rep_bits), "part int, counts binary")
+        .repartition("part")
+        .transform(arrow_map, _level_rows, "part int, levels binary")
+        .toArrow()
+    )
+    out = np.zeros((1 << (COUNTERS - ROW), 1 << ROW), dtype=np.uint8)
+    for part, levels in zip(rows.column("part").to_pylist(), rows.column("levels").to_pylist(), strict=True):
+        out[part] = np.frombuffer(levels, dtype=np.uint8)
+    return out.ravel()
+
+
+def _route_rows(k: int, num: int, den: int, rep_bits, levels):
+    """(sig, k1) of the rarest tokens of each set, as many as one of those shared with any partner is among.
+    A sig is the token's level and low bits, in whose order tokens are taken; tokens that have it in
+    common are one to this rule."""
+
     def run(batches):
-        edges, plans = [1], {}
         for batch in batches:
             for _, _, values, sizes, keys in _sets(_first_rows(batch, rep_bits), k):
                 if not len(values):
                     continue
-                if edges[-1] <= sizes.max():
-                    edges = size_edges(num, den, int(sizes.max()) * 2)
-                own = np.searchsorted(edges, sizes, side="right") - 1
+                order = (levels.value[_counter(values)].astype(np.uint64) << np.uint64(56)) | (values & np.uint64((1 << 56) - 1))
                 ends = np.cumsum(sizes)
-                out_sig, out_key = [], []
-                for i in np.flatnonzero(sizes > 1).tolist():
-                    part = values[ends[i] - sizes[i] : ends[i]]
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(part), dtype=np.uint64)))
-                    high = part >> np.uint64(32)
-                    for scheme in (int(own[i]), int(own[i]) + 1):
-                        if scheme not in plans:
-                            groups, spare = group_plan(size_edges(num, den, edges[-1] * 2)[scheme + 1] - 1, num, den)
-                            # tokens are sorted, so that a group is a run: its first values in high words
-                            cuts = -(-(np.arange(groups + 1, dtype=object) * 2**32) // max(groups, 1))
-                            marks = mix(np.arange(groups, dtype=np.uint64) + np.uint64(scheme << 32))
-                            plans[scheme] = groups, spare, np.array(cuts, dtype=np.uint64), marks
-                        groups, spare, cuts, marks = plans[scheme]
-                        if not groups:
-                            continue
-                        at = np.searchsorted(high, cuts)
-                        total = sums[at[1:]] - sums[at[:-1]]
-                        held = at[1:] - at[:-1]
-                        use = held > 1
-                        if groups - int(use.sum()) > spare:
-                            use = slice(None)
-                        out_sig.append(mix(total[use] + marks[use] * np.uint64(3)))
-                        out_key.append(np.full(len(out_sig[-1]), keys[i]))
-                if out_sig:
-                    sig, key = np.concatenate(out_sig).view(np.int64), np.concatenate(out_key)
-                    for at in range(0, len(sig), 1 << 17):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(sig[at : at + (1 << 17)]), pa.array(key[at : at + (1 << 17)])], ["sig", "k1"]
-                        )
+                takes = np.where(sizes > 0, sizes + (-num * sizes) // den + 1, 0)
+                picked = [np.partition(order[e - n : e], p - 1)[:p] for e, n, p in zip(ends.tolist(), sizes.tolist(), takes.tolist(), strict=True) if n]
+                sig, key = np.concatenate(picked).view(np.int64), np.repeat(keys, takes)
+                for at in range(0, len(sig), 1 << 17):
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 17)]), pa.array(key[at : at + (1 << 17)])], ["sig", "k1"])
 
     return run
 
@@ -403,7 +405,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         key_bits = spark.sparkContext.broadcast(bitmap(keys, "k1", hashed=True))
         return texts.transform(arrow_map, _token_rows(k, key_bits, rep_bits), "k1 long, tokens binary").join(keys, "k1", "left_semi").dropDuplicates(["k1"])
 
-    routes = texts.transform(arrow_map, _route_rows(k, num, den, rep_bits), "sig long, k1 long")
+    levels = spark.sparkContext.broadcast(_levels(texts, k, rep_bits))
+    routes = texts.transform(arrow_map, _route_rows(k, num, den, rep_bits, levels), "sig long, k1 long")
     live = cut(routes.repartition("sig").sortWithinPartitions("sig", "k1").transform(arrow_map, _meeting_rows, "sig long, mn long, k1 long"))
     drop()
     points = nodes.select("k1", "n", "point")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +73,40 @@ def test_late_links_of_a_large_group_are_found(spark):
     assert got == {a: c for a, _, c in jaccard_components(rows, 3, 90, 100)}
 
 
+def test_a_line_in_all_texts_does_not_bring_them_together(spark, monkeypatch):
+    """Rows of meetings follow the texts that are alike, not those that hold a common notice."""
+    rng, met, real = random.Random(11), [], jaccard_join.cut
+
+    def counted(df, *more):
+        out = real(df, *more)
+        met.extend([out.count()] * ("sig" in out.columns))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "cut", counted)
+    notice = sentence(rng, 60, 10**6)
+    rows = [(i, f"{notice} {sentence(rng, 40, 10**6)}") for i in range(500)]
+    rows += [(1000 + i, rows[i][1] + " and more") for i in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(frame(spark, rows), 5, 80, 100).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert len(met) == 2 and sum(met) < len(rows)
+
+
+@pytest.mark.parametrize("num", [50, 80, 90])
+def test_similar_texts_meet_whatever_the_order_of_tokens(num):
+    rng, every = random.Random(num), SimpleNamespace(value=np.full(1 << 18, -1))
+    levels = SimpleNamespace(value=np.random.default_rng(num).integers(0, 3, 1 << jaccard_join.COUNTERS).astype(np.uint8))
+    texts = [sentence(rng, rng.choice([1, 2, 5, 9, 30, 200]), 300) for _ in range(40)]
+    texts += [mutated(rng, t, rng.choice([0.02, 0.05, 0.2])) for t in texts for _ in range(4)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0] * len(texts)), pa.array([False] * len(texts))], ["text", "slot", "nameless"])
+    sets = {int(key[0]): shingle_set(t, 1) for t in texts for *_, key in jaccard_join._sets(pa.RecordBatch.from_arrays([pa.array([t])], ["text"]), 1)}
+    sigs = {key: set() for key in sets}
+    for out in jaccard_join._route_rows(1, num, 100, every, levels)([batch]):
+        for sig, key in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            sigs[key].add(sig)
+    alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    assert len(alike) > 10 and all(sigs[a] & sigs[b] for a, b in alike)
+
+
 def test_tree_search_never_loses_a_pair_that_the_bound_allows():
     rng = np.random.default_rng(4)
     points = rng.poisson(0.8, (700, 128)).astype(np.int32)
