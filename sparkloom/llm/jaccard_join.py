@@ -428,14 +428,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"), F.bit_xor("k1").alias("x"), F.bit_xor(F.xxhash64("k1")).alias("y")
     )
     mixed = mixed.where("lo < hi and m > 2").groupBy("x", "y", "m").agg(F.min("sig").alias("sig"))
-    met = _dealt(cut(member.join(mixed.select("sig"), "sig").join(points.select("k1", "n"), "k1")), "sig").join(points.select("k1", "point"), "k1")
+    met = cut(member.join(mixed.select("sig"), "sig").join(points.select("k1", "n"), "k1"))
+    drop(live)  # and with it what was shuffled for the meetings, before their points are
+    met = _dealt(met, "sig").join(points.select("k1", "point"), "k1")
     closer = cut(
         met.select("sig", "b1", "b2", "block", "k1", "comp", "n", "point")
         .repartition("sig", "b1", "b2")
         .sortWithinPartitions("sig", "b1", "b2")
         .transform(arrow_map, _partners(num, den), "a long, b long")
     )
-    drop(live)
     if not closer.isEmpty():
         # each text once, with those that its partners lead to
         clusters = components(closer).toDF("k1", "cluster")
